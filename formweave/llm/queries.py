@@ -1,9 +1,15 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from formweave.llm import bpe, tokencount
+from formweave.llm import bpe, decontam, quality, tokencount, warc
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_decontamination": decontam.op3_decontamination,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op6_token_counts": tokencount.op6_token_counts,
+    "op7_warc": warc.op7_warc,
+}
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": quality.OP5_SQL,
+    "op7_warc": warc.OP7_SQL,
 }
-ORACLES: dict[str, str] = {}
