@@ -76,18 +76,25 @@ def repeated_words(words: list[list[bytes]]) -> list[int]:
     sizes = np.array([len(w) for w in words], np.int64)
     if not sizes.sum():
         return [0] * len(words)
-    numbers: dict[bytes, int] = {}
-    flat = np.array([numbers.setdefault(w, len(numbers)) for ws in words for w in ws], np.int64)
+    flat, most = np.empty(sizes.sum(), np.int64), 0
+    for ws, end, n in zip(words, np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+        number = dict(zip(dict.fromkeys(ws), range(n)))
+        flat[end - n : end] = list(map(number.__getitem__, ws))
+        most = max(most, len(number))
     doc = np.repeat(np.arange(len(words)), sizes)
-    if len(flat) < 3:
-        return [0] * len(words)
-    pair = flat[:-1] * len(numbers) + flat[1:]
-    pair = np.unique(pair, return_inverse=True)[1] if len(numbers) ** 3 >= 1 << 62 else pair
-    triple = pair[:-1] * len(numbers) + flat[2:]
     at = np.flatnonzero(doc[:-2] == doc[2:])
-    triple, owner = triple[at], doc[at]
-    order = np.lexsort((triple, owner))
-    same = (triple[order][1:] == triple[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    bits = most.bit_length()
+    owner, pair, last = doc[at], (flat[at] << bits) | flat[at + 1], flat[at + 2]
+    if 3 * bits + len(words).bit_length() <= 63:
+        keys = [(owner << 3 * bits) | (pair << bits) | last]
+        order = np.argsort(keys[0])
+    else:
+        keys = [last, pair, owner]
+        order = np.lexsort(keys)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for key in keys:
+        key = key[order]
+        same &= key[1:] == key[:-1]
     often = np.zeros(len(order), bool)
     often[1:] |= same
     often[:-1] |= same
