@@ -4,7 +4,8 @@ A forgiving tokenizer builds the DOM as arrays in page order. Elements that are
 footers, adverts, forms, comments and the like, by tag, role or class words) are cut. Every other node gets its
 link-adjusted characters per tag; a node's density sum is that of its children. The node of the largest sum gives the
 threshold, the least density on its path to the body, and every node from the body down that reaches the threshold marks
-the largest-sum subtree below it as article.
+the largest-sum subtree below it. The article is the least subtree that holds all marked ones, so that headings and short
+paragraphs between dense ones stay. Text-level elements (b, span, ...) count as tags but are no subtrees of their own.
 
 White space inside a block is one space, blocks are joined by line ends, character references are decoded, and nothing
 within a marked subtree is dropped or capped. `<br>` is white space inside its block.
@@ -148,8 +149,11 @@ def main_text(source: str | None) -> str:
 
     dense = [0.0 if page.noise[k] else density(k) for k in range(n)]
     sums = [0.0] * n
+    owner = list(range(n))  # text-level elements belong to the block around them
     for k in range(1, n):
-        sums[page.parent[k]] += dense[k]
+        owner[k] = k if page.tag[k] in BLOCK else owner[page.parent[k]]
+        if owner[k] == k:
+            sums[owner[page.parent[k]]] += dense[k]
     #: The node of the largest sum in each subtree: the deepest of equals.
     best = list(range(n))
     for k in range(n - 1, 0, -1):
@@ -170,6 +174,17 @@ def main_text(source: str | None) -> str:
             article[best[k]] = True
     if not any(article):
         article[top] = True
+    marked = [k for k in range(n) if article[k]]
+    paths = []
+    for k in marked:
+        path = [k]
+        while path[-1] > 0:
+            path.append(page.parent[path[-1]])
+        paths.append(path[::-1])
+    shared = 0
+    while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
+        shared += 1
+    article[paths[0][shared - 1]] = True
     for k in range(1, n):
         article[k] = article[k] or article[page.parent[k]]
     blocks: dict[int, list[str]] = {}

@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from formweave.llm import bpe, decontam, quality, tokencount, warc
+from formweave.llm import bpe, decontam, htmltext, quality, sharding, tokencount, warc
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
@@ -8,6 +8,8 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_token_counts": tokencount.op6_token_counts,
     "op7_warc": warc.op7_warc,
+    "op9_html_text": htmltext.op9_html_text,
+    "op10_sharding": sharding.op10_sharding,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": quality.OP5_SQL,
