@@ -16,7 +16,9 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,8 +43,12 @@ WITH RECURSIVE state(w, t, done) AS (
     SELECT state.w,
            CASE WHEN b IS NULL THEN t ELSE t[:(b % 65536) - 1] || [(b // 65536)::INT] || t[(b % 65536) + 2:] END,
            b IS NULL
-    FROM state LEFT JOIN best USING (w) WHERE NOT done))
-SELECT w, t FROM state WHERE done
+    FROM state LEFT JOIN best USING (w) WHERE NOT done)),
+ended AS MATERIALIZED (SELECT w, t FROM state WHERE done),
+back AS (
+  SELECT w, string_agg(h, '' ORDER BY pos) AS h
+  FROM (SELECT w, unnest(t) AS id, generate_subscripts(t, 1) AS pos FROM ended) JOIN vocab USING (id) GROUP BY w)
+SELECT w, len(t) AS n, array_to_string(t, ',') AS ids, unhex(h) AS b FROM ended JOIN back USING (w)
 """
 _DECODE = """
 SELECT w, unhex(string_agg(h, '' ORDER BY pos)) AS b
@@ -64,7 +70,7 @@ class Codec:
 
         self.ranks = load_ranks(path)
         self.bytes_of = {i: t for t, i in self.ranks.items()}
-        self.byte_ids = [self.ranks[bytes([i])] for i in range(256)]
+        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.pattern = regex.compile(pattern)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         left, right, merged = [], [], []
@@ -83,33 +89,37 @@ class Codec:
     def _register(self, name: str, **columns: pa.Array) -> None:
         self.con.register(name, pa.table(columns))
 
-    def _query(self, sql: str, lists: list[list[int]]) -> pa.Table:
-        self._register("src", w=pa.array(range(len(lists)), pa.int32()), t=pa.array(lists, pa.list_(pa.int32())))
+    def _query(self, sql: str, lists: pa.Array) -> pa.Table:
+        self._register("src", w=pa.array(np.arange(len(lists), dtype=np.int32)), t=lists)
         out = self.con.sql(sql).to_arrow_table()
         self.con.unregister("src")
         return out
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """The ids of distinct pre-tokens. A pre-token that is itself in the vocabulary is one token."""
-        out, hard = {}, []
+    def encode_words(self, words: list[str]) -> dict[str, tuple[int, str, bytes]]:
+        """(number of ids, ids, decoded bytes) of distinct pre-tokens; one that is in the vocabulary is one token."""
+        out, hard, raws = {}, [], []
         for word in words:
             raw = word.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                out[word] = [rank]
+                out[word] = (1, str(rank), self.bytes_of[rank])
             elif len(raw) > LONG_WORD:
-                out[word] = self._by_heap(raw)
+                ids = self._by_heap(raw)
+                out[word] = (len(ids), ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids]))
             else:
-                hard.append((word, [self.byte_ids[c] for c in raw]))
+                hard.append(word)
+                raws.append(raw)
         for k in range(0, len(hard), QUERY_WORDS):
-            part = hard[k : k + QUERY_WORDS]
-            found = self._query(_ENCODE, [ids for _, ids in part])
-            for w, ids in zip(found["w"].to_pylist(), found["t"].to_pylist(), strict=True):
-                out[part[w][0]] = ids
+            part = raws[k : k + QUERY_WORDS]
+            ends = np.cumsum([0, *map(len, part)], dtype=np.int32)
+            ids = self.byte_ids[np.frombuffer(b"".join(part), np.uint8)]
+            found = self._query(_ENCODE, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)))
+            for w, *x in zip(*(found[c].to_pylist() for c in ("w", "n", "ids", "b")), strict=True):
+                out[hard[k + w]] = tuple(x)
         return out
 
     def _by_heap(self, raw: bytes) -> list[int]:
         """The same contraction order, leftmost minimum rank first, in n log n for long words."""
-        ids, nxt, prv = [self.byte_ids[c] for c in raw], list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1))
+        ids, nxt, prv = self.byte_ids[list(raw)].tolist(), list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1))
         alive = [True] * len(ids)
         ends = list(range(1, len(raw) + 1))
 
@@ -137,7 +147,7 @@ class Codec:
     def decode_lists(self, lists: list[list[int]]) -> list[bytes]:
         out: list[bytes] = [b""] * len(lists)
         for k in range(0, len(lists), QUERY_WORDS):
-            found = self._query(_DECODE, lists[k : k + QUERY_WORDS])
+            found = self._query(_DECODE, pa.array(lists[k : k + QUERY_WORDS], pa.list_(pa.int32())))
             for w, b in zip(found["w"].to_pylist(), found["b"].to_pylist(), strict=True):
                 out[k + w] = b
         return out
@@ -157,23 +167,24 @@ class Codec:
             self.pieces.clear()
         if not (new := [p for p in pieces if p not in self.pieces]):
             return
-        parts = [self.pattern.findall(p) for p in new]
-        words = self.encode_words(list({w for ws in parts for w in ws}))
-        kinds = list(words)
-        decoded = dict(zip(kinds, self.decode_lists([words[w] for w in kinds]), strict=True))
+        parts = list(map(self.pattern.findall, new))
+        words = self.encode_words(list(set(chain.from_iterable(parts))))
         for piece, ws in zip(new, parts, strict=True):
-            ids = [i for w in ws for i in words[w]]
-            self.pieces[piece] = (len(ids), ",".join(map(str, ids)), b"".join([decoded[w] for w in ws]))
+            if len(ws) == 1:
+                self.pieces[piece] = words[ws[0]]
+            else:
+                n, ids, back = zip(*[words[w] for w in ws], strict=True)
+                self.pieces[piece] = (sum(n), ",".join(ids), b"".join(back))
 
     def texts(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, bytes]]]:
         """For each text its pieces' (number of ids, ids, decoded bytes)."""
         split = [self.split(t or "") for t in texts]
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
-        self.learn({p for ps in split for p in ps})
+        self.learn(set(chain.from_iterable(split)))
         get = self.pieces.__getitem__
         for ps in split:
-            yield [get(p) for p in ps]
+            yield list(map(get, ps))
 
 
 #: A space before or after other white space, or at the end of a text: there the lookahead of the pattern matters.
@@ -232,9 +243,10 @@ def digests(df: DataFrame, id_col: str, text_col: str, path: str | None = None,
         for piece in slices(batches, "text", SLICE_BYTES):
             counts, ids, back = [], [], []
             for ps in c.texts(piece.column("text").to_pylist()):
-                counts.append(sum([x[0] for x in ps]))
-                ids.append(hashlib.sha256(",".join([x[1] for x in ps]).encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join([x[2] for x in ps])).hexdigest())
+                n, i, b = zip(*ps, strict=True) if ps else ((), (), ())
+                counts.append(sum(n))
+                ids.append(hashlib.sha256(",".join(i).encode()).hexdigest())
+                back.append(hashlib.sha256(b"".join(b)).hexdigest())
             yield pa.record_batch([piece.column("id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
