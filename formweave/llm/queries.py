@@ -1,11 +1,12 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from formweave.llm import bpe, decontam, htmltext, quality, sharding, tokencount, toxicity, warc
+from formweave.llm import bpe, decontam, htmltext, ngramjoin, quality, sharding, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_decontamination": decontam.op3_decontamination,
+    "op4_ngram_join": ngramjoin.op4_ngram_join,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_token_counts": tokencount.op6_token_counts,
     "op7_warc": warc.op7_warc,
