@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from formweave.llm import bpe, decontam, htmltext, ngramjoin, quality, sharding, tokencount, toxicity, warc
+from formweave.llm import bpe, decontam, htmltext, linededup, ngramjoin, quality, sharding, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_token_counts": tokencount.op6_token_counts,
     "op7_warc": warc.op7_warc,
+    "op8_line_dedup": linededup.op8_line_dedup,
     "op9_html_text": htmltext.op9_html_text,
     "op10_sharding": sharding.op10_sharding,
 }
