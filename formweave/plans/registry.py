@@ -12,6 +12,7 @@ ORACLES: dict[str, str] = {}
 #: Modules of registered queries; importing one registers its queries.
 MODULES = (
     "store",
+    "reconcile",
 )
 
 
