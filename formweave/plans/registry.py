@@ -13,6 +13,7 @@ ORACLES: dict[str, str] = {}
 MODULES = (
     "store",
     "reconcile",
+    "predicates",
 )
 
 
