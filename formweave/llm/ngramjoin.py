@@ -6,8 +6,8 @@ HEAVY most frequent of it are broadcast (others count as rare; the order decides
 that link share their first l common shingles within the first n - need + l of either, for every l. A class takes the l
 of the least estimated cost, from the frequencies in its prefix, and a pair needs the smaller l of the two in common.
 
-Pairs are not expanded within groups of copies: each class is first verified against one pivot, then against the first
-and the previous class of its posting lists, and only classes that are still in different components are paired in full.
+Pairs are not expanded within groups of copies: each class is verified against one pivot, the class of its posting lists
+whose shingles most others share, twice; only classes still in different components are then paired in full.
 Every pair that could join two components is verified by exact set sizes, so components are exact (up to collisions of
 64-bit hashes, of the order of N*N/2**65 for N classes).
 
@@ -154,34 +154,48 @@ def _with_component(postings: DataFrame, components: DataFrame) -> DataFrame:
     """Postings with the components so far, of the tokens that still have two of them."""
     named = postings.drop("c").join(components.select(F.col("node"), F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
     ends = Window.partitionBy("token")
-    return named.withColumns({"lo": F.min("c").over(ends), "hi": F.max("c").over(ends)}).where("lo <> hi").select("token", "node", "n", "l", "c")
+    return named.withColumns({"lo": F.min("c").over(ends), "hi": F.max("c").over(ends)}).where("lo <> hi").select("token", "node", "n", "l", "w", "c")
 
 
 def link_classes(src: DataFrame, classes: DataFrame, k: int, percent: int, heavy) -> DataFrame:
     """(node, component) of classes (sig, id) that link with another; `src` is (id, text, mark)."""
     by_token = Window.partitionBy("token")
     spread = _postings(src, k, percent, heavy).repartition("token").groupBy("token", "node").agg(F.min("n").alias("n"), F.min("l").alias("l"))
-    live = written(spread.withColumn("m", F.count(F.lit(1)).over(by_token)).where("m > 1").drop("m"), "postings")
-    wanted = live.select(F.col("node").alias("sig")).distinct()
-    texts = written(src.join(classes.join(wanted, "sig", "left_semi"), ["id", "mark"]).groupBy("sig").agg(F.min("text").alias("text")), "texts")
-    ordered = by_token.orderBy("n", "node")
-    pivots = live.withColumn("p", F.first(F.struct("node", "n")).over(ordered)).where(f"p.node <> node AND {_fits('p.n', 'n', percent)}")
-    nearest = pivots.groupBy("node", F.col("p.node").alias("p")).count().groupBy("node").agg(F.max_by("p", F.struct("count", "p")).alias("p"))
-    edges = written(_verified(nearest.select(F.col("p").alias("a"), F.col("node").alias("b")), texts, k, percent), "edges")
-    for last in (False, True):
-        components = connected_components(edges)
-        left = written(_with_component(live, components), "postings")
-        forget(live)
-        live = left
-        if not last:
-            sides = live.withColumns({"p": F.first(F.struct("node", "n", "c")).over(ordered), "q": F.lag(F.struct("node", "n", "c")).over(ordered)})
-            pairs = sides.select(F.explode(F.array("p", "q")).alias("o"), "node", "n", "c").where(f"o.c <> c AND {_fits('o.n', 'n', percent)}").select(F.col("o.node").alias("a"), F.col("node").alias("b"))
-        else:
-            x, y = live.alias("x"), live.alias("y")
-            met = x.join(y, F.expr(f"x.token = y.token AND x.c < y.c AND {_fits('x.n', 'y.n', percent)}"))
-            pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("x.l", "y.l")).alias("l")).where("m >= l").select("a", "b")
-        edges = written(edges.unionByName(_verified(pairs.distinct(), texts, k, percent)), "edges")
-    return connected_components(edges)
+    live = written(spread.withColumn("m", F.count(F.lit(1)).over(by_token)).where("m > 1"), "postings")
+    wanted = live.groupBy(F.col("node").alias("sig")).agg(F.sum("m").alias("w"))
+    texts = written(src.join(classes.join(wanted, "sig").select("sig", "id", "mark"), ["id", "mark"]).groupBy("sig").agg(F.min("text").alias("text")), "texts")
+    # the class whose shingles most others share is the centre of its group: what links within a group mostly links with it
+    live = _renewed(live, live.drop("m").join(wanted.select(F.col("sig").alias("node"), "w"), "node"))
+    ordered = by_token.orderBy(F.desc("w"), "node")
+    tried = edges = None
+    components = None
+    for _ in range(2):
+        named = live.withColumn("c", F.col("node")) if components is None else live
+        pivots = named.withColumn("p", F.first(F.struct("node", "n", "c")).over(ordered)).where(f"p.c <> c AND {_fits('p.n', 'n', percent)}")
+        nearest = pivots.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).count()
+        if tried is not None:
+            nearest = nearest.join(tried, ["a", "b"], "left_anti")
+        nearest = written(nearest.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"), "pairs")
+        found = _verified(nearest, texts, k, percent)
+        edges = written(found if edges is None else edges.unionByName(found), "edges")
+        tried = nearest if tried is None else tried.unionByName(nearest)
+        components = written(connected_components(edges), "components")
+        live = _renewed(live, _with_component(live, components))
+    x, y = live.alias("x"), live.alias("y")
+    met = x.join(y, F.expr(f"x.token = y.token AND x.c < y.c AND {_fits('x.n', 'y.n', percent)}"))
+    pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("x.l", "y.l")).alias("l")).where("m >= l").select("a", "b")
+    pairs = pairs.join(tried.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")), F.expr("least(a, b) = p AND greatest(a, b) = q"), "left_anti")
+    edges = written(edges.unionByName(_verified(pairs, texts, k, percent)), "edges")
+    forget(texts)
+    return written(connected_components(edges), "components")
+
+
+def _renewed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """`new` written, `old` deleted, and the shuffle files of finished jobs released."""
+    out = written(new, "postings")
+    forget(old)
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
