@@ -14,6 +14,7 @@ MODULES = (
     "store",
     "reconcile",
     "predicates",
+    "scalars",
 )
 
 
