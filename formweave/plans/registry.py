@@ -15,6 +15,9 @@ MODULES = (
     "reconcile",
     "predicates",
     "scalars",
+    "matching",
+    "language",
+    "geometry",
 )
 
 
