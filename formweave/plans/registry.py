@@ -16,8 +16,10 @@ MODULES = (
     "predicates",
     "scalars",
     "matching",
+    "extraction",
     "language",
     "geometry",
+    "state",
 )
 
 
