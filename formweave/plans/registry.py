@@ -20,6 +20,7 @@ MODULES = (
     "language",
     "geometry",
     "state",
+    "documents",
 )
 
 
