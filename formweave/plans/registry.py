@@ -21,6 +21,8 @@ MODULES = (
     "geometry",
     "state",
     "documents",
+    "secondary",
+    "breadth",
 )
 
 
