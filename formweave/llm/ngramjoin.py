@@ -6,7 +6,8 @@ HEAVY most frequent of it are broadcast (others count as rare; the order decides
 that link share their first l common shingles within the first n - need + l of either, for every l. A class takes the l
 of the least estimated cost, from the frequencies in its prefix, and a pair needs the smaller l of the two in common.
 
-Pairs are not expanded within groups of copies: each class is verified against one pivot, the class of its posting lists
+Each of these common shingles also stands early enough for the rest of both sets to make up the overlap; that drops most
+pairs of a group of copies whose own changes are too many. Pairs are not expanded within groups of copies: each class is verified against one pivot, the class of its posting lists
 whose shingles most others share, twice; only classes still in different components are then paired in full.
 Every pair that could join two components is verified by exact set sizes, so components are exact (up to collisions of
 64-bit hashes, of the order of N*N/2**65 for N classes).
@@ -102,7 +103,7 @@ def prefix_plan(frequency: np.ndarray, need: int) -> int:
 
 
 def _postings(src: DataFrame, k: int, percent: int, heavy) -> DataFrame:
-    """(token, node, n, l) of the prefixes of all classes; a class comes once from each task."""
+    """(token, node, n, l, i) of the prefixes of all classes, i the place in the order; a class comes once from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = heavy.value
@@ -122,13 +123,18 @@ def _postings(src: DataFrame, k: int, percent: int, heavy) -> DataFrame:
             if parts:
                 sizes = [len(p[0]) for p in parts]
                 columns = [np.repeat(np.array([p[i] for p in parts], t), sizes) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32))]
-                yield pa.record_batch([pa.array(_signed(np.concatenate([p[0] for p in parts]))), *map(pa.array, columns)], ["token", "node", "n", "l"])
+                columns.append(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]))
+                yield pa.record_batch([pa.array(_signed(np.concatenate([p[0] for p in parts]))), *map(pa.array, columns)], ["token", "node", "n", "l", "i"])
 
-    return src.mapInArrow(run, "token long, node long, n int, l int")
+    return src.mapInArrow(run, "token long, node long, n int, l int, i int")
 
 
 def _fits(a: str, b: str, percent: int) -> str:
-    return f"100L * least({a}, {b}) >= {percent}L * greatest({a}, {b})"
+    """A condition on two postings of a token that every pair of similar sets meets at its first l common tokens: sizes,
+    and places early enough that what follows can still make up the overlap."""
+    sizes = f"100L * least({a}.n, {b}.n) >= {percent}L * greatest({a}.n, {b}.n)"
+    early = (f"{100 + percent}L * ({x}.n - {x}.i + least({a}.l, {b}.l) - 1) >= {percent}L * ({a}.n + {b}.n)" for x in (a, b))
+    return " AND ".join([sizes, *early])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -154,13 +160,13 @@ def _with_component(postings: DataFrame, components: DataFrame) -> DataFrame:
     """Postings with the components so far, of the tokens that still have two of them."""
     named = postings.drop("c").join(components.select(F.col("node"), F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
     ends = Window.partitionBy("token")
-    return named.withColumns({"lo": F.min("c").over(ends), "hi": F.max("c").over(ends)}).where("lo <> hi").select("token", "node", "n", "l", "w", "c")
+    return named.withColumns({"lo": F.min("c").over(ends), "hi": F.max("c").over(ends)}).where("lo <> hi").select("token", "node", "n", "l", "i", "w", "c")
 
 
 def link_classes(src: DataFrame, classes: DataFrame, k: int, percent: int, heavy) -> DataFrame:
     """(node, component) of classes (sig, id) that link with another; `src` is (id, text, mark)."""
     by_token = Window.partitionBy("token")
-    spread = _postings(src, k, percent, heavy).repartition("token").groupBy("token", "node").agg(F.min("n").alias("n"), F.min("l").alias("l"))
+    spread = _postings(src, k, percent, heavy).repartition("token").groupBy("token", "node").agg(*(F.min(c).alias(c) for c in ("n", "l", "i")))
     live = written(spread.withColumn("m", F.count(F.lit(1)).over(by_token)).where("m > 1"), "postings")
     wanted = live.groupBy(F.col("node").alias("sig")).agg(F.sum("m").alias("w"))
     texts = written(src.join(classes.join(wanted, "sig").select("sig", "id", "mark"), ["id", "mark"]).groupBy("sig").agg(F.min("text").alias("text")), "texts")
@@ -171,8 +177,9 @@ def link_classes(src: DataFrame, classes: DataFrame, k: int, percent: int, heavy
     components = None
     for _ in range(2):
         named = live.withColumn("c", F.col("node")) if components is None else live
-        pivots = named.withColumn("p", F.first(F.struct("node", "n", "c")).over(ordered)).where(f"p.c <> c AND {_fits('p.n', 'n', percent)}")
-        nearest = pivots.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).count()
+        own = F.struct("node", "n", "l", "i", "c")
+        pivots = named.select(own.alias("x"), F.first(own).over(ordered).alias("p")).where(f"p.c <> x.c AND {_fits('p', 'x', percent)}")
+        nearest = pivots.groupBy(F.col("p.node").alias("a"), F.col("x.node").alias("b")).count()
         if tried is not None:
             nearest = nearest.join(tried, ["a", "b"], "left_anti")
         nearest = written(nearest.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"), "pairs")
@@ -182,7 +189,7 @@ def link_classes(src: DataFrame, classes: DataFrame, k: int, percent: int, heavy
         components = written(connected_components(edges), "components")
         live = _renewed(live, _with_component(live, components))
     x, y = live.alias("x"), live.alias("y")
-    met = x.join(y, F.expr(f"x.token = y.token AND x.c < y.c AND {_fits('x.n', 'y.n', percent)}"))
+    met = x.join(y, F.expr(f"x.token = y.token AND x.c < y.c AND {_fits('x', 'y', percent)}"))
     pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("x.l", "y.l")).alias("l")).where("m >= l").select("a", "b")
     pairs = pairs.join(tried.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")), F.expr("least(a, b) = p AND greatest(a, b) = q"), "left_anti")
     edges = written(edges.unionByName(_verified(pairs, texts, k, percent)), "edges")
