@@ -1,8 +1,8 @@
-"""Language and script detection as column expressions."""
+"""Language and script detection, font choice, local digits."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Scripts in order of precedence, with the first and last code point and the default language.
@@ -37,13 +37,19 @@ WORDS = {
 LETTERS = {"es": "[ñ¿¡]", "fr": "[çœàèùâêîôû]", "de": "[ßäöü]"}
 
 
-def script_of(c: Column) -> Column:
-    """Struct (script, lang, share) of the script with the most letters, if it has more than 12 % of them; else null."""
-    letters = F.greatest(F.regexp_count(c, F.lit(r"\p{L}")), F.lit(1))
-    counts = [F.struct(F.regexp_count(c, F.lit(f"[{chr(a)}-{chr(b)}]")).alias("n"), F.lit(-k).alias("k"), F.lit(s).alias("script"), F.lit(lang).alias("lang")) for k, (s, a, b, lang) in enumerate(SCRIPTS)]
-    best = F.array_max(F.array(*counts))
-    share = best.n / letters
-    return F.when((best.n > 0) & (share > SCRIPT_SHARE), F.struct(best.script.alias("script"), best.lang.alias("lang"), share.alias("share")))
+def script_counts(c: Column) -> Column:
+    """Struct (n, k, script, lang) of the script with the most characters, the first of equals."""
+    return F.array_max(F.array(*(F.struct(F.regexp_count(c, F.lit(f"[{chr(a)}-{chr(b)}]")).alias("n"), F.lit(-k).alias("k"), F.lit(s).alias("script"), F.lit(lang).alias("lang")) for k, (s, a, b, lang) in enumerate(SCRIPTS))))
+
+
+def with_script(df: DataFrame, text_col: str) -> DataFrame:
+    """`df` with the struct `script` (script, lang, share) of each text: the main script, if it has more than 12 % of the
+    letters; else null. Counts are columns of their own, so that each regex runs once a text."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    counted = df.withColumns({"_top": script_counts(t), "_letters": F.greatest(F.regexp_count(t, F.lit(r"\p{L}")), F.lit(1))})
+    share = F.col("_top.n") / F.col("_letters")
+    found = F.when((F.col("_top.n") > 0) & (share > SCRIPT_SHARE), F.struct("_top.script", "_top.lang", share.alias("share")))
+    return counted.withColumn("script", found).drop("_top", "_letters")
 
 
 def latin_votes(c: Column) -> dict[str, Column]:
@@ -56,16 +62,16 @@ def latin_votes(c: Column) -> dict[str, Column]:
     return out
 
 
-def language_of(c: Column) -> Column:
-    """Struct (lang, confidence): the script's language, else the vote; nothing counts as English without confidence."""
-    votes = latin_votes(c)
-    best = F.array_max(F.array(*(F.struct(v.alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, v) in enumerate(votes.items()))))
-    total = sum(votes.values(), F.lit(0))
-    script = script_of(c)
-    lang = F.coalesce(script.lang, F.when(total > 0, best.lang).otherwise("en"))
-    confidence = F.coalesce(script.share, F.when(total > 0, best.n / total).otherwise(0.0))
-    empty = F.trim(F.coalesce(c, F.lit(""))) == ""
-    return F.struct(F.when(empty, "en").otherwise(lang).alias("lang"), F.when(empty, 0.0).otherwise(confidence).alias("confidence"))
+def with_language(df: DataFrame, text_col: str) -> DataFrame:
+    """`df` with the struct `language` (lang, confidence): the script's language, else the vote; nothing counts as
+    English without confidence."""
+    votes = [F.struct(v.alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, v) in enumerate(latin_votes(F.coalesce(F.col(text_col), F.lit(""))).items())]
+    d = with_script(df, text_col).withColumn("_votes", F.array(*votes))
+    d = d.withColumns({"_best": F.array_max("_votes"), "_total": F.aggregate("_votes", F.lit(0), lambda n, x: n + x.n)})
+    some = F.col("_total") > 0
+    lang = F.coalesce("script.lang", F.when(some, F.col("_best.lang")).otherwise("en"))
+    confidence = F.coalesce("script.share", F.when(some, F.col("_best.n") / F.col("_total")).otherwise(0.0))
+    return d.withColumn("language", F.struct(lang.alias("lang"), confidence.alias("confidence"))).drop("_votes", "_best", "_total", "script")
 
 
 def font_of(c: Column) -> Column:

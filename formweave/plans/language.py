@@ -20,7 +20,7 @@ _DETECT = f"{_BEST}, {_VOTE} SELECT src.id, coalesce(s.lang, CASE WHEN total > 0
 
 
 def _detect(df):
-    return df.withColumn("l", L.language_of(F.col("t"))).select("id", "l.lang", F.round("l.confidence", 6).alias("confidence"))
+    return L.with_language(df, "t").select("id", "language.lang", F.round("language.confidence", 6).alias("confidence"))
 
 
 @query("f14_detect_language", f"WITH src AS (SELECT doc_id AS id, text AS t FROM documents), {_DETECT}")
@@ -35,7 +35,7 @@ def a10(spark, sf):
 
 @query("a11_script_share", f"WITH {_TEXTS.cte}, src AS (SELECT * FROM texts), {_BEST} SELECT id, script, round(share, 6)::DOUBLE AS share FROM s")
 def a11(spark, sf):
-    return _TEXTS.frame(spark).withColumn("s", L.script_of(F.coalesce("t", F.lit("")))).where("s IS NOT NULL").select("id", "s.script", F.round("s.share", 6).alias("share"))
+    return L.with_script(_TEXTS.frame(spark), "t").where("script IS NOT NULL").select("id", "script.script", F.round("script.share", 6).alias("share"))
 
 
 @query("f18_font_choice", f"WITH {_TEXTS.cte} SELECT id, CASE WHEN regexp_matches(t, '[\\x{{3040}}-\\x{{30FF}}]') THEN 'cjk-jp' WHEN regexp_matches(t, '[\\x{{AC00}}-\\x{{D7AF}}]') THEN 'cjk-kr' WHEN regexp_matches(t, '\\p{{Han}}') THEN 'cjk-sc' WHEN regexp_matches(t, '\\p{{Devanagari}}') THEN 'devanagari' WHEN regexp_matches(t, '\\p{{Arabic}}') THEN 'arabic' WHEN regexp_matches(t, '[\\x{{0370}}-\\x{{04FF}}]') THEN 'cyrillic-greek' ELSE 'latin' END AS font FROM texts WHERE t IS NOT NULL")
