@@ -1,7 +1,7 @@
 """Operator 8, fuzzy line deduplication by MinHash; DataFrame operations only.
 
-A line, trimmed and lower-cased, of at least MIN_CHARS characters is the set of its character shingles: up to SHINGLE
-characters from each start of a word (in scripts without spaces, from each character). Its signature is its BOTTOM least
+A line, trimmed and lower-cased, of at least MIN_CHARS characters is the set of its character shingles: the SHINGLE
+characters from every position, in any script; a line of fewer characters is one shingle. Its signature is its BOTTOM least
 shingle hashes; every pair of them is a band key, so that lines of similarity 0.8 share a band with high probability.
 In each band a line is compared with the band's first line and with the one before it, in two different orders, never
 with all; pairs are verified by the exact Jaccard similarity of their sets, and verified pairs joined by a distributed
@@ -24,7 +24,10 @@ from formweave.llm.common import forget, table, written
 from formweave.llm.components import connected_components
 
 MIN_CHARS, SHINGLE, BOTTOM, SIMILAR = 32, 12, 5, 0.8
-_STARTS = r"(?:(?<!\S)|(?=[⺀-￿]))(?=(\S.{0,%d}))" % (SHINGLE - 1)
+#: The shingles as a pattern; the operator cuts them by position, which costs half as much.
+_STARTS = r"(?s)(?=(.{%d}|^.{1,%d}$))" % (SHINGLE, SHINGLE - 1)
+#: A signature is first sought among so many expected shingles, the least of the line's.
+_FEW = 20
 
 
 def _lines(src: DataFrame) -> DataFrame:
@@ -34,14 +37,43 @@ def _lines(src: DataFrame) -> DataFrame:
     return each.withColumn("line_id", F.xxhash64("line"))
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hashes(line: str) -> Column:
+    """The hash of each shingle: in UTF-32 every character has four bytes, so a position is found without a scan."""
+
+    def cut(u: Column) -> Column:
+        last = F.greatest((F.length(u) / 4).cast("int") - SHINGLE, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(u, i * 4 + 1, F.lit(4 * SHINGLE))))
+
+    return _let(F.encode(line, "UTF-32"), cut)
+
+
 def _shingles(line: str) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(_STARTS), F.lit(1)), lambda s: F.xxhash64(s)))
+    return F.array_distinct(_hashes(line))
+
+
+def _least(line: str) -> Column:
+    """The BOTTOM least distinct hashes in order: those under a bound where enough are, else of all."""
+
+    def least(s: Column) -> Column:
+        return F.slice(F.sort_array(F.array_distinct(s)), 1, BOTTOM)
+
+    def of(s: Column) -> Column:
+        bound = (F.lit(-(2.0**63)) + F.lit(2.0**64 * _FEW) / F.size(s)).cast("long")
+        few = F.when(F.size(s) > 2 * _FEW, least(F.filter(s, lambda x: x < bound)))
+        return _let(few, lambda f: F.when(F.size(f) == BOTTOM, f).otherwise(least(s)))
+
+    return _let(_hashes(line), of)
 
 
 def _bands(lines: DataFrame) -> DataFrame:
     """(key, line_id): a line's band keys, of distinct lines."""
     least = [f"m{k}" for k in range(BOTTOM)]
-    bottom = lines.select("line_id", F.array_sort(_shingles("line")).alias("s"))
+    bottom = lines.select("line_id", _least("line").alias("s"))
     signatures = bottom.select("line_id", *(F.get("s", F.lit(k)).alias(m) for k, m in enumerate(least))).distinct()
     pairs = [F.when(F.col(b).isNotNull(), F.xxhash64(a, b)) for i, a in enumerate(least) for b in least[i + 1 :]]
     alone = F.when(F.col(least[1]).isNull(), F.xxhash64(least[0], F.lit("alone")))
@@ -56,10 +88,14 @@ def _candidates(bands: DataFrame, order: Column) -> DataFrame:
     return pairs.select(F.least("line_id", "o.line_id").alias("a"), F.greatest("line_id", "o.line_id").alias("b")).distinct()
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a, b = (sets.select(F.col("line_id").alias(s), F.col("s").alias(f"s{s}")) for s in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(b, "b").join(a, "a").where(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar; the sets are made from the lines here, they are eight times as long."""
+    a, b = (texts.select(F.col("line_id").alias(s), F.col("line").alias(f"line_{s}")) for s in "ab")
+    similar = _let(
+        F.struct(_shingles("line_a").alias("sa"), _shingles("line_b").alias("sb")),
+        lambda x: _let(F.size(F.array_intersect(x.sa, x.sb)), lambda both: both >= SIMILAR * (F.size(x.sa) + F.size(x.sb) - both)),
+    )
+    return pairs.join(b, "b").join(a, "a").where(similar).select("a", "b")
 
 
 def line_components(lines: DataFrame) -> DataFrame:
@@ -69,14 +105,14 @@ def line_components(lines: DataFrame) -> DataFrame:
     bands = written(bands, "bands")
     wanted = bands.select("line_id").distinct()
     chosen = lines.select("line_id", "line").join(wanted, "line_id", "left_semi")
-    sets = written(chosen.groupBy("line_id").agg(F.min("line").alias("line")).select("line_id", _shingles("line").alias("s")), "lines")
-    edges = written(_similar(_candidates(bands.withColumn("c", F.col("line_id")), F.lit(0)), sets), "edges")
+    texts = written(chosen.groupBy("line_id").agg(F.min("line").alias("line")), "lines")
+    edges = written(_similar(_candidates(bands.withColumn("c", F.col("line_id")), F.lit(0)), texts), "edges")
     found = connected_components(edges)
     named = bands.join(found.select(F.col("node").alias("line_id"), F.col("component").alias("c")), "line_id", "left").withColumn("c", F.coalesce("c", "line_id"))
-    more = _similar(_candidates(named, F.xxhash64("line_id", F.lit("second order"))), sets)
+    more = _similar(_candidates(named, F.xxhash64("line_id", F.lit("second order"))), texts)
     both = written(edges.unionByName(more), "edges")
     found = connected_components(both)
-    for t in (bands, sets, edges):
+    for t in (bands, texts, edges):
         forget(t)
     return found.select(F.col("node").alias("line_id"), "component")
 

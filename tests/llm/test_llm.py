@@ -164,6 +164,54 @@ def test_line_dedup_edges(spark):
     assert Counter((r.doc_id, r.text) for r in out) == Counter([(1, None), (2, ""), (None, "x" * 40), (3, ""), (4, f"short\n{line}"), (4, f"short\n{line}"), (5, "short")])
 
 
+def line_groups(lines, similar=linededup.SIMILAR, n=12):
+    """Components of distinct lines by all pairs of shingle sets, which are cut here on their own."""
+    sets = [{x[i : i + n] for i in range(max(1, len(x) - n + 1))} for x in lines]
+    parent = list(range(len(lines)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if both and both >= similar * (len(x) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    return [root(k) for k in range(len(lines))]
+
+
+def removed_lines(spark, lines):
+    """Whether each line goes, when it is a document of its own."""
+    out = linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string"), "doc_id", "text").collect()
+    return [not r.text for r in sorted(out)]
+
+
+def test_line_dedup_shingles_of_every_position(spark):
+    lines = [
+        "https://www.example.org/reports/2019/annual",
+        "https://www.another-site.net/x/y/z/q/1234",
+        "see https://www.a.org/first/of/the/pages/index",
+        "see https://www.a.org/quite/another/place/list",
+        "0123456789abcdef0123456789abcdef0123aaaa",
+        "0123456789abffffeeeeddddccccbbbbaaaa9999",
+        "สวัสดีครับวันนี้อากาศดีมากเราไปเที่ยวทะเลกัน",
+        "สวัสดีครับวันนี้ฝนตกหนักต้องอยู่บ้านทั้งวันเลย",
+        "x" * 20 + "👍🏽 of a line with signs beyond the first plane 👍",
+        "x" * 20 + "👍🏽 of a line with signs beyond the first plane 👍!",
+        "a line of plain words that go on for quite a while, until it ends, somewhere far to the right of here",
+        "a line of plain words that go on for quite a while, until it ends, somewhere far to the right of her.",
+    ]
+    groups = line_groups(lines)
+    assert len(set(groups)) == 10
+    assert removed_lines(spark, lines) == [g in groups[:k] for k, g in enumerate(groups)]
+    hashed = spark.createDataFrame([(x,) for x in lines], "line string").select("line", linededup._shingles("line").alias("s"), linededup._least("line").alias("m")).collect()
+    for r in hashed:
+        assert len(r.s) == len({r.line[i : i + 12] for i in range(len(r.line) - 11)}) == len(set(re.findall(linededup._STARTS, r.line)))
+        assert r.m == sorted(r.s)[: linededup.BOTTOM]
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "same"), (2, None, "same"), (3, "http://c", None), (4, "u r l", ""), (5, "x", "é" * 500_000), (5, "x", "é" * 500_000), (None, "n", "same")]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, digest string")
