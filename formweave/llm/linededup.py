@@ -3,9 +3,10 @@
 A line, trimmed and lower-cased, of at least MIN_CHARS characters is the set of its character shingles: the SHINGLE
 characters from every position, in any script; a line of fewer characters is one shingle. Its signature is its BOTTOM least
 shingle hashes; every pair of them is a band key, so that lines of similarity 0.8 share a band with high probability.
-In each band a line is compared with the band's first line and with the one before it, in two different orders, never
-with all; pairs are verified by the exact Jaccard similarity of their sets, and verified pairs joined by a distributed
-union-find. Of every component the first occurrence stays, by id, then row, then position; the others are removed.
+In each band a line is first compared with the band's first line and with the one before it, in two different orders;
+pairs are verified by the exact Jaccard similarity of their sets, and verified pairs joined by a distributed union-find.
+The lines of bands that still hold several components then meet on their rarest shingles (a prefix filter that no similar
+pair escapes), and every such pair of different components is verified. Of every component the first occurrence stays, by id, then row, then position; the others are removed.
 
 Lines count once however often they occur: repeated ones are combined before each shuffle. Lines are known by 64-bit
 hashes (collisions of the order of N*N/2**65 for N distinct lines).
@@ -28,6 +29,8 @@ MIN_CHARS, SHINGLE, BOTTOM, SIMILAR = 32, 12, 5, 0.8
 _STARTS = r"(?s)(?=(.{%d}|^.{1,%d}$))" % (SHINGLE, SHINGLE - 1)
 #: A signature is first sought among so many expected shingles, the least of the line's.
 _FEW = 20
+#: Against rounding where a product should be whole.
+TINY = 1e-6
 
 
 def _lines(src: DataFrame) -> DataFrame:
@@ -98,6 +101,36 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(similar).select("a", "b")
 
 
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """(token, line_id, n, i): of each line the shingles that a similar line must share one of, rare ones first; i counts
+    from 0 in the order of all n, and the frequencies are those among these lines."""
+    each = texts.select("line_id", F.explode(_shingles("line")).alias("token"))
+    counts = each.groupBy("token").count()
+    ordered = each.join(counts, "token").groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("s"))
+    n = F.size("s")
+    prefix = F.slice("s", F.lit(1), n - F.ceil(SIMILAR * n - TINY).cast("int") + 1)
+    rows = ordered.select("line_id", n.alias("n"), F.posexplode(prefix).alias("i", "x"))
+    return rows.where("x.count > 1").select(F.col("x.token").alias("token"), "line_id", "n", "i")
+
+
+def _left_over(bands: DataFrame, texts: DataFrame, components: DataFrame) -> DataFrame:
+    """(a, b): all pairs that could be similar, of different components, among the lines of bands that hold several.
+
+    Of two lines the shorter holds the first common shingle in a prefix of about a ninth, the longer in one of a fifth."""
+    named = bands.join(components, "line_id", "left").withColumn("c", F.coalesce("c", "line_id"))
+    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 3 AND lo <> hi").select("key")
+    wanted = named.join(several, "key", "left_semi").select("line_id", "c").distinct()
+    rows = _prefixes(texts.join(wanted.select("line_id"), "line_id")).join(wanted, "line_id")
+    rows = written(rows, "prefixes")
+    share = SIMILAR / (1 + SIMILAR)
+    short = rows.where(F.col("n") - F.col("i") >= F.ceil(2 * share * F.col("n") - TINY)).alias("x")
+    x, y = (lambda k: F.col(f"x.{k}")), (lambda k: F.col(f"y.{k}"))
+    need = F.ceil(share * (x("n") + y("n")) - TINY)
+    sizes = (x("n") <= y("n")) & (x("n") >= SIMILAR * y("n")) & (x("n") - x("i") >= need) & (y("n") - y("i") >= need)
+    met = short.join(rows.alias("y"), (x("token") == y("token")) & (x("c") != y("c")) & sizes)
+    return met.select(F.least(x("line_id"), y("line_id")).alias("a"), F.greatest(x("line_id"), y("line_id")).alias("b")).distinct()
+
+
 def line_components(lines: DataFrame) -> DataFrame:
     """(line_id, component) of distinct lines that have a similar one."""
     w = Window.partitionBy("key")
@@ -112,6 +145,10 @@ def line_components(lines: DataFrame) -> DataFrame:
     more = _similar(_candidates(named, F.xxhash64("line_id", F.lit("second order"))), texts)
     both = written(edges.unionByName(more), "edges")
     found = connected_components(both)
+    rest = _similar(_left_over(bands, texts, found.select(F.col("node").alias("line_id"), F.col("component").alias("c"))), texts)
+    rest = written(rest, "edges")
+    if not rest.isEmpty():
+        found = connected_components(both.unionByName(rest))
     for t in (bands, texts, edges):
         forget(t)
     return found.select(F.col("node").alias("line_id"), "component")

@@ -212,6 +212,15 @@ def test_line_dedup_shingles_of_every_position(spark):
         assert r.m == sorted(r.s)[: linededup.BOTTOM]
 
 
+def test_line_dedup_in_bands_of_a_template(spark):
+    """Lines that share most of a template are not similar, but each has a twin: every twin is found."""
+    own = ["".join(hashlib.sha256(f"{k} {j}".encode()).hexdigest() for j in range(2))[:100] for k in range(400)]
+    template = " ".join(f"Word{j * j}" for j in range(30)).lower()
+    lines = [f"{template} {x}" for x in own] + [f"{template} {x}." for x in own]
+    assert line_groups(lines[:20] + lines[400:420])[:20] == line_groups(lines[:20] + lines[400:420])[20:]
+    assert removed_lines(spark, lines) == [False] * 400 + [True] * 400
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "same"), (2, None, "same"), (3, "http://c", None), (4, "u r l", ""), (5, "x", "é" * 500_000), (5, "x", "é" * 500_000), (None, "n", "same")]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, digest string")
