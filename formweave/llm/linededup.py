@@ -1,6 +1,6 @@
 """Operator 8, fuzzy line deduplication by MinHash; DataFrame operations only.
 
-A line, trimmed and lower-cased, of at least MIN_CHARS characters is the set of its character shingles: the SHINGLE
+A line, trimmed and lower-cased, of at least MIN_CHARS characters (those of scripts without spaces count twice) is the set of its character shingles: the SHINGLE
 characters from every position, in any script; a line of fewer characters is one shingle. Its signature is its BOTTOM least
 shingle hashes; every pair of them is a band key, so that lines of similarity 0.8 share a band with high probability.
 In each band a line is first compared with the band's first line and with the one before it, in two different orders;
@@ -11,7 +11,7 @@ pair escapes), and every such pair of different components is verified. Of every
 Lines count once however often they occur: repeated ones are combined before each shuffle. Lines are known by 64-bit
 hashes (collisions of the order of N*N/2**65 for N distinct lines).
 
-Defined results: null and empty texts have no lines that could go; shorter lines always stay; rows that repeat in id and
+Defined results: null and empty texts have no lines that could go; shorter lines always stay, and lines under SHINGLE characters go only if equal; rows that repeat in id and
 text are one document to the order and each kept alike; null ids come first; all columns of the input stay, and those of
 the operator's internal names do not clash; an empty table gives none.
 """
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from formweave.llm.common import forget, table, written
 from formweave.llm.components import connected_components
 
-MIN_CHARS, SHINGLE, BOTTOM, SIMILAR = 32, 12, 5, 0.8
+MIN_CHARS, SHINGLE, BOTTOM, SIMILAR = 6, 12, 5, 0.8
+#: Scripts whose words or syllables take a character or two: Thai, Lao, Tibetan, Myanmar, Khmer, the East Asian ones.
+_DENSE = r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\ud7ff\uf900-\ufaff\uff66-\uffdc\x{20000}-\x{3ffff}]"
 #: The shingles as a pattern; the operator cuts them by position, which costs half as much.
 _STARTS = r"(?s)(?=(.{%d}|^.{1,%d}$))" % (SHINGLE, SHINGLE - 1)
 #: A signature is first sought among so many expected shingles, the least of the line's.
@@ -36,7 +38,10 @@ TINY = 1e-6
 def _lines(src: DataFrame) -> DataFrame:
     """(id, mark, pos, line_id, line) of the lines that take part; `src` is (id, mark, text)."""
     each = src.select("id", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    each = each.withColumn("line", F.lower(F.trim("line"))).where(F.length("line") >= MIN_CHARS)
+    each = each.withColumn("line", F.lower(F.trim("line")))
+    enough = F.length("line") >= MIN_CHARS
+    enough |= (F.length("line") * 2 >= MIN_CHARS) & (F.length("line") + F.regexp_count("line", F.lit(_DENSE)) >= MIN_CHARS)
+    each = each.where(enough)
     return each.withColumn("line_id", F.xxhash64("line"))
 
 

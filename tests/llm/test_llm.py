@@ -221,6 +221,12 @@ def test_line_dedup_in_bands_of_a_template(spark):
     assert removed_lines(spark, lines) == [False] * 400 + [True] * 400
 
 
+def test_line_dedup_of_short_lines(spark):
+    lines = ["subscribe to our newsletter now", "read more", "今日は天気がいいので散歩に行きます。", "谢谢你", "วันนี้", "}", "of.", "谢谢"]
+    gone = removed_lines(spark, lines + lines + ["read mare", "今日は雨が強いので家で本を読みます。"])
+    assert gone == [False] * 8 + [True] * 5 + [False] * 5
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "same"), (2, None, "same"), (3, "http://c", None), (4, "u r l", ""), (5, "x", "é" * 500_000), (5, "x", "é" * 500_000), (None, "n", "same")]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, digest string")
