@@ -1,7 +1,8 @@
 """Operator 9, main text of web pages by composite text density.
 
 A forgiving tokenizer builds the DOM as arrays in page order. Elements that are never article text (scripts, menus,
-footers, adverts, forms, comments and the like, by tag, role or class words) are cut. Every other node gets its
+footers, adverts, forms, comments and the like, by tag, role or class words) are cut; one that only its class or id words
+would cut stays if it holds the greater part of the text, and density decides within it. Every other node gets its
 link-adjusted characters per tag; a node's density sum is that of its children. The node of the largest sum gives the
 threshold, the least density on its path to the body, and every node from the body down that reaches the threshold marks
 the largest-sum subtree below it. The article is the least subtree that holds all marked ones, so that headings and short
@@ -39,6 +40,8 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice alert sidebar sidenav comment comments disqus newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation footer popup modal overlay login signup pagination pager widget toolbar".split()
 )
+#: Words that say a noise word after them in the same name is of the layout, not of the element.
+MODIFIERS = frozenset("with has have no not without hide".split())
 #: Elements whose class words say nothing about one part of a page.
 WHOLE = frozenset("html body main article".split())
 #: Opening these ends an open element of the same group.
@@ -46,22 +49,23 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td"
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
+    r"|<(?:svg|math)(?=[\s/])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
     r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-z][^>]*>",
     re.I | re.S,
 )
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Page:
-    """Nodes in page order: tag, parent, noise; and text pieces (node, block, text)."""
+    """Nodes in page order: tag, parent, noise, and whether only words make them noise; and text pieces (node, block, text)."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.noise = ["#root"], [-1], [False]
+        self.tag, self.parent, self.noise, self.worded = ["#root"], [-1], [False], [False]
         self.pieces: list[tuple[int, int, str]] = []
         stack, block, at = [0], 0, 0
         for m in _TOKEN.finditer(source):
@@ -92,26 +96,60 @@ class Page:
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.noise.append(self.noise[stack[-1]] or self._is_noise(name, m["attrs"], stack))
+            noise, worded = self._is_noise(name, m["attrs"], stack)
+            self.noise.append(self.noise[stack[-1]] or noise)
+            self.worded.append(worded)
             if name not in VOID and not m["attrs"].endswith("/"):
                 stack.append(node)
         if at < len(source):
             self.pieces.append((stack[-1], block, source[at:]))
-
-    def _is_noise(self, name: str, attrs: str, stack: list[int]) -> bool:
+        if any(self.worded):
+            self._cut_worded()
+
+    def _cut_worded(self) -> None:
+        """Noise of class and id words, where it is not the greater part of the text."""
+        n = len(self.tag)
+        chars = [0] * n
+        for node, _, text in self.pieces:
+            if not self.noise[node]:
+                chars[node] += sum(map(len, html.unescape(text).split()))
+        for k in range(n - 1, 0, -1):
+            chars[self.parent[k]] += chars[k]
+        for k in range(1, n):
+            self.noise[k] = self.noise[k] or self.noise[self.parent[k]] or (self.worded[k] and 2 * chars[k] <= chars[0])
+
+    def _is_noise(self, name: str, attrs: str, stack: list[int]) -> tuple[bool, bool]:
+        """Whether the element is noise in any case, and whether its class or id words say so."""
         if name in NOISE_TAGS:
-            return True
+            return True, False
         if name == "header" and not any(self.tag[k] in ("article", "main") for k in stack):
-            return True
+            return True, False
         if not attrs or name in WHOLE:
+            return False, False
+        worded = False
+        for key, *values in _ATTR.findall(attrs):
+            key, value = key.lower(), "".join(values)
+            if key in ("class", "id"):
+                worded = worded or any(map(_is_worded, value.split()))
+            elif (
+                (key == "role" and value.lower() in NOISE_ROLES)
+                or (key == "hidden" and not value.lower().startswith("until"))
+                or (key == "aria-hidden" and value.strip().lower() == "true")
+                or (key == "style" and _NOT_SHOWN.search(value))
+            ):
+                return True, False
+        return False, worded
+
+
+def _is_worded(name: str) -> bool:
+    """A class or id name with a noise word that no modifier stands before."""
+    for w in _WORDS.findall(name):
+        w = w.lower()
+        if w in MODIFIERS:
             return False
-        if _HIDDEN.search(attrs):
+        if w in NOISE_WORDS:
             return True
-        for key, *values in _ATTR.findall(attrs):
-            value = "".join(values)
-            if value.lower() in NOISE_ROLES if key.lower() == "role" else any(w.lower() in NOISE_WORDS for w in _WORDS.findall(value)):
-                return True
-        return False
+    return False
 
 
 def main_text(source: str | None) -> str:

@@ -251,6 +251,20 @@ def test_html(spark, sf):
     assert [htmltext.main_text(x) for x in (None, "", "<p>", "plain")] == ["", "", "", "plain"]
 
 
+def test_html_wrappers_that_are_not_noise():
+    article = "<p>The first paragraph of an article, with some words in it.</p><p>And then a second one that goes on.</p>"
+    want = "The first paragraph of an article, with some words in it.\nAnd then a second one that goes on."
+    kept = ["class='overflow-hidden'", 'style="overflow:hidden"', 'aria-hidden="false"', "data-hidden=x", "hidden='until-found'", "class='content with-sidebar'", "class=no-sidebar", "id='layout-with-sidebar'", "class='has-banner'", "class='widget'", "title='share role=menu'"]
+    for attrs in kept:
+        assert htmltext.main_text(f"<body><div {attrs}>{article}</div></body>") == want, attrs
+        assert htmltext.main_text(f"<body><div {attrs}>{article}<div class='share'><p>Tell a friend</p></div></div></body>") == want, attrs
+    other = "<p>Something else that stands beside it, in a longer text than that of the article which is on this page, and more.</p>"
+    for attrs in ("hidden", "HIDDEN=''", "aria-hidden=true", 'style="color:red; display: none"', "role=menu", "hidden class='no-sidebar'"):
+        assert htmltext.main_text(f"<body><div>{article}</div><div {attrs}>{other}</div></body>") == want, attrs
+    assert htmltext.main_text(f"<body><div><svg viewBox='0 > 1'/>{article}</div></body>") == want
+    assert htmltext.main_text(f"<body><div><svg><text>x</text></svg><math/>{article}</div></body>") == want
+
+
 def test_sharding(spark, sf):
     names = sharding.shard_names()
     filled = sharding.fill_table(names)
