@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the least doc_id."""
-    return ngramjoin.keep_one(docs, "doc_id", "text")
+    """One document of each group of near duplicates (five-word shingles, 80 %) stays, that of the least doc_id."""
+    return ngramjoin.keep_one(docs, "doc_id", "text", words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

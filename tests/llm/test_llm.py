@@ -302,3 +302,12 @@ def test_pipeline(spark, sf):
     assert docs.where("n_chars <> length(text)").count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, last.collect()))
+
+
+def test_pipeline_near_duplicates_of_80_percent(spark, sf):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + [f"x{k}" for k in range(22)])), (3, " ".join(words + [f"y{k}" for k in range(40)]))]
+    kept = corpus_pipeline.ngram_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
