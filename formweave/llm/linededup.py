@@ -18,6 +18,8 @@ the operator's internal names do not clash; an empty table gives none.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ _STARTS = r"(?s)(?=(.{%d}|^.{1,%d}$))" % (SHINGLE, SHINGLE - 1)
 _FEW = 20
 #: Against rounding where a product should be whole.
 TINY = 1e-6
+#: Buckets of shingles whose frequencies order the prefixes.
+BUCKETS = 1 << 16
 
 
 def _lines(src: DataFrame) -> DataFrame:
@@ -108,14 +112,19 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _prefixes(texts: DataFrame) -> DataFrame:
     """(token, line_id, n, i): of each line the shingles that a similar line must share one of, rare ones first; i counts
-    from 0 in the order of all n, and the frequencies are those among these lines."""
-    each = texts.select("line_id", F.explode(_shingles("line")).alias("token"))
-    counts = each.groupBy("token").count()
-    ordered = each.join(counts, "token").groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("s"))
+    from 0 in the order of all n. Rarity is that of the shingle's bucket among these lines, in steps of a byte: it decides
+    cost, never results, and needs no shuffle of all shingles."""
+    bucket = lambda t: F.pmod(t, F.lit(BUCKETS)).cast("int")
+    counts = texts.select(F.explode(_shingles("line")).alias("token")).groupBy(bucket(F.col("token")).alias("bucket")).count()
+    ranks = bytearray(BUCKETS)
+    for r in counts.collect():
+        ranks[r["bucket"]] = min(255, int(8 * math.log2(r["count"])))
+    rank = F.lit(bytes(ranks))
+    ordered = texts.select("line_id", F.sort_array(F.transform(_shingles("line"), lambda t: F.struct(F.substring(rank, bucket(t) + 1, F.lit(1)).alias("rank"), t.alias("token")))).alias("s"))
     n = F.size("s")
     prefix = F.slice("s", F.lit(1), n - F.ceil(SIMILAR * n - TINY).cast("int") + 1)
     rows = ordered.select("line_id", n.alias("n"), F.posexplode(prefix).alias("i", "x"))
-    return rows.where("x.count > 1").select(F.col("x.token").alias("token"), "line_id", "n", "i")
+    return rows.select(F.col("x.token").alias("token"), "line_id", "n", "i")
 
 
 def _left_over(bands: DataFrame, texts: DataFrame, components: DataFrame) -> DataFrame:
