@@ -2,7 +2,8 @@
 
 Each round replaces every node's neighbours by stars around the least of them until the edges are stars around each
 component's least node. Rounds are written to the shared folder, so lineage stays short and lost executors cost one
-round. No node's neighbours meet in one task: minima are combined before the shuffle and joined back.
+round. Minima are combined before the shuffle; they are written before they are joined back, so that adaptive execution
+can split the neighbours of a node that has very many.
 """
 
 from __future__ import annotations
@@ -13,26 +14,36 @@ from pyspark.sql import functions as F
 from formweave.llm.common import forget, written
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """`edges` (u, v) with u > v. Large: each neighbour above u moves to u's least neighbour; small: those below do."""
+def _stars(edges: DataFrame, large: bool, label: str) -> tuple[DataFrame, DataFrame]:
+    """`edges` (u, v) with u > v. Large: each neighbour above u moves to u's least neighbour; small: those below do. Also
+    the table that the result reads."""
     sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    least = written(least, label)
     joined = sides.join(least, F.col("u") == F.col("c"))
     if large:
-        return joined.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        return joined.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
     moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
+    return moved.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct(), least
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node either has a single lesser neighbour that has none, or none."""
+    up, down = edges.select(F.col("u").alias("node"), "v"), edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("v"))
+    ends = up.unionByName(down).groupBy("node").agg(F.count("v").alias("n"), F.count(F.lit(1)).alias("all"))
+    return ends.where("n > 1 OR (n = 1 AND all > 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, component) of all nodes of `edges` (a, b): the component's least node. Loops and repeated edges do nothing."""
     now = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = written(now, label), None
-    while True:
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        last, before = now, state
-        now = written(_stars(_stars(now, True), False), label)
-        forget(last)
+    now = written(now, label)
+    while not _all_stars(now):
+        large, reads = _stars(now, True, label)
+        large = written(large, label)
+        small, also = _stars(large, False, label)
+        after = written(small, label)
+        for t in (now, reads, large, also):
+            forget(t)
+        now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -6,11 +6,13 @@ HEAVY most frequent of it are broadcast (others count as rare; the order decides
 that link share their first l common shingles within the first n - need + l of either, for every l. A class takes the l
 of the least estimated cost, from the frequencies in its prefix, and a pair needs the smaller l of the two in common.
 
-Each of these common shingles also stands early enough for the rest of both sets to make up the overlap; that drops most
-pairs of a group of copies whose own changes are too many. Pairs are not expanded within groups of copies: each class is verified against one pivot, the class of its posting lists
-whose shingles most others share, twice; only classes still in different components are then paired in full.
-Every pair that could join two components is verified by exact set sizes, so components are exact (up to collisions of
-64-bit hashes, of the order of N*N/2**65 for N classes).
+Each of these common shingles also stands early enough for the rest of both sets to make up the overlap. Pairs are not
+expanded within groups of copies. A class is first verified against one centre, the class of its posting lists whose
+shingles most others share. In lists that then still hold several components, those of SHORT_LIST classes are paired
+directly. Classes of longer lists meet on what is not common: each is taken as its difference from the list's centre, and
+two classes that do not both link with the centre are similar only if they share rare parts of their differences, so the
+pairs do not grow with the square of a group. Every pair that could join two components is verified by exact set sizes,
+so components are exact (up to collisions of 64-bit hashes, of the order of N*N/2**65 for N classes).
 
 Defined results: null texts and texts without words have empty sets, link with nothing and are their own component; rows
 of one id are each returned; a row with a null id links with nothing, its component is null; extra columns are ignored
@@ -20,10 +22,10 @@ by `near_duplicates` and kept by `keep_one`; an empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ WORDS, PERCENT = 4, 85
 #: Shingles in the frequency order, and those of a slice that are counted beyond it. Bounds of a statistic for the order.
 HEAVY, HEAVY_SLICE, HEAVY_LEAST = 1 << 18, 20_000, 4
 MOST_MATCHES = 8
+#: Classes in a posting list whose members are paired directly; those of longer lists meet on their differences from its centre.
+SHORT_LIST = 16
 #: Estimated costs of reading a posting and of verifying a candidate.
 READ_COST, VERIFY_COST = 1.0, 20.0
 _MIX1, _MIX2, _BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -45,25 +49,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_sets(texts: list[bytes | None], k: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array | list[bytes | None], k: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text. Words are runs between ASCII white space, A-Z lower-cased."""
     import xxhash
 
-    words = [t.lower().split() if t else [] for t in texts]
-    kinds = dict.fromkeys(chain.from_iterable(words))
-    value = np.fromiter(map(xxhash.xxh3_64_intdigest, kinds), np.uint64, len(kinds))
-    number = dict(zip(kinds, range(len(kinds))))
-    out = []
-    for ws in words:
-        if not ws:
+    lowered = pc.ascii_lower(pc.fill_null(pa.array(texts, pa.binary()), b"").view(pa.string()))
+    lists = pc.ascii_split_whitespace(lowered)
+    ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text leaves an empty word
+    if (n_words := pc.sum(real).as_py() or 0) < len(words):
+        ends = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[ends]
+        words = words.filter(real)
+    kinds = words.dictionary_encode()
+    value = np.fromiter(map(xxhash.xxh3_64_intdigest, kinds.dictionary.view(pa.binary()).to_pylist()), np.uint64, len(kinds.dictionary))
+    h = value[kinds.indices.to_numpy()] if n_words else np.empty(0, np.uint64)
+    acc = np.full(max(0, n_words - k + 1), k, np.uint64)
+    for j in range(k):
+        acc = acc * _BASE + h[j : j + len(acc)]
+    acc, out = _mix(acc), []
+    for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if end - start >= k:
+            x = np.sort(acc[start : end - k + 1])
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x)
+        elif end > start:
+            few = np.full(1, end - start, np.uint64)
+            for j in range(start, end):
+                few = few * _BASE + h[j]
+            out.append(_mix(few))
+        else:
             out.append(np.empty(0, np.uint64))
-            continue
-        h = value[list(map(number.__getitem__, ws))]
-        n = max(1, len(h) - k + 1)
-        acc = np.full(n, min(k, len(h)), np.uint64)
-        for j in range(min(k, len(h))):
-            acc = acc * _BASE + h[j : j + n]
-        out.append(np.unique(_mix(acc)))
     return out
 
 
@@ -81,7 +96,7 @@ def _describe(src: DataFrame, k: int) -> DataFrame:
     """One pass: rows (id, n, sig) of documents with rows (token, count) of what is frequent in a slice."""
 
     def work(piece: pa.RecordBatch) -> list[pa.RecordBatch]:
-        sets = shingle_sets(piece.column("text").to_pylist(), k)
+        sets = shingle_sets(piece.column("text"), k)
         sigs = [signature(s) if len(s) else None for s in sets]
         docs = pa.record_batch([piece.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64()), piece.column("mark")], names)
         tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *dict(zip(sigs, sets, strict=True)).values()]), return_counts=True)
@@ -102,24 +117,45 @@ def prefix_plan(frequency: np.ndarray, need: int) -> int:
     return int(np.argmin(READ_COST * reads + VERIFY_COST * reads / np.arange(1, most + 1))) + 1
 
 
+class _Order:
+    """Frequencies of shingles as far as they are known: those of the broadcast table, 1 for all others."""
+
+    SLOTS = 1 << 22
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray) -> None:
+        self.tokens, self.counts = tokens, counts
+        self.slots = np.zeros(self.SLOTS, bool)
+        self.slots[(tokens & np.uint64(self.SLOTS - 1)).astype(np.int64)] = True
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        out = np.ones(len(s), np.int64)
+        maybe = np.flatnonzero(self.slots[(s & np.uint64(self.SLOTS - 1)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.tokens, s[maybe]), len(self.tokens) - 1)
+            out[maybe] = np.where(self.tokens[at] == s[maybe], self.counts[at], 1)
+        return out
+
+
 def _postings(src: DataFrame, k: int, percent: int, heavy) -> DataFrame:
     """(token, node, n, l, i) of the prefixes of all classes, i the place in the order; a class comes once from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = heavy.value
+        order = _Order(*heavy.value)
         done: set[int] = set()
         for piece in slices(batches, "text"):
+            sets = shingle_sets(piece.column("text"), k)
+            frequencies = np.split(order.of(np.concatenate([np.empty(0, np.uint64), *sets])), np.cumsum([len(s) for s in sets])[:-1])
             parts: list[tuple[np.ndarray, int, int, int]] = []
-            for s in shingle_sets(piece.column("text").to_pylist(), k):
+            for s, frequency in zip(sets, frequencies, strict=True):
                 if not len(s) or (sig := signature(s)) in done:
                     continue
                 done.add(sig)
-                at = np.searchsorted(tokens, s)
-                frequency = np.where(tokens[np.minimum(at, len(tokens) - 1)] == s, counts[np.minimum(at, len(tokens) - 1)], 1) if len(tokens) else np.ones(len(s), np.int64)
-                order = np.lexsort((s, frequency))
+                if frequency.max() > 1:
+                    by = np.argsort(frequency, kind="stable")
+                    s, frequency = s[by], frequency[by]
                 need = -(-percent * len(s) // 100)
-                matches = prefix_plan(frequency[order], need)
-                parts.append((s[order[: len(s) - need + matches]], sig, len(s), matches))
+                matches = prefix_plan(frequency, need)
+                parts.append((s[: len(s) - need + matches], sig, len(s), matches))
             if parts:
                 sizes = [len(p[0]) for p in parts]
                 columns = [np.repeat(np.array([p[i] for p in parts], t), sizes) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32))]
@@ -156,53 +192,121 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return arrow_map(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), work, "a long, b long", "text_b")
 
 
-def _with_component(postings: DataFrame, components: DataFrame) -> DataFrame:
-    """Postings with the components so far, of the tokens that still have two of them."""
-    named = postings.drop("c").join(components.select(F.col("node"), F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    ends = Window.partitionBy("token")
-    return named.withColumns({"lo": F.min("c").over(ends), "hi": F.max("c").over(ends)}).where("lo <> hi").select("token", "node", "n", "l", "i", "w", "c")
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """`pairs` (a, b, ...) with the texts of both."""
+    left, right = (texts.select(F.col("sig").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
+    return pairs.join(right, "b").join(left, "a").select(*pairs.columns, "text_a", "text_b")
+
+
+def _sets_of(piece: pa.RecordBatch, k: int) -> dict[int, np.ndarray]:
+    known: dict[int, bytes] = {}
+    for side in "ab":
+        known.update(zip(piece.column(side).to_pylist(), piece.column(f"text_{side}").to_pylist(), strict=True))
+    return dict(zip(known, shingle_sets(list(known.values()), k), strict=True))
+
+
+def _verified(pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs (a, b, text_a, text_b) of classes those whose sets are similar enough, by exact sizes."""
+
+    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+        sets, keep = _sets_of(piece, k), []
+        for a, b in zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), strict=True):
+            x, y = sets[a], sets[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        return piece.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return arrow_map(pairs, work, "a long, b long", "text_b")
+
+
+def _differences(members: DataFrame, k: int, percent: int, heavy) -> DataFrame:
+    """(p, x, token, n, d, i, short) of members (a: the centre p, b: x, text_a, text_b) of the lists of a centre.
+
+    A member's difference is the set of shingles that only one of x and p has. For two members the differences differ
+    exactly where their sets do; so, unless both link with p, similar ones share at least half of what is over the
+    allowed distance, and so a shingle of their prefixes: as many as the distance to the largest similar set, and for
+    the smaller difference half of that (`short`). What x adds comes before what it lacks, rare before frequent. A
+    member that links with its centre also gives a row without a token, whose `short` is null."""
+    names = ["p", "x", "token", "n", "d", "i", "short"]
+
+    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+        order, sets = _Order(*heavy.value), _sets_of(piece, k)
+        rows: list[tuple] = []
+        for p, x in zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), strict=True):
+            own, centre = sets[x], sets[p]
+            more, less = np.setdiff1d(own, centre, assume_unique=True), np.setdiff1d(centre, own, assume_unique=True)
+            n, d = len(own), len(more) + len(less)
+            more = more[np.argsort(order.of(more), kind="stable")]
+            most = (100 - percent) * n // percent
+            prefix = np.concatenate([more, less])[: most + 1]
+            if (100 + percent) * d <= (100 - percent) * (n + len(centre)):
+                rows.append((p, x, None, n, d, 0, None))
+            rows += [(p, x, t, n, d, i, i <= most // 2) for i, t in enumerate(_signed(prefix).tolist())]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    return arrow_map(members, work, "p long, x long, token long, n int, d int, i int, short boolean", "text_b")
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    return written(connected_components(edges), "components").select("node", F.col("component").alias("c"))
+
+
+def _in_component(rows: DataFrame, components: DataFrame, node: str, c: str) -> DataFrame:
+    """`rows` with the component `c` of the class `node`: the class itself where it has no links."""
+    found = components.select(F.col("node").alias("_node"), F.col("c").alias(c))
+    return rows.join(found, F.col(node) == F.col("_node"), "left").drop("_node").withColumn(c, F.coalesce(c, node))
 
 
 def link_classes(src: DataFrame, classes: DataFrame, k: int, percent: int, heavy) -> DataFrame:
-    """(node, component) of classes (sig, id) that link with another; `src` is (id, text, mark)."""
+    """(node, c): the components of classes (sig, id, mark) that link with another; `src` is (id, text, mark)."""
     by_token = Window.partitionBy("token")
     spread = _postings(src, k, percent, heavy).repartition("token").groupBy("token", "node").agg(*(F.min(c).alias(c) for c in ("n", "l", "i")))
     live = written(spread.withColumn("m", F.count(F.lit(1)).over(by_token)).where("m > 1"), "postings")
-    wanted = live.groupBy(F.col("node").alias("sig")).agg(F.sum("m").alias("w"))
-    texts = written(src.join(classes.join(wanted, "sig").select("sig", "id", "mark"), ["id", "mark"]).groupBy("sig").agg(F.min("text").alias("text")), "texts")
-    # the class whose shingles most others share is the centre of its group: what links within a group mostly links with it
-    live = _renewed(live, live.drop("m").join(wanted.select(F.col("sig").alias("node"), "w"), "node"))
-    ordered = by_token.orderBy(F.desc("w"), "node")
-    tried = edges = None
-    components = None
-    for _ in range(2):
-        named = live.withColumn("c", F.col("node")) if components is None else live
-        own = F.struct("node", "n", "l", "i", "c")
-        pivots = named.select(own.alias("x"), F.first(own).over(ordered).alias("p")).where(f"p.c <> x.c AND {_fits('p', 'x', percent)}")
-        nearest = pivots.groupBy(F.col("p.node").alias("a"), F.col("x.node").alias("b")).count()
-        if tried is not None:
-            nearest = nearest.join(tried, ["a", "b"], "left_anti")
-        nearest = written(nearest.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"), "pairs")
-        found = _verified(nearest, texts, k, percent)
-        edges = written(found if edges is None else edges.unionByName(found), "edges")
-        tried = nearest if tried is None else tried.unionByName(nearest)
-        components = written(connected_components(edges), "components")
-        live = _renewed(live, _with_component(live, components))
-    x, y = live.alias("x"), live.alias("y")
-    met = x.join(y, F.expr(f"x.token = y.token AND x.c < y.c AND {_fits('x', 'y', percent)}"))
-    pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("x.l", "y.l")).alias("l")).where("m >= l").select("a", "b")
-    pairs = pairs.join(tried.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")), F.expr("least(a, b) = p AND greatest(a, b) = q"), "left_anti")
-    edges = written(edges.unionByName(_verified(pairs, texts, k, percent)), "edges")
+    # of a list that class is the centre whose shingles most others share: what links within a group mostly links with it
+    weights = live.groupBy("node").agg(F.sum("m").alias("w"))
+    heads = live.join(weights, "node").groupBy("token").agg(F.max_by(F.struct("node", "n", "l", "i"), F.struct("w", "node")).alias("p"))
+    heads = written(heads, "heads")
+    met = live.alias("x").join(heads, "token").where("p.node <> x.node")
+    nearest = met.where(_fits("p", "x", percent)).groupBy(F.col("p.node").alias("a"), F.col("x.node").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("p.l", "x.l")).alias("l"))
+    nearest = nearest.where("m >= l").groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b")
+    nearest = written(nearest, "pairs")
+    texts = _texts(src, classes, nearest.select(F.col("a").alias("sig")).unionByName(nearest.select(F.col("b").alias("sig"))))
+    edges = written(_verified(_with_texts(nearest, texts), k, percent), "edges")
+    forget(texts)
+    components = _components(edges)
+
+    # what is left: lists that hold several components
+    left = _in_component(live, components, "node", "c")
+    several = left.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+    left = written(left.join(several, "token", "left_semi"), "postings")
+    forget(live)
+    x, y = (left.where(F.col("m") <= SHORT_LIST).alias(a) for a in "xy")
+    short = x.join(y, F.expr(f"x.token = y.token AND x.c < y.c AND {_fits('x', 'y', percent)}"))
+    short = short.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("x.l", "y.l")).alias("l")).where("m >= l").select("a", "b")
+    members = left.where(F.col("m") > SHORT_LIST).select("token", F.col("node").alias("b")).join(heads.select("token", F.col("p.node").alias("a")), "token")
+    members = written(members.where("a <> b").select("a", "b").distinct(), "members")
+    short = written(short, "pairs")
+    wanted = [t.select(F.col(s).alias("sig")) for t in (short, members) for s in "ab"]
+    texts = _texts(src, classes, wanted[0].unionByName(wanted[1]).unionByName(wanted[2]).unionByName(wanted[3]))
+    found = written(_differences(_with_texts(members, texts), k, percent, heavy), "differences")
+    linked = found.where("token IS NULL").select(F.col("p").alias("a"), F.col("x").alias("b"))
+    named = _in_component(found.where("token IS NOT NULL"), components, "x", "c")
+    u, v = named.where("short").alias("u"), named.alias("v")
+    allowed = f"({100 - percent}L * (u.n + v.n) DIV {100 + percent})"
+    fits = f"u.d <= v.d AND u.c <> v.c AND 100L * least(u.n, v.n) >= {percent}L * greatest(u.n, v.n) AND 2 * least(u.d - u.i, v.d - v.i) >= u.d + v.d - {allowed}"
+    differing = u.join(v, F.expr(f"u.p = v.p AND u.token = v.token AND {fits}")).select(F.least("u.x", "v.x").alias("a"), F.greatest("u.x", "v.x").alias("b"))
+    more = _verified(_with_texts(short.unionByName(differing.distinct()), texts), k, percent)
+    edges = written(edges.unionByName(linked).unionByName(more), "edges")
     forget(texts)
-    return written(connected_components(edges), "components")
+    return _components(edges)
 
 
-def _renewed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """`new` written, `old` deleted, and the shuffle files of finished jobs released."""
-    out = written(new, "postings")
-    forget(old)
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+def _texts(src: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sig, text) of the classes of `wanted` (sig), as a written table."""
+    chosen = written(classes.join(wanted.distinct(), "sig"), "chosen")
+    return written(src.join(chosen, ["id", "mark"]).dropDuplicates(["sig"]).select("sig", "text"), "texts")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -216,8 +320,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = WORD
     classes = docs.where("sig IS NOT NULL AND id IS NOT NULL").groupBy("sig").agg(F.min(F.struct("id", "mark")).alias("x")).select("sig", "x.id", "x.mark")
     linked = link_classes(src, classes, words, percent, heavy)
     least = linked.withColumnRenamed("node", "sig").join(classes, "sig")
-    heads = least.groupBy("component").agg(F.min("id").alias("head"))
-    heads = least.join(heads, "component").select("sig", "head")
+    heads = least.groupBy("c").agg(F.min("id").alias("head"))
+    heads = least.join(heads, "c").select("sig", "head")
     found = docs.join(classes.select("sig", F.col("id").alias("first")), "sig", "left").join(heads, "sig", "left")
     component = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("head", "first", "id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

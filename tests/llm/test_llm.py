@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -97,16 +98,41 @@ def test_ngram_join(spark, sf, documents):
     assert ngramjoin.near_duplicates(spark.createDataFrame([], "doc_id int, text string"), "doc_id", "text").count() == 0
 
 
-def test_ngram_join_of_a_group_of_near_copies(spark):
-    words = [f"w{k}" for k in range(120)]
-    rows = []
-    for k in range(60):
-        ws = list(words)
-        for j in range(k % 7):
-            ws[(k * 17 + j * 29) % 120] = f"x{k}-{j}"
+def near_copies(kind, copies=500, size=120):
+    """A text of many words in copies that each differ from it in ways of their own."""
+    pick, rows = random.Random(7), []
+    for k in range(copies):
+        ws = [f"w{j}" for j in range(size)]
+        if kind == "words replaced":
+            for j in range(pick.randrange(2, 10)):
+                ws[pick.randrange(size)] = f"x{k}-{j}"
+        elif kind == "words of a pool":
+            for _ in range(pick.randrange(3, 9)):
+                ws[pick.randrange(size)] = f"z{pick.randrange(6)}"
+        elif kind == "words removed":
+            for _ in range(pick.randrange(2, 10)):
+                del ws[pick.randrange(len(ws))]
+        elif kind == "ends cut":
+            ws = ws[: pick.randrange(40, size)] + [f"q{pick.randrange(5)}" for _ in range(pick.randrange(12))]
+        else:
+            ws = [f"y{j}" if j * 53 % size < k // 5 else w for j, w in enumerate(ws)]
         rows.append((k, " ".join(ws)))
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["words replaced", "words of a pool", "words removed", "ends cut", "chain"])
+def test_ngram_join_of_a_group_of_near_copies(spark, kind):
+    rows = near_copies(kind)
+    want = ngramjoin.brute_force(rows)
     got = ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string"), "doc_id", "text")
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == ngramjoin.brute_force(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
+def test_shingle_sets():
+    texts = [None, b"", b" \t", b"a", b" A b ", b"a b c d", b"\x0bA B\x0c c \xff\xfe d e f", b"x\x1cy z", "\u00a0a b c d \u00c9 e".encode(), b"a b c d a b c d a b c d"]
+    sets = ngramjoin.shingle_sets(texts)
+    assert [len(s) for s in sets] == [n for n, _ in (ngramjoin.brute_force(list(enumerate(t and t.decode("latin-1").replace("\xa0", "_").replace("\x1c", "_").replace("\x85", "_") for t in texts)))).values()]
+    assert all((s[1:] > s[:-1]).all() for s in sets) and ngramjoin.shingle_sets([]) == []
 
 
 def test_components(spark):
