@@ -35,9 +35,11 @@ from formweave.llm.components import connected_components
 WORDS, PERCENT = 4, 85
 #: Shingles in the frequency order, and those of a slice that are counted beyond it. Bounds of a statistic for the order.
 HEAVY, HEAVY_SLICE, HEAVY_LEAST = 1 << 18, 20_000, 4
-MOST_MATCHES = 8
+MOST_MATCHES = 16
 #: Classes in a posting list whose members are paired directly; those of longer lists meet on their differences from its centre.
 SHORT_LIST = 16
+#: Bits of the map that says which texts a join needs: 8 MB when broadcast.
+FILTER_BITS = 1 << 26
 #: Estimated costs of reading a posting and of verifying a candidate.
 READ_COST, VERIFY_COST = 1.0, 20.0
 _MIX1, _MIX2, _BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -259,37 +261,50 @@ def _in_component(rows: DataFrame, components: DataFrame, node: str, c: str) ->
     return rows.join(found, F.col(node) == F.col("_node"), "left").drop("_node").withColumn(c, F.coalesce(c, node))
 
 
+def _left_over(live: DataFrame, components: DataFrame) -> DataFrame:
+    """`live` with c, the rows of the lists that still hold several components, and of each class (node): `least`, the
+    matches that any pair of it needs; `last`, counting its shingles from the most frequent one; `long`, how many of them
+    are in lists of over SHORT_LIST classes."""
+    named = _in_component(live, components, "node", "c")
+    several = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+    node = Window.partitionBy("node")
+    return named.join(several, "token", "left_semi").withColumns(
+        {
+            "least": F.min("ml").over(node),
+            "long": F.sum((F.col("m") > SHORT_LIST).cast("int")).over(node),
+            "last": F.row_number().over(node.orderBy(F.desc("m"), "token")),
+        }
+    )
+
+
 def link_classes(src: DataFrame, classes: DataFrame, k: int, percent: int, heavy) -> DataFrame:
     """(node, c): the components of classes (sig, id, mark) that link with another; `src` is (id, text, mark)."""
     by_token = Window.partitionBy("token")
     spread = _postings(src, k, percent, heavy).repartition("token").groupBy("token", "node").agg(*(F.min(c).alias(c) for c in ("n", "l", "i")))
-    live = written(spread.withColumn("m", F.count(F.lit(1)).over(by_token)).where("m > 1"), "postings")
+    live = written(spread.withColumns({"m": F.count(F.lit(1)).over(by_token), "ml": F.min("l").over(by_token)}).where("m > 1"), "postings")
     # of a list that class is the centre whose shingles most others share: what links within a group mostly links with it
     weights = live.groupBy("node").agg(F.sum("m").alias("w"))
     heads = live.join(weights, "node").groupBy("token").agg(F.max_by(F.struct("node", "n", "l", "i"), F.struct("w", "node")).alias("p"))
     heads = written(heads, "heads")
     met = live.alias("x").join(heads, "token").where("p.node <> x.node")
     nearest = met.where(_fits("p", "x", percent)).groupBy(F.col("p.node").alias("a"), F.col("x.node").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("p.l", "x.l")).alias("l"))
-    nearest = nearest.where("m >= l").groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b")
-    nearest = written(nearest, "pairs")
-    texts = _texts(src, classes, nearest.select(F.col("a").alias("sig")).unionByName(nearest.select(F.col("b").alias("sig"))))
+    nearest = written(nearest.where("m >= l").groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b"), "pairs")
+    texts = _texts(src, classes, nearest)
     edges = written(_verified(_with_texts(nearest, texts), k, percent), "edges")
     forget(texts)
     components = _components(edges)
 
-    # what is left: lists that hold several components
-    left = _in_component(live, components, "node", "c")
-    several = left.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    left = written(left.join(several, "token", "left_semi"), "postings")
+    left = written(_left_over(live, components), "postings")
     forget(live)
     x, y = (left.where(F.col("m") <= SHORT_LIST).alias(a) for a in "xy")
     short = x.join(y, F.expr(f"x.token = y.token AND x.c < y.c AND {_fits('x', 'y', percent)}"))
-    short = short.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("x.l", "y.l")).alias("l")).where("m >= l").select("a", "b")
-    members = left.where(F.col("m") > SHORT_LIST).select("token", F.col("node").alias("b")).join(heads.select("token", F.col("p.node").alias("a")), "token")
-    members = written(members.where("a <> b").select("a", "b").distinct(), "members")
-    short = written(short, "pairs")
-    wanted = [t.select(F.col(s).alias("sig")) for t in (short, members) for s in "ab"]
-    texts = _texts(src, classes, wanted[0].unionByName(wanted[1]).unionByName(wanted[2]).unionByName(wanted[3]))
+    short = short.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("x.l", "y.l")).alias("l"), F.min(F.least("x.long", "y.long")).alias("long"))
+    short = short.where("m + long >= l").select("a", "b")
+    # similar classes share `least` shingles, so the rarest of these is not among the least - 1 most frequent of either
+    members = left.where((F.col("m") > SHORT_LIST) & (F.col("last") >= F.col("least"))).select("token", F.col("node").alias("b"))
+    members = members.join(heads.select("token", F.col("p.node").alias("a")), "token").where("a <> b").select("a", "b").distinct()
+    short, members = written(short, "pairs"), written(members, "members")
+    texts = _texts(src, classes, short.unionByName(members))
     found = written(_differences(_with_texts(members, texts), k, percent, heavy), "differences")
     linked = found.where("token IS NULL").select(F.col("p").alias("a"), F.col("x").alias("b"))
     named = _in_component(found.where("token IS NOT NULL"), components, "x", "c")
@@ -303,10 +318,17 @@ def link_classes(src: DataFrame, classes: DataFrame, k: int, percent: int, heavy
     return _components(edges)
 
 
-def _texts(src: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, text) of the classes of `wanted` (sig), as a written table."""
-    chosen = written(classes.join(wanted.distinct(), "sig"), "chosen")
-    return written(src.join(chosen, ["id", "mark"]).dropDuplicates(["sig"]).select("sig", "text"), "texts")
+def _texts(src: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sig, text) of the classes of `pairs` (a, b), as a written table. A bitmap of FILTER_BITS bits at most, which is
+    broadcast, keeps most other texts from the shuffle; where it is full it only keeps out fewer."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    chosen = written(classes.join(wanted, "sig"), "chosen")
+    bit = F.pmod("mark", F.lit(FILTER_BITS))
+    bitmap = chosen.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    named = src.withColumns({"bucket": F.bitmap_bucket_number(bit), "bit": F.bitmap_bit_position(bit)})
+    is_set = F.expr("(CAST(conv(hex(substring(bits, CAST(bit DIV 8 AS INT) + 1, 1)), 16, 10) AS INT) >> CAST(bit % 8 AS INT)) & 1 = 1")
+    maybe = named.join(F.broadcast(bitmap), "bucket").where(is_set).select("id", "mark", "text")
+    return written(maybe.join(chosen, ["id", "mark"]).dropDuplicates(["sig"]).select("sig", "text"), "texts")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
