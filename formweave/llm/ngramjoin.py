@@ -22,6 +22,7 @@ by `near_duplicates` and kept by `keep_one`; an empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,13 @@ from formweave.llm.components import connected_components
 WORDS, PERCENT = 4, 85
 #: Shingles in the frequency order, and those of a slice that are counted beyond it. Bounds of a statistic for the order.
 HEAVY, HEAVY_SLICE, HEAVY_LEAST = 1 << 18, 20_000, 4
-MOST_MATCHES = 16
+MOST_MATCHES = 256
 #: Classes in a posting list whose members are paired directly; those of longer lists meet on their differences from its centre.
 SHORT_LIST = 16
 #: Bits of the map that says which texts a join needs: 8 MB when broadcast.
 FILTER_BITS = 1 << 26
-#: Estimated costs of reading a posting and of verifying a candidate.
-READ_COST, VERIFY_COST = 1.0, 20.0
+#: Estimated costs of reading a posting, and of verifying a candidate: at least, and a shingle.
+READ_COST, VERIFY_COST, VERIFY_SHINGLE = 1.0, 20.0, 0.05
 _MIX1, _MIX2, _BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,12 +112,24 @@ def _describe(src: DataFrame, k: int) -> DataFrame:
     return arrow_map(src, work, f"id {src.schema['id'].dataType.simpleString()}, n long, sig long, token long, count long, mark long", "text")
 
 
-def prefix_plan(frequency: np.ndarray, need: int) -> int:
-    """The number of matches l of the least estimated cost, for frequencies in the global order."""
+def _cheapest(reads: np.ndarray, n: int) -> int:
+    """The number of matches l of the least estimated cost, `reads` being the postings of prefixes for l = 1, 2, ..."""
+    return int(np.argmin(reads * (READ_COST + (VERIFY_COST + VERIFY_SHINGLE * n) / np.arange(1, len(reads) + 1)))) + 1
+
+
+@lru_cache(1 << 16)
+def least_matches(n: int, percent: int) -> int:
+    """Any set of n shingles has at least so many matches: three quarters of what is cheapest for unknown frequencies.
+    It does not fall as n grows."""
+    need = -(-percent * n // 100)
+    return max(1, 3 * _cheapest(n - need + np.arange(1.0, min(MOST_MATCHES, need) + 1), n) // 4)
+
+
+def prefix_plan(frequency: np.ndarray, need: int, percent: int) -> int:
+    """The number of matches of a set, for frequencies in the global order."""
     n = len(frequency)
-    most = min(MOST_MATCHES, need)
-    reads = np.cumsum(frequency)[n - need : n - need + most].astype(float)
-    return int(np.argmin(READ_COST * reads + VERIFY_COST * reads / np.arange(1, most + 1))) + 1
+    reads = np.cumsum(frequency)[n - need : n - need + min(MOST_MATCHES, need)].astype(float)
+    return max(least_matches(n, percent), _cheapest(reads, n))
 
 
 class _Order:
@@ -139,7 +152,8 @@ class _Order:
 
 
 def _postings(src: DataFrame, k: int, percent: int, heavy) -> DataFrame:
-    """(token, node, n, l, i) of the prefixes of all classes, i the place in the order; a class comes once from each task."""
+    """(token, node, n, l, least, i) of the prefixes of all classes: l matches for n shingles, and what any class of similar
+    size has at least; i the place in the order. A class comes once from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = _Order(*heavy.value)
@@ -147,7 +161,7 @@ def _postings(src: DataFrame, k: int, percent: int, heavy) -> DataFrame:
         for piece in slices(batches, "text"):
             sets = shingle_sets(piece.column("text"), k)
             frequencies = np.split(order.of(np.concatenate([np.empty(0, np.uint64), *sets])), np.cumsum([len(s) for s in sets])[:-1])
-            parts: list[tuple[np.ndarray, int, int, int]] = []
+            parts: list[tuple[np.ndarray, int, int, int, int]] = []
             for s, frequency in zip(sets, frequencies, strict=True):
                 if not len(s) or (sig := signature(s)) in done:
                     continue
@@ -156,15 +170,15 @@ def _postings(src: DataFrame, k: int, percent: int, heavy) -> DataFrame:
                     by = np.argsort(frequency, kind="stable")
                     s, frequency = s[by], frequency[by]
                 need = -(-percent * len(s) // 100)
-                matches = prefix_plan(frequency, need)
-                parts.append((s[: len(s) - need + matches], sig, len(s), matches))
+                matches = prefix_plan(frequency, need, percent)
+                parts.append((s[: len(s) - need + matches], sig, len(s), matches, least_matches(need, percent)))
             if parts:
                 sizes = [len(p[0]) for p in parts]
-                columns = [np.repeat(np.array([p[i] for p in parts], t), sizes) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32))]
+                columns = [np.repeat(np.array([p[i] for p in parts], t), sizes) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32))]
                 columns.append(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]))
-                yield pa.record_batch([pa.array(_signed(np.concatenate([p[0] for p in parts]))), *map(pa.array, columns)], ["token", "node", "n", "l", "i"])
+                yield pa.record_batch([pa.array(_signed(np.concatenate([p[0] for p in parts]))), *map(pa.array, columns)], ["token", "node", "n", "l", "least", "i"])
 
-    return src.mapInArrow(run, "token long, node long, n int, l int, i int")
+    return src.mapInArrow(run, "token long, node long, n int, l int, least int, i int")
 
 
 def _fits(a: str, b: str, percent: int) -> str:
@@ -261,16 +275,14 @@ def _in_component(rows: DataFrame, components: DataFrame, node: str, c: str) ->
     return rows.join(found, F.col(node) == F.col("_node"), "left").drop("_node").withColumn(c, F.coalesce(c, node))
 
 
-def _left_over(live: DataFrame, components: DataFrame) -> DataFrame:
-    """`live` with c, the rows of the lists that still hold several components, and of each class (node): `least`, the
-    matches that any pair of it needs; `last`, counting its shingles from the most frequent one; `long`, how many of them
+def _left_over(live: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """`live` with c, the rows of the lists that still hold several components, and of each class (node): `last`, counting its shingles from the most frequent one; `long`, how many of them
     are in lists of over SHORT_LIST classes."""
     named = _in_component(live, components, "node", "c")
     several = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     node = Window.partitionBy("node")
     return named.join(several, "token", "left_semi").withColumns(
         {
-            "least": F.min("ml").over(node),
             "long": F.sum((F.col("m") > SHORT_LIST).cast("int")).over(node),
             "last": F.row_number().over(node.orderBy(F.desc("m"), "token")),
         }
@@ -280,8 +292,8 @@ def _left_over(live: DataFrame, components: DataFrame) -> DataFrame:
 def link_classes(src: DataFrame, classes: DataFrame, k: int, percent: int, heavy) -> DataFrame:
     """(node, c): the components of classes (sig, id, mark) that link with another; `src` is (id, text, mark)."""
     by_token = Window.partitionBy("token")
-    spread = _postings(src, k, percent, heavy).repartition("token").groupBy("token", "node").agg(*(F.min(c).alias(c) for c in ("n", "l", "i")))
-    live = written(spread.withColumns({"m": F.count(F.lit(1)).over(by_token), "ml": F.min("l").over(by_token)}).where("m > 1"), "postings")
+    spread = _postings(src, k, percent, heavy).repartition("token").groupBy("token", "node").agg(*(F.min(c).alias(c) for c in ("n", "l", "least", "i")))
+    live = written(spread.withColumn("m", F.count(F.lit(1)).over(by_token)).where("m > 1"), "postings")
     # of a list that class is the centre whose shingles most others share: what links within a group mostly links with it
     weights = live.groupBy("node").agg(F.sum("m").alias("w"))
     heads = live.join(weights, "node").groupBy("token").agg(F.max_by(F.struct("node", "n", "l", "i"), F.struct("w", "node")).alias("p"))
@@ -294,7 +306,7 @@ def link_classes(src: DataFrame, classes: DataFrame, k: int, percent: int, heavy
     forget(texts)
     components = _components(edges)
 
-    left = written(_left_over(live, components), "postings")
+    left = written(_left_over(live, components, percent), "postings")
     forget(live)
     x, y = (left.where(F.col("m") <= SHORT_LIST).alias(a) for a in "xy")
     short = x.join(y, F.expr(f"x.token = y.token AND x.c < y.c AND {_fits('x', 'y', percent)}"))

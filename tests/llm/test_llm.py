@@ -128,6 +128,12 @@ def test_ngram_join_of_a_group_of_near_copies(spark, kind):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
+def test_least_matches_do_not_fall():
+    for percent in (80, 85):
+        found = [ngramjoin.least_matches(n, percent) for n in range(1, 3000)]
+        assert found == sorted(found)
+
+
 def test_shingle_sets():
     texts = [None, b"", b" \t", b"a", b" A b ", b"a b c d", b"\x0bA B\x0c c \xff\xfe d e f", b"x\x1cy z", "\u00a0a b c d \u00c9 e".encode(), b"a b c d a b c d a b c d"]
     sets = ngramjoin.shingle_sets(texts)
