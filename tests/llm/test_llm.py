@@ -253,6 +253,18 @@ def test_line_dedup_in_bands_of_a_template(spark):
     assert removed_lines(spark, lines) == [False] * 400 + [True] * 400
 
 
+def test_line_dedup_recall_against_all_pairs(spark, documents):
+    """Of the lines that go by all pairs of whole shingle sets 95 of 100 go, and hardly another."""
+    lines = sorted({line.strip(" ").lower() for _, text in documents for line in (text or "").split("\n")})
+    lines = [x for x in lines if len(x) >= 20]
+    edited = [x[: len(x) // 2] + "#" * (k % 3) + x[len(x) // 2 + k % 3 :] + "." * (k % 5) for k, x in enumerate(lines[::8]) if len(x) > 80]
+    lines = list(dict.fromkeys(lines + edited))
+    groups, gone = line_groups(lines), removed_lines(spark, lines)
+    want = [g in groups[:k] for k, g in enumerate(groups)]
+    found = sum(a and b for a, b in zip(want, gone, strict=True))
+    assert sum(want) >= 50 and found >= 0.95 * sum(want) and found >= 0.98 * sum(gone)
+
+
 def test_line_dedup_of_short_lines(spark):
     lines = ["subscribe to our newsletter now", "read more", "今日は天気がいいので散歩に行きます。", "谢谢你", "วันนี้", "}", "of.", "谢谢"]
     gone = removed_lines(spark, lines + lines + ["read mare", "今日は雨が強いので家で本を読みます。"])
