@@ -103,9 +103,13 @@ def s14(spark, sf):
     return O.explode_with(raw, "c_custkey", "raw", lambda v: [(k, m.decode()) for k, m in enumerate(O.frames(bytes(v)))], "pos long, payload string")
 
 
-@query("s9_catalog_endpoints", "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey IN (7, 8)")
+@query("s9_catalog_endpoints", "SELECT '/v1/catalog/' || p_partkey AS route, p_name AS body FROM part UNION ALL SELECT '/v1/catalog', count(*)::VARCHAR FROM part UNION ALL SELECT '/health', 'ok'")
 def s9(spark, sf):
-    return table(spark, sf, "part").where(F.col("p_partkey").isin(7, 8)).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    """What each public route answers: an entry by its id, the size of the list, health."""
+    part = table(spark, sf, "part")
+    entries = part.select(F.concat(F.lit("/v1/catalog/"), "p_partkey").alias("route"), F.col("p_name").alias("body"))
+    size = part.agg(F.count(F.lit(1)).cast("string").alias("body")).select(F.lit("/v1/catalog").alias("route"), "body")
+    return entries.unionByName(size).unionByName(spark.createDataFrame([("/health", "ok")], "route string, body string"))
 
 
 @query("p1_summary", "SELECT p_partkey AS id, p_name AS name, p_brand AS tag FROM part")

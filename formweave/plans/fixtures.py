@@ -34,3 +34,12 @@ class Rows:
         casts = ", ".join(f"CAST({n} AS {kinds[t]}) AS {n}" for n, t in self.columns)
         values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in self.rows)
         return f"{self.name} AS (SELECT {casts} FROM (VALUES {values}) v({names}))"
+
+
+def phrase_sql(words: str, phrases: tuple[str, ...]) -> str:
+    """SQL: whether normalised words hold one of the phrases, word by word."""
+    return f"len(list_filter([{', '.join(map(repr, phrases))}], lambda p: contains(' ' || {words} || ' ', ' ' || p || ' '))) > 0"
+
+
+def part_sql(text: str, parts: tuple[str, ...]) -> str:
+    return f"len(list_filter([{', '.join(map(repr, parts))}], lambda p: contains({text}, p))) > 0"

@@ -7,18 +7,17 @@ from formweave.plans.fixtures import table
 from formweave.plans.registry import query
 
 # orders as pages: every line of an order is a text, every third one a box; coordinates come from the keys
-_TEXTS_SQL = "t AS (SELECT l_orderkey AS form, 1 AS page, (l_partkey % 300)::DOUBLE AS tx, (l_suppkey * 7 % 700)::DOUBLE AS ty, 40.0::DOUBLE AS tw, 10.0::DOUBLE AS th, 't' || l_partkey || '-' || l_suppkey AS s FROM lineitem WHERE l_orderkey < 3000)"
-_BOXES_SQL = "b AS (SELECT l_orderkey AS form, 1 AS page, 'b' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice) AS id, (l_partkey * 3 % 300)::DOUBLE AS x, (l_suppkey * 5 % 700)::DOUBLE AS y, 60.0::DOUBLE AS w, 12.0::DOUBLE AS h FROM lineitem WHERE l_orderkey < 3000 AND l_partkey % 3 = 0)"
+_TEXTS_SQL = "t AS (SELECT l_orderkey AS form, 1 AS page, (l_partkey % 300)::DOUBLE AS tx, (l_suppkey * 7 % 700)::DOUBLE AS ty, 40.0::DOUBLE AS tw, 10.0::DOUBLE AS th, 't' || l_partkey || '-' || l_suppkey AS s FROM lineitem)"
+_BOXES_SQL = "b AS (SELECT l_orderkey AS form, 1 AS page, 'b' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice) AS id, (l_partkey * 3 % 300)::DOUBLE AS x, (l_suppkey * 5 % 700)::DOUBLE AS y, 60.0::DOUBLE AS w, 12.0::DOUBLE AS h FROM lineitem WHERE l_partkey % 3 = 0)"
 _M = f"WITH {_TEXTS_SQL}, {_BOXES_SQL}, m AS (SELECT *, y + h / 2 AS cy, ty + th / 2 AS tcy FROM b JOIN t USING (form, page))"
 
 
 def texts(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_orderkey < 3000")
-    return rows.selectExpr("l_orderkey AS form", "1 AS page", "double(l_partkey % 300) AS tx", "double(l_suppkey * 7 % 700) AS ty", "40.0D AS tw", "10.0D AS th", "concat('t', l_partkey, '-', l_suppkey) AS s")
+    return table(spark, sf, "lineitem").selectExpr("l_orderkey AS form", "1 AS page", "double(l_partkey % 300) AS tx", "double(l_suppkey * 7 % 700) AS ty", "40.0D AS tw", "10.0D AS th", "concat('t', l_partkey, '-', l_suppkey) AS s")
 
 
 def boxes(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_orderkey < 3000 AND l_partkey % 3 = 0")
+    rows = table(spark, sf, "lineitem").where("l_partkey % 3 = 0")
     return rows.selectExpr("l_orderkey AS form", "1 AS page", "concat('b', row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice)) AS id", "double(l_partkey * 3 % 300) AS x", "double(l_suppkey * 5 % 700) AS y", "60.0D AS w", "12.0D AS h")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from formweave.functions import predicates as P
 from formweave.functions import text as X
 from formweave.operators import matching as M
-from formweave.plans.fixtures import Rows, table
+from formweave.plans.fixtures import Rows, part_sql, phrase_sql, table
 from formweave.plans.predicates import _NORM
 from formweave.plans.registry import query
 from formweave.plans.scalars import _ASKED, _OPTIONS, _PHRASES
@@ -36,7 +36,7 @@ def j8(spark, sf):
     return M.own_values(_LABELS.frame(spark), _VAULT.frame(spark))
 
 
-@query("resolve_labels", f"WITH {_VAULT.cte}, {_LABELS.cte}, {_PHRASES.cte}, {_OWN}, {_SCORES}, c AS (SELECT r.id, vault.value FROM r JOIN vault ON key = concept JOIN asked USING (id) WHERE k = 1 AND score >= 1.5 AND trim(value) <> '' AND NOT regexp_matches({_NORM('label')}, '{P.OFFICE_USE}') AND NOT (contains(label, '?') OR regexp_matches({_NORM('label')}, '{P.PROMPTS}'))) SELECT asked.id, coalesce(o.value, c.value) AS value, CASE WHEN o.value IS NOT NULL THEN 'own' WHEN c.value IS NOT NULL THEN 'concept' END AS source FROM asked LEFT JOIN o USING (id) LEFT JOIN c ON c.id = asked.id")
+@query("resolve_labels", f"WITH {_VAULT.cte}, {_LABELS.cte}, {_PHRASES.cte}, {_OWN}, {_SCORES}, c AS (SELECT r.id, vault.value FROM r JOIN vault ON key = concept JOIN asked USING (id) WHERE k = 1 AND score >= 1.5 AND trim(value) <> '' AND NOT ({part_sql(_NORM('label'), P.CHECK_DIGITS)} OR {phrase_sql(_NORM('label'), P.OFFICE_USE)}) AND NOT (contains(label, '?') OR {phrase_sql(_NORM('label'), P.PROMPTS)})) SELECT asked.id, coalesce(o.value, c.value) AS value, CASE WHEN o.value IS NOT NULL THEN 'own' WHEN c.value IS NOT NULL THEN 'concept' END AS source FROM asked LEFT JOIN o USING (id) LEFT JOIN c ON c.id = asked.id")
 def resolve_labels(spark, sf):
     """The chain of precedence for a form: blocked boxes stay empty, an own key beats a concept."""
     blocked = P.office_use(F.col("label"), F.lit(None).cast("string")) | P.screening_prompt(F.col("label"))

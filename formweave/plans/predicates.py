@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from formweave.functions import predicates as P
 from formweave.functions import text as X
-from formweave.plans.fixtures import Rows, table
+from formweave.plans.fixtures import Rows, part_sql, phrase_sql, table
 from formweave.plans.registry import query
 
 _URLS = Rows("urls", "url string", [("http://172.16.0.1/x",), ("https://172.32.0.1/x",), ("ftp://x/y",), ("https://localhost:8080/",), ("http://10.example.com/",), ("https://a.internal",), ("https://u:p@example.com/a?b#c",), ("http://[::1]/",), ("nonsense",), ("https://ok.example.org",), ("https://169.254.1.1",), ("HTTP://127.0.0.1",)])
@@ -44,13 +44,15 @@ def p14(spark, sf):
 _LABELS = Rows(
     "labels_", "id bigint,label string,name string",
     [(1, "Last Digit", "HKIDCheckingDigit"), (2, "Family Name", "familyName"), (3, "For Official Use", None), (4, "Employer's Name", "EmployerName"), (5, "Other Names You Have Used Since Birth", "x"), (6, "Mother Name", "motherName"), (7, "Spouse’s Date of Birth", "P4_Line2_Dob[1]"),
-     (8, "Your Applicant's phone", None), (9, "Please describe why?", None), (10, "Comments", "c1"), (11, "Next of kin", "nok"), (12, "", None), (13, "12 34", None), (14, "Select", None), (15, "पूरा नाम", "full"), (16, "Date of expiry (dd/mm)", "doe"), (17, "Approved by", None), (18, "Schools attended", "row 3")],
+     (8, "Your Applicant's phone", None), (9, "Please describe why?", None), (10, "Comments", "c1"), (11, "Next of kin", "nok"), (12, "", None), (13, "12 34", None), (14, "Select", None), (15, "पूरा नाम", "full"), (16, "Date of expiry (dd/mm)", "doe"), (17, "Approved by", None), (18, "Schools attended", "row 3"),
+     (19, "metadata-form-0__group__vets100ADisability", None), (20, "Please check one of the boxes below", None), (21, "Select one", None), (22, "homePhoneNumberOfApplicant", None), (23, "form1[0].subform", None), (24, "Selection of goods", None),
+     (25, "Interpreter’s Name", "interp"), (26, "Friend or witness", "w"), (27, "Name of deceased", "d"), (28, "Notes", "notes2"), (29, "Noteworthy", "n"), (30, "Do not write here", None), (31, "How often do they travel", None)],
 )
 _CAP = lambda c: rf"trim(regexp_replace(lower(regexp_replace(coalesce({c}, ''), '([a-z])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g'))"
 _NORM = lambda c: rf"trim(regexp_replace(lower(regexp_replace(regexp_replace(coalesce({c}, ''), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query("p15_office_use", f"WITH {_LABELS.cte} SELECT id, regexp_matches({_NORM('label')}, '{P.OFFICE_USE}') OR regexp_matches({_NORM('name')}, '{P.OFFICE_USE}') AS office FROM labels_")
+@query("p15_office_use", f"WITH {_LABELS.cte} SELECT id, {part_sql(_NORM('label'), P.CHECK_DIGITS)} OR {part_sql(_NORM('name'), P.CHECK_DIGITS)} OR {phrase_sql(_NORM('label'), P.OFFICE_USE)} OR {phrase_sql(_NORM('name'), P.OFFICE_USE)} AS office FROM labels_")
 def p15(spark, sf):
     return _LABELS.frame(spark).select("id", P.office_use(F.col("label"), F.col("name")).alias("office"))
 
@@ -83,12 +85,12 @@ def p20(spark, sf):
     return _LABELS.frame(spark).select("id", X.key_of_label(F.col("label")).alias("key"), X.capturable(F.col("label")).alias("capturable"))
 
 
-@query("p21_junk_label", f"WITH {_LABELS.cte} SELECT id, trim(coalesce(label, '')) = '' OR NOT regexp_matches(label, '\\p{{L}}') OR regexp_matches(trim(label), '^(?i:select|choose|please select|none|n/?a)\\.*$') OR length(trim(label)) > 200 AS junk FROM labels_")
+@query("p21_junk_label", f"WITH {_LABELS.cte}, t AS (SELECT id, coalesce(label, '') AS t FROM labels_) SELECT id, t = '' OR {part_sql('lower(t)', P.MACHINE_PARTS)} OR regexp_matches(lower(t), '\\bmetadata[-_]') OR regexp_matches(lower(t), 'form-?[0-9]') OR (length(t) > 18 AND NOT contains(t, ' ') AND (regexp_matches(t, '[A-Z][a-z].*[A-Z]') OR regexp_matches(t, '[a-z][0-9]') OR contains(t, '_'))) OR len(list_filter([{', '.join(map(repr, P.INSTRUCTIONS))}], lambda p: starts_with(regexp_replace(lower(trim(t)), '[^a-z]+', ' ', 'g') || ' ', p || ' '))) > 0 AS junk FROM t")
 def p21(spark, sf):
     return _LABELS.frame(spark).select("id", P.junk_label(F.col("label")).alias("junk"))
 
 
-@query("p24_screening_prompt", f"WITH {_LABELS.cte} SELECT id, contains(coalesce(label, ''), '?') OR regexp_matches({_NORM('label')}, '{P.PROMPTS}') AS prompt FROM labels_")
+@query("p24_screening_prompt", f"WITH {_LABELS.cte} SELECT id, contains(coalesce(label, ''), '?') OR {phrase_sql(_NORM('label'), P.PROMPTS)} AS prompt FROM labels_")
 def p24(spark, sf):
     return _LABELS.frame(spark).select("id", P.screening_prompt(F.col("label")).alias("prompt"))
 

@@ -126,13 +126,13 @@ def n1(spark, sf):
     return rows.select("c_custkey", "json", F.from_json("json", "map<string,string>")["segment"].alias("segment"))
 
 
-_RECORDS = Rows("records", "id bigint,label string,main boolean", [(1, "visa", False), (2, "Amex", True), (3, "amex", False), (4, "Bank", False), (5, "älpha", False)])
+_RECORDS = Rows("records", "owner bigint,id bigint,label string,main boolean", [(1, 1, "visa", False), (1, 2, "Amex", True), (1, 3, "amex", False), (1, 4, "Bank", False), (1, 5, "älpha", False), (2, 6, "Zürich", False), (2, 7, "zurich", True), (2, 8, "Élan", False), (2, 9, "east", False), (2, 10, "elan vital", False)])
 
 
-@query("o3_records_order", f"WITH {_RECORDS.cte} SELECT id, row_number() OVER (ORDER BY main DESC, lower(label), id) AS place FROM records WHERE id < 5")
+@query("o3_records_order", f"WITH {_RECORDS.cte} SELECT id, row_number() OVER (PARTITION BY owner ORDER BY main DESC, lower(strip_accents(label)), lower(label), id) AS place FROM records")
 def o3(spark, sf):
-    """Primary first, then by label in locale order."""
+    """The records of each owner: primary first, then by label in the root locale's order."""
     from pyspark.sql import Window
 
-    w = Window.orderBy(F.desc("main"), F.lower("label"), "id")
-    return _RECORDS.frame(spark).where("id < 5").select("id", F.row_number().over(w).cast("long").alias("place"))
+    w = Window.partitionBy("owner").orderBy(F.desc("main"), F.collate("label", "UNICODE_CI"), "id")
+    return _RECORDS.frame(spark).select("id", F.row_number().over(w).cast("long").alias("place"))

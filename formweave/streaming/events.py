@@ -26,7 +26,11 @@ def windowed(events: DataFrame, late: str = "2 days", width: str = "1 day") -> D
 def drain(df: DataFrame, name: str, mode: str) -> DataFrame:
     """Run a stream over all that its source holds, into a table in memory; for results of bounded size."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="formweave-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="formweave-stream-")
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/stream-{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
