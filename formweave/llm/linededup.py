@@ -8,8 +8,8 @@ similarity 0.8 share one with a probability of 0.99.
 In each band a line is compared with the band's first line and with the one before it: pairs whose signatures of SKETCH
 hashes agree in half are verified by the exact Jaccard similarity of their whole sets, and verified pairs joined by a
 distributed union-find. Of bands that still hold several components, those of up to SHORT_BAND lines are then paired in
-full; the lines of longer ones meet on their rarest shingles (a prefix filter that no similar pair escapes), and every
-such pair of different components is verified. Of every component the first occurrence stays, by id, then row, then
+full; the lines of longer ones meet on rare parts of their differences from the band's first line, which no similar pair
+escapes, so that pairs do not grow with the square of a band. Of every component the first occurrence stays, by id, then row, then
 position; the others are removed.
 
 Lines count once however often they occur: repeated ones are combined before each shuffle. Lines are known by 64-bit
@@ -30,12 +30,14 @@ from formweave.llm.common import forget, table, written
 from formweave.llm.components import connected_components
 
 MIN_CHARS, SHINGLE, BOTTOM, SKETCH, SIMILAR = 6, 12, 4, 16, 0.8
-#: Lines in a band that are paired in full; those of longer bands meet in a prefix.
-SHORT_BAND = 32
+#: Lines in a band that are paired in full; those of longer bands meet on their differences.
+SHORT_BAND = 8
 #: Scripts whose words or syllables take a character or two: Thai, Lao, Tibetan, Myanmar, Khmer, the East Asian ones.
 _DENSE = r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\ud7ff\uf900-\ufaff\uff66-\uffdc\x{20000}-\x{3ffff}]"
 #: The shingles as a pattern; the operator cuts them by position, which costs half as much.
 _STARTS = r"(?s)(?=(.{%d}|^.{1,%d}$))" % (SHINGLE, SHINGLE - 1)
+#: The most that similar sets differ in, of their sizes taken together.
+APART = (1 - SIMILAR) / (1 + SIMILAR)
 #: Against rounding where a product should be whole.
 TINY = 1e-6
 
@@ -118,39 +120,51 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(F.when(_agree(), similar)).select("a", "b")
 
 
-def _prefixes(texts: DataFrame) -> DataFrame:
-    """(token, line_id, n, i): of each line the shingles that a similar line must share one of, rare ones first; i counts
-    from 0 in the order of all n, and the frequencies are those among these lines."""
-    each = texts.select("line_id", F.explode(_shingles("line")).alias("token"))
-    counts = each.groupBy("token").count()
-    ordered = each.join(counts, "token").groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("s"))
-    n = F.size("s")
-    prefix = F.slice("s", F.lit(1), n - F.ceil(SIMILAR * n - TINY).cast("int") + 1)
-    rows = ordered.select("line_id", n.alias("n"), F.posexplode(prefix).alias("i", "x"))
-    return rows.where("x.count > 1").select(F.col("x.token").alias("token"), "line_id", "n", "i")
+def _differences(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(p, x, c, n, d, linked, tokens) of members (p, x, c): what only one of x and its centre p has, n shingles of x, d
+    of the difference; `linked` where the two are similar."""
+    x, p = (texts.select(F.col("line_id").alias(s), F.col("line").alias(f"line_{s}")) for s in "xp")
+    sets = F.struct(_shingles("line_x").alias("sx"), _shingles("line_p").alias("sp"))
+    apart = _let(sets, lambda s: F.struct(F.size(s.sx).alias("n"), F.size(s.sp).alias("np"), F.concat(F.array_except(s.sx, s.sp), F.array_except(s.sp, s.sx)).alias("tokens")))
+    found = members.join(x, "x").join(p, "p").select("p", "x", "c", apart.alias("s")).select("p", "x", "c", "s.n", "s.np", "s.tokens")
+    d = F.size("tokens")
+    return found.select("p", "x", "c", "n", d.alias("d"), (d <= APART * (F.col("n") + F.col("np")) + TINY).alias("linked"), "tokens")
+
+
+def _differing(found: DataFrame) -> DataFrame:
+    """(a, b): pairs of members of one centre, of different components, that could be similar.
+
+    Two differences differ exactly where the lines do. Unless both lines link with the centre, similar ones share at
+    least half of what their differences hold over the allowed distance: so they share one of the rarest, as many as the
+    distance to the largest similar line, and half of that for the smaller difference. Rare is what few members of the
+    centre have; what a single one has comes first and meets nothing."""
+    each = found.select("p", "x", F.explode("tokens").alias("token"))
+    shared = each.groupBy("p", "token").count().where("count > 1")
+    ordered = each.join(shared, ["p", "token"]).groupBy("p", "x").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("s"))
+    rows = ordered.join(found.drop("tokens", "linked"), ["p", "x"]).select("p", "x", "c", "n", "d", F.size("s").alias("m"), F.posexplode("s").alias("k", "e"))
+    rows = rows.select("p", "x", "c", "n", "d", (F.col("d") - F.col("m") + F.col("k")).alias("i"), F.col("e.token").alias("token"))
+    most = (1 - SIMILAR) / SIMILAR * F.col("n") + TINY
+    rows = written(rows.where(F.col("i") <= F.floor(most)), "prefixes")
+    u, v = rows.where(F.col("i") <= F.floor(most / 2)).alias("u"), rows.alias("v")
+    x, y = (lambda k: F.col(f"u.{k}")), (lambda k: F.col(f"v.{k}"))
+    allowed = F.floor(APART * (x("n") + y("n")) + TINY)
+    sizes = F.least(x("n"), y("n")) >= SIMILAR * F.greatest(x("n"), y("n")) - TINY
+    rest = 2 * F.least(x("d") - x("i"), y("d") - y("i")) >= x("d") + y("d") - allowed
+    met = u.join(v, (x("p") == y("p")) & (x("token") == y("token")) & (x("c") != y("c")) & (x("d") <= y("d")) & sizes & rest)
+    return met.select(F.least(x("x"), y("x")).alias("a"), F.greatest(x("x"), y("x")).alias("b")).distinct()
 
 
 def _left_over(bands: DataFrame, texts: DataFrame, components: DataFrame) -> DataFrame:
-    """(a, b): pairs that could be similar, of different components, among the lines of bands that hold several: all of a
-    short band; of long ones those that meet in a prefix.
-
-    Of two lines the shorter holds the first common shingle in a prefix of about a ninth, the longer in one of a fifth."""
+    """(a, b): the similar pairs of different components among the lines of bands that hold several."""
     named = bands.join(components, "line_id", "left").withColumn("c", F.coalesce("c", "line_id"))
-    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 3 AND lo <> hi").select("key", "n")
+    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 3 AND lo <> hi").select("key", "n", "p")
     live = written(named.join(several, "key"), "bands")
     x, y = (live.where(F.col("n") <= SHORT_BAND).alias(s) for s in "xy")
     short = x.join(y, F.expr("x.key = y.key AND x.c <> y.c AND x.line_id < y.line_id")).select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b"))
-    wanted = live.where(F.col("n") > SHORT_BAND).select("line_id", "c").distinct()
-    rows = _prefixes(texts.select("line_id", "line").join(wanted.select("line_id"), "line_id")).join(wanted, "line_id")
-    rows = written(rows, "prefixes")
-    share = SIMILAR / (1 + SIMILAR)
-    ahead = rows.where(F.col("n") - F.col("i") >= F.ceil(2 * share * F.col("n") - TINY)).alias("x")
-    x, y = (lambda k: F.col(f"x.{k}")), (lambda k: F.col(f"y.{k}"))
-    need = F.ceil(share * (x("n") + y("n")) - TINY)
-    sizes = (x("n") <= y("n")) & (x("n") >= SIMILAR * y("n")) & (x("n") - x("i") >= need) & (y("n") - y("i") >= need)
-    met = ahead.join(rows.alias("y"), (x("token") == y("token")) & (x("c") != y("c")) & sizes)
-    long = met.select(F.least(x("line_id"), y("line_id")).alias("a"), F.greatest(x("line_id"), y("line_id")).alias("b"))
-    return short.unionByName(long).distinct()
+    members = live.where((F.col("n") > SHORT_BAND) & (F.col("p") != F.col("line_id"))).select("p", F.col("line_id").alias("x"), "c").distinct()
+    found = written(_differences(members, texts), "differences")
+    linked = found.where("linked").select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
+    return _similar(short.unionByName(_differing(found)).distinct(), texts).unionByName(linked)
 
 
 def line_components(lines: DataFrame) -> DataFrame:
@@ -163,7 +177,7 @@ def line_components(lines: DataFrame) -> DataFrame:
     texts = written(chosen.groupBy("line_id").agg(F.min("line").alias("line")).withColumn("sketch", _least("line", SKETCH)), "lines")
     edges = written(_similar(_candidates(bands), texts), "edges")
     found = connected_components(edges)
-    rest = _similar(_left_over(bands, texts, found.select(F.col("node").alias("line_id"), F.col("component").alias("c"))), texts)
+    rest = _left_over(bands, texts, found.select(F.col("node").alias("line_id"), F.col("component").alias("c")))
     rest = written(rest, "edges")
     if not rest.isEmpty():
         found = connected_components(edges.unionByName(rest))
