@@ -5,7 +5,7 @@ script; a line of fewer characters is one shingle. Lines of MIN_CHARS characters
 spaces count twice). Its signature is its BOTTOM least shingle hashes; every pair of them is a band key: lines of
 similarity 0.8 share one with a probability of 0.99.
 
-In each band a line is compared with the band's first line and with the one before it: pairs whose signatures of SKETCH
+In each band a line is compared with the band's first line, that whose bands hold the most lines, and with the one before it: pairs whose signatures of SKETCH
 hashes agree in half are verified by the exact Jaccard similarity of their whole sets, and verified pairs joined by a
 distributed union-find. Of bands that still hold several components, those of up to SHORT_BAND lines are then paired in
 full; the lines of longer ones meet on rare parts of their differences from the band's first line, which no similar pair
@@ -98,9 +98,10 @@ def _bands(lines: DataFrame) -> DataFrame:
 
 def _candidates(bands: DataFrame) -> DataFrame:
     """(a, b): each line with the first of its band and with the one before it."""
-    w = Window.partitionBy("key").orderBy("line_id")
+    w = Window.partitionBy("key").orderBy(F.desc("w"), "line_id")
     pairs = bands.select("line_id", F.first("line_id").over(w).alias("p"), F.lag("line_id").over(w).alias("q"))
-    return pairs.select(F.explode(F.array("p", "q")).alias("a"), F.col("line_id").alias("b")).where("a <> b").distinct()
+    pairs = pairs.select(F.explode(F.array("p", "q")).alias("o"), "line_id").where("o <> line_id")
+    return pairs.select(F.least("o", "line_id").alias("a"), F.greatest("o", "line_id").alias("b")).distinct()
 
 
 def _agree() -> Column:
@@ -141,8 +142,8 @@ def _differing(found: DataFrame) -> DataFrame:
     each = found.select("p", "x", F.explode("tokens").alias("token"))
     shared = each.groupBy("p", "token").count().where("count > 1")
     ordered = each.join(shared, ["p", "token"]).groupBy("p", "x").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("s"))
-    rows = ordered.join(found.drop("tokens", "linked"), ["p", "x"]).select("p", "x", "c", "n", "d", F.size("s").alias("m"), F.posexplode("s").alias("k", "e"))
-    rows = rows.select("p", "x", "c", "n", "d", (F.col("d") - F.col("m") + F.col("k")).alias("i"), F.col("e.token").alias("token"))
+    rows = ordered.join(found.drop("tokens"), ["p", "x"]).select("p", "x", "c", "n", "d", "linked", F.size("s").alias("m"), F.posexplode("s").alias("k", "e"))
+    rows = rows.select("p", "x", "c", "n", "d", "linked", (F.col("d") - F.col("m") + F.col("k")).alias("i"), F.col("e.token").alias("token"))
     most = (1 - SIMILAR) / SIMILAR * F.col("n") + TINY
     rows = written(rows.where(F.col("i") <= F.floor(most)), "prefixes")
     u, v = rows.where(F.col("i") <= F.floor(most / 2)).alias("u"), rows.alias("v")
@@ -150,14 +151,14 @@ def _differing(found: DataFrame) -> DataFrame:
     allowed = F.floor(APART * (x("n") + y("n")) + TINY)
     sizes = F.least(x("n"), y("n")) >= SIMILAR * F.greatest(x("n"), y("n")) - TINY
     rest = 2 * F.least(x("d") - x("i"), y("d") - y("i")) >= x("d") + y("d") - allowed
-    met = u.join(v, (x("p") == y("p")) & (x("token") == y("token")) & (x("c") != y("c")) & (x("d") <= y("d")) & sizes & rest)
+    met = u.join(v, (x("p") == y("p")) & (x("token") == y("token")) & (x("c") != y("c")) & ~(x("linked") & y("linked")) & (x("d") <= y("d")) & sizes & rest)
     return met.select(F.least(x("x"), y("x")).alias("a"), F.greatest(x("x"), y("x")).alias("b")).distinct()
 
 
 def _left_over(bands: DataFrame, texts: DataFrame, components: DataFrame) -> DataFrame:
     """(a, b): the similar pairs of different components among the lines of bands that hold several."""
     named = bands.join(components, "line_id", "left").withColumn("c", F.coalesce("c", "line_id"))
-    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 3 AND lo <> hi").select("key", "n", "p")
+    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("line_id", F.struct("w", F.bitwise_not("line_id"))).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 3 AND lo <> hi").select("key", "n", "p")
     live = written(named.join(several, "key"), "bands")
     x, y = (live.where(F.col("n") <= SHORT_BAND).alias(s) for s in "xy")
     short = x.join(y, F.expr("x.key = y.key AND x.c <> y.c AND x.line_id < y.line_id")).select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b"))
@@ -170,8 +171,10 @@ def _left_over(bands: DataFrame, texts: DataFrame, components: DataFrame) -> Dat
 def line_components(lines: DataFrame) -> DataFrame:
     """(line_id, component) of distinct lines that have a similar one."""
     w = Window.partitionBy("key")
-    bands = _bands(lines).withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1").drop("n")
-    bands = written(bands, "bands")
+    bands = written(_bands(lines).withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1"), "bands")
+    # the line whose bands hold the most is the first of its bands: what is similar in a group is mostly similar to it
+    weights = bands.groupBy("line_id").agg(F.sum("n").alias("w"))
+    bands = written(bands.drop("n").join(weights, "line_id"), "bands")
     wanted = bands.select("line_id").distinct()
     chosen = lines.select("line_id", "line").join(wanted, "line_id", "left_semi")
     texts = written(chosen.groupBy("line_id").agg(F.min("line").alias("line")).withColumn("sketch", _least("line", SKETCH)), "lines")
