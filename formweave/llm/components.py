@@ -47,3 +47,15 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
             forget(t)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merge_components(found: DataFrame, edges: DataFrame, label: str = "cc") -> DataFrame:
+    """`found` (node, component) after further `edges` (a, b): the components are joined, their nodes are not visited again."""
+    a, b = (found.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
+    links = edges.join(a, "a", "left").join(b, "b", "left")
+    links = written(links.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), label)
+    over = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), label)
+    over = over.select(F.col("component").alias("to"), F.col("node").alias("component"))
+    ends = (links.select(F.col(s).alias("node"), F.col(f"c{s}").alias("component")) for s in "ab")
+    nodes = found.unionByName(next(ends)).unionByName(next(ends)).distinct()
+    return nodes.join(over, "component", "left").select("node", F.coalesce("to", "component").alias("component"))

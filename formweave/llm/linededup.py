@@ -9,7 +9,8 @@ In each band a line is compared with the band's first line, that whose bands hol
 hashes agree in half are verified by the exact Jaccard similarity of their whole sets, and verified pairs joined by a
 distributed union-find. Of bands that still hold several components, those of up to SHORT_BAND lines are then paired in
 full; the lines of longer ones meet on rare parts of their differences from the band's first line, which no similar pair
-escapes, so that pairs do not grow with the square of a band. Of every component the first occurrence stays, by id, then row, then
+escapes: first each with the plainest line of its list, then those of different components, so that pairs do not grow with
+the square of a band. Of every component the first occurrence stays, by id, then row, then
 position; the others are removed.
 
 Lines count once however often they occur: repeated ones are combined before each shuffle. Lines are known by 64-bit
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formweave.llm.common import forget, table, written
-from formweave.llm.components import connected_components
+from formweave.llm.components import connected_components, merge_components
 
 MIN_CHARS, SHINGLE, BOTTOM, SKETCH, SIMILAR = 6, 12, 4, 16, 0.8
 #: Lines in a band that are paired in full; those of longer bands meet on their differences.
@@ -132,31 +133,65 @@ def _differences(members: DataFrame, texts: DataFrame) -> DataFrame:
     return found.select("p", "x", "c", "n", d.alias("d"), (d <= APART * (F.col("n") + F.col("np")) + TINY).alias("linked"), "tokens")
 
 
-def _differing(found: DataFrame) -> DataFrame:
-    """(a, b): pairs of members of one centre, of different components, that could be similar.
+def _prefixes(found: DataFrame) -> DataFrame:
+    """(p, x, c, n, d, linked, own, i, token): of the difference of each member its rarest tokens, `i` in their order.
 
     Two differences differ exactly where the lines do. Unless both lines link with the centre, similar ones share at
     least half of what their differences hold over the allowed distance: so they share one of the rarest, as many as the
     distance to the largest similar line, and half of that for the smaller difference. Rare is what few members of the
-    centre have; what a single one has comes first and meets nothing."""
+    centre have; the `own` tokens, which a single one has, come first and meet nothing."""
     each = found.select("p", "x", F.explode("tokens").alias("token"))
     shared = each.groupBy("p", "token").count().where("count > 1")
     ordered = each.join(shared, ["p", "token"]).groupBy("p", "x").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("s"))
-    rows = ordered.join(found.drop("tokens"), ["p", "x"]).select("p", "x", "c", "n", "d", "linked", F.size("s").alias("m"), F.posexplode("s").alias("k", "e"))
-    rows = rows.select("p", "x", "c", "n", "d", "linked", (F.col("d") - F.col("m") + F.col("k")).alias("i"), F.col("e.token").alias("token"))
-    most = (1 - SIMILAR) / SIMILAR * F.col("n") + TINY
-    rows = written(rows.where(F.col("i") <= F.floor(most)), "prefixes")
-    u, v = rows.where(F.col("i") <= F.floor(most / 2)).alias("u"), rows.alias("v")
-    x, y = (lambda k: F.col(f"u.{k}")), (lambda k: F.col(f"v.{k}"))
+    rows = ordered.join(found.drop("tokens"), ["p", "x"]).select("p", "x", "c", "n", "d", "linked", (F.col("d") - F.size("s")).alias("own"), F.posexplode("s").alias("k", "e"))
+    rows = rows.select("p", "x", "c", "n", "d", "linked", "own", (F.col("own") + F.col("k")).alias("i"), F.col("e.token").alias("token"))
+    return rows.where(F.col("i") <= F.floor(_most("n")))
+
+
+def _most(n: str | Column) -> Column:
+    """The most that a line of n shingles differs in from a similar one that is no smaller."""
+    return (1 - SIMILAR) / SIMILAR * (F.col(n) if isinstance(n, str) else n) + TINY
+
+
+def _could_be(u: str, v: str) -> Column:
+    """Whether rows of prefixes that meet at a token, their first common one, could be of similar lines."""
+    x, y = (lambda k: F.col(f"{u}.{k}")), (lambda k: F.col(f"{v}.{k}"))
     allowed = F.floor(APART * (x("n") + y("n")) + TINY)
     sizes = F.least(x("n"), y("n")) >= SIMILAR * F.greatest(x("n"), y("n")) - TINY
-    rest = 2 * F.least(x("d") - x("i"), y("d") - y("i")) >= x("d") + y("d") - allowed
-    met = u.join(v, (x("p") == y("p")) & (x("token") == y("token")) & (x("c") != y("c")) & ~(x("linked") & y("linked")) & (x("d") <= y("d")) & sizes & rest)
-    return met.select(F.least(x("x"), y("x")).alias("a"), F.greatest(x("x"), y("x")).alias("b")).distinct()
+    return sizes & (2 * F.least(x("d") - x("i"), y("d") - y("i")) >= x("d") + y("d") - allowed)
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
 
+def _starred(rows: DataFrame) -> DataFrame:
+    """(a, b): each member with that of its list, the members of one centre and token, which has the fewest tokens of its own
+    and does not link with the centre: lines that share one difference from the centre are mostly similar to it."""
+    heads = rows.groupBy("p", "token").agg(F.min_by(F.struct("x", "c", "n", "d", "i", "linked"), F.struct("linked", "own", "d", "x")).alias("h"))
+    met = rows.alias("r").join(heads, ["p", "token"]).where("NOT h.linked AND r.x <> h.x AND r.c <> h.c")
+    return met.where(_could_be("r", "h")).select(*_pair("r.x", "h.x")).distinct()
 
-def _left_over(bands: DataFrame, texts: DataFrame, components: DataFrame) -> DataFrame:
-    """(a, b): the similar pairs of different components among the lines of bands that hold several."""
+
+def _differing(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """(a, b): pairs of rows of prefixes that meet, are of different components and could be similar. In each list those of its
+    largest component are not paired with each other, so that a group of similar lines costs no more than its strays."""
+    named = rows.drop("c").join(components.select(F.col("line_id").alias("x"), "c"), "x", "left").withColumn("c", F.coalesce("c", "x"))
+    sizes = named.groupBy("p", "token", "c").count().groupBy("p", "token")
+    sizes = sizes.agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    named = written(named.join(sizes, ["p", "token"]).withColumn("stray", F.col("c") != F.col("main")), "prefixes")
+    first = named.where(F.col("i") <= F.floor(_most("n") / 2))
+
+    def met(u: DataFrame, v: DataFrame) -> DataFrame:
+        on = F.expr("u.p = v.p AND u.token = v.token AND u.c <> v.c AND u.d <= v.d")
+        return u.alias("u").join(v.alias("v"), on & _could_be("u", "v")).select(*_pair("u.x", "v.x"))
+
+    return met(first.where("stray"), named).unionByName(met(first.where("NOT stray"), named.where("stray"))).distinct()
+
+
+def _left_over(bands: DataFrame, texts: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The similar pairs (a, b) of different components in short bands, with the centres of long ones and with the heads of
+    their lists; and the prefixes of the members of long bands."""
     named = bands.join(components, "line_id", "left").withColumn("c", F.coalesce("c", "line_id"))
     several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("line_id", F.struct("w", F.bitwise_not("line_id"))).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 3 AND lo <> hi").select("key", "n", "p")
     live = written(named.join(several, "key"), "bands")
@@ -164,8 +199,9 @@ def _left_over(bands: DataFrame, texts: DataFrame, components: DataFrame) -> Dat
     short = x.join(y, F.expr("x.key = y.key AND x.c <> y.c AND x.line_id < y.line_id")).select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b"))
     members = live.where((F.col("n") > SHORT_BAND) & (F.col("p") != F.col("line_id"))).select("p", F.col("line_id").alias("x"), "c").distinct()
     found = written(_differences(members, texts), "differences")
-    linked = found.where("linked").select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
-    return _similar(short.unionByName(_differing(found)).distinct(), texts).unionByName(linked)
+    linked = found.where("linked").select(*_pair("p", "x"))
+    rows = written(_prefixes(found), "prefixes")
+    return _similar(short.unionByName(_starred(rows)).distinct(), texts).unionByName(linked), rows
 
 
 def line_components(lines: DataFrame) -> DataFrame:
@@ -178,17 +214,21 @@ def line_components(lines: DataFrame) -> DataFrame:
     wanted = bands.select("line_id").distinct()
     chosen = lines.select("line_id", "line").join(wanted, "line_id", "left_semi")
     texts = written(chosen.groupBy("line_id").agg(F.min("line").alias("line")).withColumn("sketch", _least("line", SKETCH)), "lines")
-    edges = written(_similar(_candidates(bands), texts), "edges")
-    found = connected_components(edges)
-    rest = _left_over(bands, texts, found.select(F.col("node").alias("line_id"), F.col("component").alias("c")))
-    rest = written(rest, "edges")
+    found = connected_components(written(_similar(_candidates(bands), texts), "edges"))
+    near, rows = _left_over(bands, texts, _named(found))
+    found = written(merge_components(found, written(near, "edges")), "components")
+    rest = written(_similar(_differing(rows, _named(found)), texts), "edges")
     if not rest.isEmpty():
-        found = connected_components(edges.unionByName(rest))
-    for t in (bands, texts, edges):
+        found = merge_components(found, rest)
+    for t in (bands, texts):
         forget(t)
     return found.select(F.col("node").alias("line_id"), "component")
 
 
+def _named(found: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("line_id"), F.col("component").alias("c"))
+
+
 def removals(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, mark, gone): for every document that loses lines their positions; `mark` is the hash of its text."""
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))

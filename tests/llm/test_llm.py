@@ -12,7 +12,7 @@ import pytest
 
 from formweave.llm import bpe, decontam, htmltext, linededup, ngramjoin, quality, sharding, tokencount, toxicity, warc
 from formweave.llm.common import table
-from formweave.llm.components import connected_components
+from formweave.llm.components import connected_components, merge_components
 
 ODD = [None, "", " ", "  a", "a  b \n c", "a \n", "x " * 300, "\x1c a\x1cb  c", "é́  x y", "a" * 3000 + " " + "é" * 200, "it's  don't 'll", " \n\n", "<|endoftext|> hi<|startoftext|>", "日本語 テキスト 12 ½²", "\r\n a", "\u0085x", "👍🏽 ok  👍", " 's", "a b c d e f g h i j k l m n"]
 
@@ -253,6 +253,28 @@ def test_line_dedup_in_bands_of_a_template(spark):
     assert removed_lines(spark, lines) == [False] * 400 + [True] * 400
 
 
+def test_line_dedup_of_groups_away_from_the_centre(spark):
+    """Lines of one difference from the most common line are similar to each other, and not to that line."""
+    pick = random.Random(5)
+    base = " ".join(f"word{j * j}" for j in range(40))
+    away = base[:150] + " ".join(f"other{j * j * j}" for j in range(14))
+    rows = [(text, k) for text in (base, away) for k in range(200)]
+    lines = list(dict.fromkeys(f"{text} {pick.randrange(10**6)}" + "." * (k % 3) for text, k in rows))
+    groups = line_groups(lines)
+    assert len(set(groups)) == 2
+    assert removed_lines(spark, lines) == [g in groups[:k] for k, g in enumerate(groups)]
+
+
+def test_merged_components(spark):
+    found = spark.createDataFrame([(1, 1), (2, 1), (7, 7), (8, 7), (20, 20), (21, 20)], "node long, component long")
+    merged = merge_components(found, spark.createDataFrame([(2, 8), (8, 30), (40, 41), (1, 2)], "a long, b long"))
+    groups = defaultdict(set)
+    for r in merged.collect():
+        groups[r.component].add(r.node)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 7, 8, 30], [20, 21], [40, 41]]
+    assert sorted(map(tuple, merge_components(found, spark.createDataFrame([], "a long, b long")).collect())) == sorted(map(tuple, found.collect()))
+
+
 def test_line_dedup_recall_against_all_pairs(spark, documents):
     """Of the lines that go by all pairs of whole shingle sets 95 of 100 go, and hardly another."""
     lines = sorted({line.strip(" ").lower() for _, text in documents for line in (text or "").split("\n")})
