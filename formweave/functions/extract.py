@@ -1,26 +1,12 @@
-"""Information extraction from text: label lines, MRZ, AAMVA, cards, phones, addresses of mail, search results."""
+"""Information extraction from text: lines, cards, phones, addresses of mail, search results."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formweave.functions.dates import full_year
 from formweave.functions.text import decode_entities, strip_tags, unwrap_redirect
 
-#: Label words of document fields, longest first within a key.
-ALIASES = {
-    "last_name": ("family name", "last name", "surname"),
-    "first_name": ("given names", "given name", "first name"),
-    "date_of_birth": ("date of birth", "birth date", "dob"),
-    "passport_no": ("passport number", "passport no"),
-    "expiry_date": ("date of expiry", "expiry date", "expires"),
-    "address": ("address",),
-    "nationality": ("nationality",),
-}
-#: Element codes of licence barcodes.
-AAMVA = {"DCS": "last_name", "DAC": "first_name", "DAD": "middle_name", "DBB": "date_of_birth", "DBA": "expiry_date", "DAG": "address", "DAI": "city", "DAJ": "state", "DAK": "postal", "DAQ": "license_no"}
-
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line) of all non-blank lines."""
@@ -28,15 +14,6 @@ def lines(docs: DataFrame) -> DataFrame:
     return each.withColumn("line", F.trim("line")).where("line <> ''")
 
 
-def label_values(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, value): 'Label: value' lines; the first line of a key wins."""
-    rows = [(alias, key) for key, aliases in ALIASES.items() for alias in aliases]
-    known = F.broadcast(docs.sparkSession.createDataFrame(rows, "alias string, key string"))
-    pair = lines(docs).withColumns({"label": F.regexp_extract("line", r"^([^:]{2,40}):\s*(\S.*)$", 1), "value": F.regexp_extract("line", r"^([^:]{2,40}):\s*(\S.*)$", 2)}).where("label <> ''")
-    met = pair.withColumn("alias", F.trim(F.regexp_replace(F.lower("label"), "[^a-z0-9]+", " "))).join(known, "alias")
-    return met.groupBy("doc_id", "key").agg(F.min_by(F.trim("value"), "pos").alias("value"))
-
-
 def next_line_values(docs: DataFrame, label: str) -> DataFrame:
     """(doc_id, value): the line after the first line that is the label alone."""
     from pyspark.sql import Window
@@ -64,37 +41,6 @@ def phone(c: Column) -> Column:
     return F.get(F.filter(runs, fits), F.lit(0))
 
 
-def mrz(docs: DataFrame) -> DataFrame:
-    """Fields of two-line travel documents (44 characters a line), by position; check digits are not verified."""
-    both = docs.select("doc_id", F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, " ", "")), lambda x: x.rlike("^[A-Z0-9<]{42,44}$")).alias("m")).where("size(m) >= 2")
-    a, b = F.rpad(F.get("m", F.lit(0)), 44, "<"), F.rpad(F.get("m", F.lit(1)), 44, "<")
-    names = F.split(F.substring(a, 6, 39), "<<", 2)
-    clean = lambda x: F.trim(F.regexp_replace(x, "<+", " "))
-    given = F.split(clean(F.get(names, F.lit(1))), " ")
-    date = lambda k, pivot: F.concat_ws("/", F.substring(b, k + 2, 2), F.substring(b, k + 4, 2), full_year(F.substring(b, k, 2), pivot).cast("string"))
-    return both.select(
-        "doc_id",
-        clean(F.get(names, F.lit(0))).alias("last_name"),
-        F.get(given, F.lit(0)).alias("first_name"),
-        F.array_join(F.slice(given, 2, 20), " ").alias("middle_name"),
-        F.regexp_replace(F.substring(b, 1, 9), "<", "").alias("passport_no"),
-        F.regexp_replace(F.substring(b, 11, 3), "<", "").alias("nationality"),
-        date(14, 30).alias("date_of_birth"),
-        F.nullif(F.regexp_replace(F.substring(b, 21, 1), "<", ""), F.lit("")).alias("gender"),
-        date(22, 69).alias("expiry_date"),
-    )
-
-
-def aamva(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, value) of licence barcodes; dates of the US are MMDDYYYY, of Canada YYYYMMDD."""
-    can = F.col("text").rlike(r"(^|\n)\s*DCGCAN")
-    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.trim(F.regexp_extract("text", rf"(?:^|\n)(?:DL|ID)?{c}([^\n\r]*)", 1)).alias("value")) for c, k in AAMVA.items()))
-    each = docs.withColumn("can", can).select("doc_id", "can", F.explode(pairs).alias("p")).select("doc_id", "can", "p.*").where("value <> ''")
-    us, ca = F.regexp_replace("value", "^([0-9]{2})([0-9]{2})([0-9]{4})$", "$1/$2/$3"), F.regexp_replace("value", "^([0-9]{4})([0-9]{2})([0-9]{2})$", "$2/$3/$1")
-    value = F.when(F.col("key").endswith("date") | (F.col("key") == "date_of_birth"), F.when(F.col("can"), ca).otherwise(us)).when(F.col("key") == "postal", F.regexp_replace("value", "^([0-9]{5})([0-9]{4})$", "$1-$2")).otherwise(F.col("value"))
-    return each.select("doc_id", "key", value.alias("value"))
-
-
 def search_results(pages: DataFrame, param: str = "uddg", most: int = 10) -> DataFrame:
     """(page_id, pos, url, title): the first links of a result page, redirects unwrapped, http only, titled only."""
     found = F.arrays_zip(

@@ -3,20 +3,40 @@
 from pyspark.sql import functions as F
 
 from formweave.functions import extract as X
+from formweave.functions import labels as L
 from formweave.plans.fixtures import Rows, table
 from formweave.plans.registry import query
 
 _LICENCE = "ANSI 636\nDLDCSDOE\nDACJANE\nDBB01151985\nDBA12312030\nDAK123456789\nDAQD123"
-_DOCS = Rows("docs", "doc_id bigint,text string", [(1, "Surname: Rao\nGiven Name: Asha\nSurname: Other\nColour: red"), (2, "DOB: 1/2/1990\r\nAddress: 1 Main St: Apt 2"), (3, "nothing here"), (4, "Family-Name: Lee\nexpires: 2030"), (5, "Given Names\nANNA MARIA\nSurname\nERIKSSON"), (6, "")])
-_MRZ = Rows("docs", "doc_id bigint,text string", [(1, "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10"), (2, "no zone")])
-_CODES = Rows("docs", "doc_id bigint,text string", [(1, _LICENCE), (2, "DCGCAN\nDCSROY\nDBB19850115\nDAG 12 Elm St ")])
-_ALIAS = "a(alias, key) AS (VALUES " + ", ".join(f"('{a}', '{k}')" for k, al in X.ALIASES.items() for a in al) + ")"
+_DOCS = Rows("docs", "doc_id bigint,text string", [(1, "Surname: Rao\nGiven Name: Asha\nSurname: Other\nColour: red"), (2, "DOB: 1/2/1990\r\nAddress: 1 Main St: Apt 2"), (3, "nothing here"), (4, "Family-Name: Lee\nexpires: 2030"), (5, "Given Names\nANNA MARIA\nSurname\nERIKSSON"), (6, ""), (7, "City: Springfield State: IL Zip: 62704\nLast name: Lee\nSex - F"), (8, "Full Name: Ann  Mary Lou Poe\nPlace of birth date: 1/2/1990\ncellphone: 555"), (9, "Country   France\nTown: Nice\nno label - here")])
+_MRZ = Rows("docs", "doc_id bigint,text string", [(1, "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10"), (2, "no zone"), (3, "I<UTOD231458907<<<<<<<<<<<<<<<\n7408122F1204159UTO<<<<<<<<<<<6\nERIKSSON<<ANNA<MARIA<<<<<<<<<<"), (4, "I<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<\nD231458907UTO7408122F1204159<<<<<<<6"), (5, "JOHN DOE\n123 MAPLE STREET\nSPRINGFIELD IL 62704"), (6, "B<UTOERIKSSON<<ANNA<MARIA\n898902361UTO7408122F1204159")])
+_CODES = Rows("docs", "doc_id bigint,text string", [(1, _LICENCE), (2, "DCGCAN\nDCSROY\nDBB19850115\nDAG 12 Elm St "), (3, "DAASMITH,JANE,ANN\nDBB03031975\nDBC2"), (4, "DCSDOE,\nDAK627040000\nDBC1\nDBA1231"), (5, None)])
+_RULES = "a(alias, whole, ord, key) AS (VALUES " + ", ".join(f"('{a}', {str(w).lower()}, {i}, '{k}')" for a, w, i, k in L.label_rules(L.LABELS)) + ")"
+_ONE_WORD = "|".join(x for x in L.PACKED if not x.endswith(" name"))
+_PACKED_SQL = rf"""l AS (SELECT doc_id, unnest(r) AS raw, generate_subscripts(r, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS r FROM docs)),
+b AS (SELECT doc_id, pos, string_split(regexp_replace(regexp_replace(raw, '(?i)\s+((?:{_ONE_WORD})\s*[:\-]\s)', chr(10) || '\1', 'g'), '(?i)\s+((?:first|middle|last)\nname\s*[:\-]\s)', chr(10) || '\1', 'g'), chr(10)) AS r FROM l),
+g AS (SELECT doc_id, pos * 1000 + generate_subscripts(r, 1) AS pos, trim(unnest(r)) AS line FROM b),
+m AS (SELECT doc_id, pos, CASE WHEN regexp_matches(line, '{L.SEPARATED}') THEN [regexp_extract(line, '{L.SEPARATED}', 1), regexp_extract(line, '{L.SEPARATED}', 2)] ELSE [regexp_extract(line, '{L.SPACED}', 1), regexp_extract(line, '{L.SPACED}', 2)] END AS p FROM g),
+w AS (SELECT doc_id, pos, trim(p[2]) AS value, trim(regexp_replace(regexp_replace(lower(p[1]), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) AS label FROM m WHERE trim(p[2]) <> ''),
+k AS (SELECT doc_id, pos, value, arg_min(key, ord) AS key FROM w JOIN a ON label = alias OR (NOT whole AND ends_with(label, ' ' || alias)) GROUP BY doc_id, pos, value),
+n AS (SELECT *, regexp_split_to_array(value, '\s+') AS p FROM k),
+v AS (SELECT doc_id, pos, key, value FROM n WHERE key <> 'full' UNION ALL SELECT doc_id, pos, 'first_name', p[1] FROM n WHERE key = 'full' UNION ALL SELECT doc_id, pos, 'middle_name', array_to_string(p[2:len(p) - 1], ' ') FROM n WHERE key = 'full' AND len(p) > 2 UNION ALL SELECT doc_id, pos, 'last_name', p[len(p)] FROM n WHERE key = 'full' AND len(p) > 1)"""
 _LINES = "l AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n'))) AS line, generate_subscripts(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), 1) AS pos FROM docs)"
 
 
-@query("x1_label_values", f"WITH {_DOCS.cte}, {_ALIAS}, {_LINES}, p AS (SELECT doc_id, pos, regexp_extract(line, '^([^:]{{2,40}}):\\s*(\\S.*)$', 1) AS label, trim(regexp_extract(line, '^([^:]{{2,40}}):\\s*(\\S.*)$', 2)) AS value FROM l) SELECT doc_id, key, arg_min(value, pos) AS value FROM p JOIN a ON alias = trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) WHERE label <> '' GROUP BY 1, 2")
+@query("x1_label_values", f"WITH {_DOCS.cte}, {_RULES}, {_PACKED_SQL} SELECT doc_id, key, arg_min(value, pos) AS value FROM v GROUP BY 1, 2")
 def x1(spark, sf):
-    return X.label_values(_DOCS.frame(spark))
+    return L.label_values(_DOCS.frame(spark))
+
+
+@query("x1_labels_in_documents", f"WITH docs AS (SELECT doc_id, text FROM documents), {_RULES}, {_PACKED_SQL} SELECT doc_id, key, arg_min(value, pos) AS value FROM v GROUP BY 1, 2")
+def x1_in_documents(spark, sf):
+    return L.label_values(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("x2_desktop_values")
+def x2(spark, sf):
+    return L.desktop_values(_DOCS.frame(spark).unionByName(_MRZ.frame(spark).withColumn("doc_id", F.col("doc_id") + 100)))
 
 
 @query("x1_document_labels", "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) SELECT doc_id, count(*) AS n FROM l WHERE regexp_matches(line, '^[^:]{2,40}:\\s*\\S') GROUP BY doc_id")
@@ -71,14 +91,25 @@ def x6(spark, sf):
     return _NUMBERS.frame(spark).select("id", kind.alias("kind"))
 
 
-@query("x7_mrz", "SELECT 1::BIGINT AS doc_id, 'ERIKSSON' AS last_name, 'ANNA' AS first_name, 'MARIA' AS middle_name, 'L898902C3' AS passport_no, 'UTO' AS nationality, '08/12/1974' AS date_of_birth, 'F' AS gender, '04/15/2012' AS expiry_date")
+@query("x7_mrz")
 def x7(spark, sf):
-    return X.mrz(_MRZ.frame(spark))
+    return L.mrz(_MRZ.frame(spark))
+
+
+_ELEMENTS = "e(ord, code, key) AS (VALUES " + ", ".join(f"({i}, '{c}', '{k}')" for i, (c, k) in enumerate(L.AAMVA)) + ")"
+_AAMVA_SQL = r"""p AS (SELECT doc_id, ord, code, key, trim(regexp_extract(text, '(?:^|[\n\r])(?:DL|ID)?' || code || '([^\n\r]*)', 1)) AS v FROM docs, e),
+c AS (SELECT doc_id, bool_or(code = 'DCG' AND contains(upper(v), 'CAN')) AS can, bool_or(key IN ('last_name', 'first_name') AND v <> '') AS named FROM p GROUP BY 1),
+d AS (SELECT doc_id, string_split(trim(regexp_extract(text, '(?:^|[\n\r])(?:DL|ID)?DAA([^\n\r]*)', 1)), ',') AS a FROM docs),
+q AS (SELECT doc_id, ord, key, can, v, regexp_replace(v, '[^0-9]', '', 'g') AS digits, regexp_replace(v, '\s', '', 'g') AS z FROM p JOIN c USING (doc_id)),
+r AS (SELECT doc_id, ord, key, CASE WHEN contains(key, 'date') THEN CASE WHEN length(digits) <> 8 THEN '' WHEN can THEN digits[5:6] || '/' || digits[7:8] || '/' || digits[1:4] ELSE digits[1:2] || '/' || digits[3:4] || '/' || digits[5:8] END
+  WHEN key = 'zip' THEN CASE WHEN NOT regexp_matches(z, '^[0-9]{9}$') THEN z WHEN z[6:9] = '0000' THEN z[1:5] ELSE z[1:5] || '-' || z[6:9] END
+  WHEN key = 'gender' THEN CASE v WHEN '1' THEN 'M' WHEN '2' THEN 'F' END ELSE trim(regexp_replace(v, ',+$', '')) END AS value FROM q
+  UNION ALL SELECT doc_id, 90, n.key, trim(n.value) FROM d JOIN c USING (doc_id), unnest([{'key': 'last_name', 'value': a[1]}, {'key': 'first_name', 'value': a[2]}, {'key': 'middle_name', 'value': array_to_string(a[3:], ' ')}]) u(n) WHERE NOT named)"""
 
 
-@query("x8_aamva", "SELECT * FROM (VALUES (1::BIGINT, 'last_name', 'DOE'), (1, 'first_name', 'JANE'), (1, 'date_of_birth', '01/15/1985'), (1, 'expiry_date', '12/31/2030'), (1, 'postal', '12345-6789'), (1, 'license_no', 'D123'), (2, 'last_name', 'ROY'), (2, 'date_of_birth', '01/15/1985'), (2, 'address', '12 Elm St')) v(doc_id, key, value)")
+@query("x8_aamva", f"WITH {_CODES.cte}, {_ELEMENTS}, " + _AAMVA_SQL + " SELECT doc_id, key, arg_min(value, ord) AS value FROM r WHERE value <> '' GROUP BY 1, 2")
 def x8(spark, sf):
-    return X.aamva(_CODES.frame(spark))
+    return L.aamva(_CODES.frame(spark))
 
 
 @query("x10_country_codes", "SELECT n_nationkey, upper(left(n_name, 3)) AS code, n_name AS country FROM nation")

@@ -75,3 +75,22 @@ def test_stream_and_batch_agree(spark, tmp_path):
     q = machines.stream_transactions(stream, 2).writeStream.outputMode("update").format("memory").queryName("txn_states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("txn_states").collect()} == batch
+
+
+def test_zones_of_all_forms(spark):
+    """The specimens of the standard: passport, card of three lines, card of two, and one whose first letter was misread."""
+    from formweave.plans.registry import queries
+
+    got = {r.doc_id: r for r in queries()["x7_mrz"](spark, "").collect()}
+    assert {k: r.form for k, r in got.items()} == {1: "passport", 3: "card", 4: "small card", 6: "lenient"}
+    assert {(r.last_name, r.first_name, r.middle_name, r.date_of_birth, r.gender, r.passport_expiry_date) for r in got.values()} == {("ERIKSSON", "ANNA", "MARIA", "08/12/1974", "F", "04/15/2012")}
+    assert [got[k].passport_no or got[k].id_number for k in (1, 3, 4, 6)] == ["L898902C3", "D23145890", "D23145890", "898902361"]
+
+
+def test_desktop_values(spark):
+    from formweave.functions.labels import desktop_values
+
+    rows = [(1, "SURNAME ERIKSEN\nGiven Names Anna Maria\nID No: 12\nDOB"), (2, "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10\nSurname: Other\nCity: Nice"), (3, None), (4, "")]
+    got = {(r.doc_id, r.key): r.value for r in desktop_values(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 1} == {"last_name": "ERIKSEN", "first_name": "Anna", "id_no": "12"}
+    assert (got[2, "last_name"], got[2, "city"], got[2, "passport_no"]) == ("ERIKSSON", "Nice", "L898902C3") and max(k[0] for k in got) == 2
