@@ -44,11 +44,14 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | l
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own where it is unset and the
+    master is local, as in tests. Elsewhere a folder of one machine would not do: ValueError."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="formweave-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

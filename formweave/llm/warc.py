@@ -84,7 +84,10 @@ def _members(stream: io.BufferedIOBase) -> Iterator[bytes]:
     """The decompressed members of a stream, read in chunks; a member that ends early raises."""
     z, parts, rest = zlib.decompressobj(31), [], b""
     while chunk := rest or stream.read(CHUNK):
-        parts.append(z.decompress(chunk))
+        try:
+            parts.append(z.decompress(chunk))
+        except zlib.error as broken:
+            raise ValueError("a member is not whole gzip") from broken
         rest = z.unused_data
         if z.eof:
             yield b"".join(parts)
@@ -102,6 +105,8 @@ def read_records(stream: io.BufferedIOBase) -> Iterator[Record]:
         if not gap or not first.startswith(b"WARC/"):
             raise ValueError("no record header")
         headers = _headers(lines)
+        if missing := {"content-length", "warc-type", "warc-record-id"} - headers.keys():
+            raise ValueError(f"no {', '.join(sorted(missing))} in a record header")
         n = int(headers["content-length"])
         block = body[:n]
         if len(block) != n or body[n:] != b"\r\n\r\n":

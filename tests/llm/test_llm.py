@@ -308,6 +308,17 @@ def test_warc(spark):
     assert base64.b32encode(hashlib.sha1(b"").digest()).decode() == warc.digest32(b"")
 
 
+def test_warc_broken_records_raise_value_errors():
+    good = warc.page_record(7, "http://a", b"text", 4, warc.digest32(b"text"), None, False)
+    assert [r.payload for r in warc.read_records(io.BytesIO(good + good))] == [b"text", b"text"]
+    flipped = bytearray(good)
+    flipped[len(good) // 2] ^= 0x55
+    nameless = warc.member([("WARC-Type", "response"), ("Content-Length", "0")], b"")
+    for broken in (bytes(flipped), b"no gzip at all", good[:-20], nameless):
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(broken)))
+
+
 def test_html(spark, sf):
     rows = htmltext.op9_html_text(spark, sf).collect()
     source = {r.page_id: r.html for r in table(spark, sf, "pages").collect()}
