@@ -293,6 +293,24 @@ def test_line_dedup_of_short_lines(spark):
     assert gone == [False] * 8 + [True] * 5 + [False] * 5
 
 
+def test_empty_tables_and_repeated_rows(spark):
+    """Row for row: no rows give none, and repeated ones stay as often as they came; extra columns may clash."""
+    per_row = [
+        lambda d: bpe.digests(d, "doc_id", "text"),
+        lambda d: quality.judge(d, "doc_id", "text"),
+        lambda d: toxicity.score(d, "doc_id", "text", toxicity.Model(share=0.25)),
+        lambda d: linededup.dedup_lines(d, "doc_id", "text"),
+    ]
+    empty = spark.createDataFrame([], "doc_id long, text string, id string")
+    twice = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, "x"), (2, "", "x")], empty.schema)
+    for work in per_row:
+        assert work(empty).collect() == []
+        assert Counter(r.doc_id for r in work(twice).collect()) == {1: 2, None: 1, 2: 1}
+    assert quality.clean(empty, "text").collect() == []
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_archives(warc.write_archives(warc.plan_revisits(pages, "page_id", "url", "html")), "long").collect() == []
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "same"), (2, None, "same"), (3, "http://c", None), (4, "u r l", ""), (5, "x", "é" * 500_000), (5, "x", "é" * 500_000), (None, "n", "same")]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, digest string")
