@@ -300,6 +300,8 @@ def test_empty_tables_and_repeated_rows(spark):
         lambda d: quality.judge(d, "doc_id", "text"),
         lambda d: toxicity.score(d, "doc_id", "text", toxicity.Model(share=0.25)),
         lambda d: linededup.dedup_lines(d, "doc_id", "text"),
+        lambda d: tokencount.count_tokens(d, "doc_id", "text"),
+        lambda d: htmltext.extract(d, "doc_id", "id", "text"),
     ]
     empty = spark.createDataFrame([], "doc_id long, text string, id string")
     twice = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, "x"), (2, "", "x")], empty.schema)
