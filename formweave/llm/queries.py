@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from formweave.llm import bpe, decontam, htmltext, linededup, ngramjoin, quality, resample, sharding, tokencount, toxicity, warc
+from formweave.llm import bpe, decontam, htmltext, linededup, ngramjoin, quality, resample, sharding, simhash, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_html_text": htmltext.op9_html_text,
     "op10_sharding": sharding.op10_sharding,
+    "op11_simhash": simhash.op11_simhash,
     "op13_resample": resample.op13_resample,
 }
 ORACLES: dict[str, str] = {
