@@ -71,10 +71,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a table written to the shared folder and read again: the lineage ends there and survives lost executors."""
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """`df` as a table written to the shared folder and read again: the lineage ends there and survives lost executors. In
+    folders by the values of the column `by`, which must be the last, if given."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._formweave_path = path
     return out

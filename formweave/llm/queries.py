@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from formweave.llm import bpe, decontam, htmltext, linededup, ngramjoin, quality, resample, sharding, simhash, tokencount, toxicity, warc
+from formweave.llm import bpe, decontam, htmltext, lexical, linededup, ngramjoin, quality, resample, sharding, simhash, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,9 +14,11 @@ QUERIES = {
     "op9_html_text": htmltext.op9_html_text,
     "op10_sharding": sharding.op10_sharding,
     "op11_simhash": simhash.op11_simhash,
+    "op12_lexical": lexical.op12_lexical,
     "op13_resample": resample.op13_resample,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": quality.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
+    "op12_lexical": lexical.OP12_SQL,
 }
