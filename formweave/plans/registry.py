@@ -16,6 +16,7 @@ MODULES = (
     "predicates",
     "scalars",
     "matching",
+    "resolver",
     "extraction",
     "language",
     "geometry",
