@@ -39,10 +39,7 @@ def j19(spark, sf):
 @query("j20_section_kind", f"{_M}, r AS (SELECT form, id, s, row_number() OVER (PARTITION BY form, id ORDER BY ty, tx, s) AS k FROM m WHERE ty > cy AND (s LIKE '%7-%' OR s LIKE '%3-%')) SELECT form, id, CASE WHEN s LIKE '%7-%' THEN 'other' ELSE 'current' END AS kind FROM r WHERE k = 1")
 def j20(spark, sf):
     """The nearest heading above that names a section tells its kind; texts of part 7 and 3 stand for headings."""
-    heads = texts(spark, sf).where("s LIKE '%7-%' OR s LIKE '%3-%'").withColumn("tx", F.col("tx"))
-    m = G._met(boxes(spark, sf), heads).where("t.ty > cy")
-    nearest = m.groupBy("form", "id").agg(F.min_by("t.s", F.struct("t.ty", "t.tx", "t.s")).alias("s"))
-    return nearest.select("form", "id", F.when(F.col("s").like("%7-%"), "other").otherwise("current").alias("kind"))
+    return G.section_kinds(boxes(spark, sf), texts(spark, sf).where("s LIKE '%7-%' OR s LIKE '%3-%'"), F.when(F.col("s").like("%7-%"), "other").otherwise("current"))
 
 
 @query("j21_option_labels", f"{_M}, d AS (SELECT form, id, s, x + w / 2 - (tx + tw / 2) AS dx FROM m WHERE abs(tcy - cy) <= 8), r AS (SELECT form, id, s, row_number() OVER (PARTITION BY form, id ORDER BY CASE WHEN dx BETWEEN 0 AND 70 THEN 0 ELSE 1 END, abs(dx), s) AS k FROM d) SELECT form, id, s AS label FROM r WHERE k = 1")
@@ -50,9 +47,18 @@ def j21(spark, sf):
     return G.option_labels(boxes(spark, sf), texts(spark, sf))
 
 
-@query("a17_repeating_columns", f"WITH {_BOXES_SQL}, g AS (SELECT *, 1 AS base FROM b) SELECT g.form, g.id, count(*) >= 2 AS repeats FROM g JOIN g o ON g.form = o.form AND g.page = o.page AND abs(g.x - o.x) <= 12 GROUP BY 1, 2")
+_FIELDS = (
+    "l_orderkey AS form",
+    "1 AS page",
+    "concat(l_returnflag, '_', l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice)) AS id",
+    "l_partkey * 3 % 300 AS x",
+)
+
+
+@query("a17_repeating_columns", f"WITH b AS (SELECT {', '.join(_FIELDS)} FROM lineitem), g AS (SELECT *, regexp_replace(id, '[0-9]+$', '') AS base FROM b) SELECT g.form, g.id, count(*) >= 2 AS repeats FROM g JOIN g o ON g.form = o.form AND g.page = o.page AND g.base = o.base AND abs(g.x - o.x) <= 12 GROUP BY 1, 2")
 def a17(spark, sf):
-    return G.repeating_columns(boxes(spark, sf), F.regexp_replace("id", "[0-9]+$", ""))
+    """Every line of an order is a field, named by its flags and a number."""
+    return G.repeating_columns(table(spark, sf, "lineitem").selectExpr(*_FIELDS), F.regexp_replace("id", "[0-9]+$", ""))
 
 
 @query("r9_overlap_recall", f"WITH {_BOXES_SQL}, f AS (SELECT form, page, tx AS fx, ty AS fy, tw AS fw, th AS fh FROM (WITH {_TEXTS_SQL} SELECT * FROM t)) SELECT count(*) AS n_truth, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM f WHERE f.form = b.form AND least(b.y + b.h, fy + fh) - greatest(b.y, fy) > 8 AND fx < b.x + b.w AND fx + fw > b.x)) AS n_hit FROM b")
