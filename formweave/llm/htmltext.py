@@ -1,8 +1,11 @@
 """Operator 9, main text of web pages by composite text density.
 
 A forgiving tokenizer builds the DOM as arrays in page order. Elements that are never article text (scripts, menus,
-footers, adverts, forms, comments and the like, by tag, role or class words) are cut; one that only its class or id words
-would cut stays if it holds the greater part of the text, and density decides within it. Every other node gets its
+footers, adverts, comments and the like, by tag, role or class words) are cut; one that only its class or id words would cut stays
+if it holds the greater part of the text, and density decides within it. Words that name parts of articles as well
+(notice, social, widget, ...), and forms, are weighed by the word: all elements of one word stay if together, with those
+of rarer words, they hold the greater part; on paragraphs and headings they say nothing. If words would cut all text, none is cut by
+words. Every other node gets its
 link-adjusted characters per tag; a node's density sum is that of its children. The node of the largest sum gives the
 threshold, the least density on its path to the body, and every node from the body down that reaches the threshold marks
 the largest-sum subtree below it. The article is the least subtree that holds all marked ones, so that headings and short
@@ -34,12 +37,16 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object")
-NOISE_TAGS = frozenset([*RAW, "head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "label", "audio", "video", "canvas"])
+NOISE_TAGS = frozenset([*RAW, "head", "nav", "footer", "aside", "button", "select", "option", "dialog", "menu", "label", "audio", "video", "canvas"])
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 #: Words of class and id attributes of elements beside the article.
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice alert sidebar sidenav comment comments disqus newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation footer popup modal overlay login signup pagination pager widget toolbar".split()
 )
+#: Those of them that name parts of articles as well.
+WEIGHED_WORDS = frozenset("social notice alert related recommended widget promotion promo subscription subscribe banner overlay login signup share sharing toolbar form".split())
+#: Elements of running text, on which such words say nothing.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Words that say a noise word after them in the same name is of the layout, not of the element.
 MODIFIERS = frozenset("with has have no not without hide".split())
 #: Elements whose class words say nothing about one part of a page.
@@ -50,7 +57,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td"
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
     r"|<(?:svg|math)(?=[\s/])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-z][^>]*>",
@@ -62,10 +69,10 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Page:
-    """Nodes in page order: tag, parent, noise, and whether only words make them noise; and text pieces (node, block, text)."""
+    """Nodes in page order: tag, parent, noise, and the word that alone makes them noise; and text pieces (node, block, text)."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.noise, self.worded = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.noise, self.worded = ["#root"], [-1], [False], [""]
         self.pieces: list[tuple[int, int, str]] = []
         stack, block, at = [0], 0, 0
         for m in _TOKEN.finditer(source):
@@ -115,50 +122,68 @@ class Page:
                 chars[node] += sum(map(len, html.unescape(text).split()))
         for k in range(n - 1, 0, -1):
             chars[self.parent[k]] += chars[k]
+        held: dict[str, int] = {}
+        inside: list[frozenset[str]] = [frozenset()] * n  # the weighed words of a node and those around it
         for k in range(1, n):
-            self.noise[k] = self.noise[k] or self.noise[self.parent[k]] or (self.worded[k] and 2 * chars[k] <= chars[0])
+            inside[k], word = inside[self.parent[k]], self.worded[k]
+            if word in WEIGHED_WORDS and word not in inside[k]:
+                held[word] = held.get(word, 0) + chars[k]
+                inside[k] |= {word}
+        cut, taken = set(), 0
+        for word in sorted(held, key=lambda w: (held[w], w)):
+            taken += held[word]
+            if 2 * taken <= chars[0]:
+                cut.add(word)
+        noise = list(self.noise)
+        for k in range(1, n):
+            word = self.worded[k]
+            noise[k] = noise[k] or noise[self.parent[k]] or (word in cut if word in WEIGHED_WORDS else word != "" and 2 * chars[k] <= chars[0])
+        if chars[0] == 0 or any(not noise[node] and text.strip() for node, _, text in self.pieces):
+            self.noise = noise
 
-    def _is_noise(self, name: str, attrs: str, stack: list[int]) -> tuple[bool, bool]:
-        """Whether the element is noise in any case, and whether its class or id words say so."""
+    def _is_noise(self, name: str, attrs: str, stack: list[int]) -> tuple[bool, str]:
+        """Whether the element is noise in any case, and the class or id word, or tag, that else says so."""
         if name in NOISE_TAGS:
-            return True, False
+            return True, ""
         if name == "header" and not any(self.tag[k] in ("article", "main") for k in stack):
-            return True, False
+            return True, ""
+        worded = "form" if name == "form" else ""
         if not attrs or name in WHOLE:
-            return False, False
-        worded = False
+            return False, worded
         for key, *values in _ATTR.findall(attrs):
             key, value = key.lower(), "".join(values)
             if key in ("class", "id"):
-                worded = worded or any(map(_is_worded, value.split()))
+                found = [w for part in value.split() if (w := _noise_word(part)) and not (name in RUNNING and w in WEIGHED_WORDS)]
+                # of several words one that is not weighed decides
+                worded = min([worded, *found], key=lambda w: (w == "", w in WEIGHED_WORDS))
+            elif key == "role" and value.lower() == "form":
+                worded = worded or "form"
             elif (
                 (key == "role" and value.lower() in NOISE_ROLES)
                 or (key == "hidden" and not value.lower().startswith("until"))
                 or (key == "aria-hidden" and value.strip().lower() == "true")
                 or (key == "style" and _NOT_SHOWN.search(value))
             ):
-                return True, False
+                return True, ""
         return False, worded
 
 
-def _is_worded(name: str) -> bool:
-    """A class or id name with a noise word that no modifier stands before."""
+def _noise_word(name: str) -> str:
+    """The first noise word of a class or id name that no modifier stands before, else ''."""
     for w in _WORDS.findall(name):
         w = w.lower()
         if w in MODIFIERS:
-            return False
+            return ""
         if w in NOISE_WORDS:
-            return True
-    return False
+            return w
+    return ""
 
 
-def main_text(source: str | None) -> str:
-    if not source:
-        return ""
-    page = Page(source)
+def densities(page: Page, pieces: list[tuple[int, int, str]]) -> tuple[int, list[float], list[float], list[int]]:
+    """The body's node (0 without text in one), the density of every node, the sum of its children's, and the block that each
+    node belongs to; all empty for a page without text."""
     n = len(page.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    pieces = [(node, block, html.unescape(t)) for node, block, t in page.pieces if not page.noise[node]]
     for node, _, text in pieces:
         chars[node] += sum(map(len, text.split()))
     for k in range(n - 1, 0, -1):
@@ -175,7 +200,7 @@ def main_text(source: str | None) -> str:
     if not chars[body]:
         body = 0
     if not chars[body]:
-        return ""
+        return 0, [], [], []
     share = link_chars[body] / chars[body]
 
     def density(k: int) -> float:
@@ -192,6 +217,18 @@ def main_text(source: str | None) -> str:
         owner[k] = k if page.tag[k] in BLOCK else owner[page.parent[k]]
         if owner[k] == k:
             sums[owner[page.parent[k]]] += dense[k]
+    return body, dense, sums, owner
+
+
+def main_text(source: str | None) -> str:
+    if not source:
+        return ""
+    page = Page(source)
+    n = len(page.tag)
+    pieces = [(node, block, html.unescape(t)) for node, block, t in page.pieces if not page.noise[node]]
+    body, dense, sums, _ = densities(page, pieces)
+    if not dense:
+        return ""
     #: The node of the largest sum in each subtree: the deepest of equals.
     best = list(range(n))
     for k in range(n - 1, 0, -1):
