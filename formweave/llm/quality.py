@@ -1,7 +1,8 @@
 """Operator 5, quality rules, line first.
 
 Every line of a text is judged by rules of punctuation (symbols, exclamation runs, capitals), navigation (separators
-between short parts) and boilerplate (fixed phrases). Failing lines go; a document that loses more than MAX_LOSS per
+between short parts) and boilerplate (fixed phrases), each in proportion to the line's words, so that a long line of prose
+doesn't fail for one phrase. Failing lines go; a document that loses more than MAX_LOSS per
 cent of its word characters is rejected, as is one that fails the base rules (too few words, repeated word windows).
 
 All of it runs in one pass over bounded slices, in bytes: words are runs between ASCII white space.
@@ -27,6 +28,8 @@ MIN_WORDS = 50
 #: Per cent of words in repeated three-word windows, and of word characters lost with failing lines.
 MAX_REPEAT, MAX_LOSS = 50, 50
 SYMBOLS = b"#*$%&|<>"
+#: Words of a line for each boilerplate phrase, and for each run of exclamation marks, at most, for the line to fail.
+PHRASE_SPAN, SHOUT_SPAN = 15, 10
 _SPACES = b" \t\n\x0b\x0c\r"
 #: Fixed phrases of boilerplate lines, lower case.
 BOILERPLATE = (
@@ -60,9 +63,11 @@ def line_fails(line: bytes, n_words: int) -> bool:
     bars = line.count(b"|") + sum(line.count(b) for b in _PRETTY_BARS)
     if bars >= 3 and 4 * bars > n_words:
         return True
-    if line.count(b"!!") >= 3 or (n_words >= 3 and _count(line, _UPPER) > _count(line, _LOWER)):
+    shouts = line.count(b"!!")
+    if (shouts >= 3 and SHOUT_SPAN * shouts > n_words) or (n_words >= 3 and _count(line, _UPPER) > _count(line, _LOWER)):
         return True
-    return _BOILERPLATE.search(line.lower()) is not None
+    phrases = len(_BOILERPLATE.findall(line.lower()))
+    return phrases > 0 and PHRASE_SPAN * phrases >= n_words
 
 
 def _word_chars(text: bytes) -> int:
@@ -179,12 +184,12 @@ l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscrip
 m AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
              length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
              length(line) - length(regexp_replace(line, '[|\x{{203a}}\x{{bb}}\x{{2022}}]', '', 'g')) AS bars,
-             len(regexp_extract_all(line, '!!')) AS shouts,
+             len(regexp_extract_all(line, '!!')) AS shouts, len(regexp_extract_all(line, '(?i){_PHRASES}')) AS phrases,
              length(regexp_replace(line, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(line, '[^a-z]', '', 'g')) AS lower,
              length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars FROM l),
 f AS (SELECT doc_id, line, pos, n, chars,
-             (symbols >= 3 AND 4 * symbols > n) OR (bars >= 3 AND 4 * bars > n) OR shouts >= 3 OR (n >= 3 AND upper > lower)
-             OR regexp_matches(line, '(?i){_PHRASES}') AS bad FROM m WHERE n > 0),
+             (symbols >= 3 AND 4 * symbols > n) OR (bars >= 3 AND 4 * bars > n) OR (shouts >= 3 AND {SHOUT_SPAN} * shouts > n) OR (n >= 3 AND upper > lower)
+             OR (phrases > 0 AND {PHRASE_SPAN} * phrases >= n) AS bad FROM m WHERE n > 0),
 q AS (SELECT doc_id, sum(CASE WHEN bad THEN chars ELSE 0 END) AS lost, count(*) - count(DISTINCT line) AS dup FROM f GROUP BY doc_id)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
