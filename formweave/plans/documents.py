@@ -129,21 +129,21 @@ def s7(spark, sf):
     return table(spark, sf, "pages").where(F.octet_length("html") <= 4000).select("page_id")
 
 
-_TRUTH = Rows("truth", "form_id string,ord bigint,kind string,pattern string,expect string", [("f1", 1, "id", "name", "Ann"), ("f1", 2, "id_re", "^dob", "01/02/1990"), ("f1", 3, "tip_re", "city", None), ("f1", 4, "id", "absent", "x"), ("f2", 1, "id_re", "zip", "12345"), ("f2", 2, "id", "blank", None)])
-_FIELDS = Rows("fields", "form_id string,id string,tip string,value string", [("f1", "name", "", "ann"), ("f1", "dob1", "", "1990"), ("f1", "c", "city of birth", "Rome"), ("f2", "zip", "", None), ("f2", "blank", "", None), ("f2", "zip4", "", "12345")])
+_TRUTH = Rows("truth", "form_id string,ord bigint,kind string,pattern string,expect string", [("f1", 1, "id", "name", "Ann"), ("f1", 2, "id_re", "^dob", "01/02/1990"), ("f1", 3, "tip_re", "city", None), ("f1", 4, "id", "absent", "x"), ("f2", 1, "id_re", "zip", "12345"), ("f2", 2, "id", "blank", None)]).over(form_id="form_id || '-' || c_custkey")
+_FIELDS = Rows("fields", "form_id string,id string,tip string,value string", [("f1", "name", "", "ann"), ("f1", "dob1", "", "1990"), ("f1", "c", "city of birth", "Rome"), ("f2", "zip", "", None), ("f2", "blank", "", None), ("f2", "zip4", "", "12345")]).over(form_id="form_id || '-' || c_custkey", value="CASE WHEN c_custkey % 3 = 1 THEN value || ' ' || c_nationkey ELSE value END")
 _JOINED = f"WITH {_TRUTH.cte}, {_FIELDS.cte}, m AS (SELECT truth.form_id, ord, kind, pattern, expect, id, value FROM truth JOIN fields ON truth.form_id = fields.form_id AND CASE kind WHEN 'id' THEN id = pattern WHEN 'id_re' THEN regexp_matches(id, pattern) ELSE regexp_matches(tip, pattern) END)"
 
 
-def located(spark):
+def located(spark, sf):
     on = F.expr("CASE kind WHEN 'id' THEN id = pattern WHEN 'id_re' THEN rlike(id, pattern) ELSE rlike(tip, pattern) END")
-    f = _FIELDS.frame(spark)
-    t = _TRUTH.frame(spark)
+    f = _FIELDS.frame(spark, sf)
+    t = _TRUTH.frame(spark, sf)
     return t.join(f, (t.form_id == f.form_id) & on).select(t.form_id, "ord", "kind", "pattern", "expect", "id", "value")
 
 
 @query("j22_locators", f"{_JOINED} SELECT form_id, ord, id FROM m")
 def j22(spark, sf):
-    return located(spark).select("form_id", "ord", "id")
+    return located(spark, sf).select("form_id", "ord", "id")
 
 
 @query("a5_accuracy", f"""{_JOINED}, s AS (SELECT form_id, count(*) FILTER (WHERE expect IS NOT NULL AND lower(value) = lower(expect)) AS tp, count(*) FILTER (WHERE expect IS NOT NULL AND value IS NOT NULL AND lower(value) <> lower(expect)) AS wrong, count(*) FILTER (WHERE expect IS NOT NULL AND value IS NULL) AS miss, count(*) FILTER (WHERE expect IS NULL AND value IS NULL) AS kept, count(*) FILTER (WHERE expect IS NULL) AS blanks FROM m GROUP BY 1)
@@ -152,7 +152,7 @@ def a5(spark, sf):
     """True, wrong and missed fills, and blanks kept; a rate without a denominator is null."""
     want, got = F.col("expect").isNotNull(), F.col("value").isNotNull()
     same = F.coalesce(F.lower("value") == F.lower("expect"), F.lit(False))
-    s = located(spark).groupBy("form_id").agg(F.count_if(want & same).alias("tp"), F.count_if(want & got & ~same).alias("wrong"), F.count_if(want & ~got).alias("miss"), F.count_if(~want & ~got).alias("kept"), F.count_if(~want).alias("blanks"))
+    s = located(spark, sf).groupBy("form_id").agg(F.count_if(want & same).alias("tp"), F.count_if(want & got & ~same).alias("wrong"), F.count_if(want & ~got).alias("miss"), F.count_if(~want & ~got).alias("kept"), F.count_if(~want).alias("blanks"))
     rate = lambda a, b: F.round(F.try_divide(a, b), 6)
     return s.select("form_id", "tp", "wrong", "miss", rate(F.col("tp"), F.col("tp") + F.col("wrong")).alias("precision_"), rate(F.col("tp"), F.col("tp") + F.col("wrong") + F.col("miss")).alias("recall"), rate(F.col("kept"), F.col("blanks")).alias("blank_ok"))
 
@@ -165,7 +165,7 @@ def a5_labels(spark, sf):
 
 @query("a6_coverage", f"WITH {_FIELDS.cte} SELECT count(DISTINCT value) AS n FROM fields")
 def a6(spark, sf):
-    return _FIELDS.frame(spark).agg(F.countDistinct("value").alias("n"))
+    return _FIELDS.frame(spark, sf).agg(F.countDistinct("value").alias("n"))
 
 
 @query("a7_macro_average", "SELECT round(avg(x), 6) AS macro FROM (VALUES (0.5), (NULL), (1.0)) v(x)")

@@ -9,7 +9,7 @@ from formweave.functions.translit import to_script
 from formweave.plans.fixtures import Rows, table
 from formweave.plans.registry import query
 
-_TEXTS = Rows("texts", "id bigint,t string", [(1, "Please enter your first name and address"), (2, "Nombre y apellido, por favor ñ"), (3, "Votre nom et adresse à Paris"), (4, "Bitte geben Sie Ihre Adresse für die Straße"), (5, "पूरा नाम 123"), (6, "全名"), (7, "ひらがなと漢字"), (8, ""), (9, None), (10, "12345"), (11, "Имя и фамилия"), (12, "الاسم الكامل"), (13, "name имя")])
+_TEXTS = Rows("texts", "id bigint,t string", [(1, "Please enter your first name and address"), (2, "Nombre y apellido, por favor ñ"), (3, "Votre nom et adresse à Paris"), (4, "Bitte geben Sie Ihre Adresse für die Straße"), (5, "पूरा नाम 123"), (6, "全名"), (7, "ひらがなと漢字"), (8, ""), (9, None), (10, "12345"), (11, "Имя и фамилия"), (12, "الاسم الكامل"), (13, "name имя")]).over(id="c_custkey * 100 + id", t="CASE WHEN c_custkey % 2 = 1 THEN t || ' ' || c_mktsegment ELSE t END")
 _COUNTS = " UNION ALL ".join(f"SELECT id, {k} AS k, '{s}' AS script, '{lang}' AS lang, len(regexp_extract_all(coalesce(t, ''), '[\\x{{{a:04X}}}-\\x{{{b:04X}}}]')) AS n FROM src" for k, (s, a, b, lang) in enumerate(L.SCRIPTS))
 _BEST = f"c AS ({_COUNTS}), b AS (SELECT id, arg_max(script, n * 100 - k) AS script, arg_max(lang, n * 100 - k) AS lang, max(n) AS n FROM c GROUP BY id), l AS (SELECT id, greatest(len(regexp_extract_all(coalesce(t, ''), '\\p{{L}}')), 1) AS letters FROM src), s AS (SELECT id, script, lang, n / letters AS share FROM b JOIN l USING (id) WHERE n > 0 AND n / letters > {L.SCRIPT_SHARE})"
 _VOTE = "v AS (" + " UNION ALL ".join(
@@ -30,26 +30,26 @@ def f14(spark, sf):
 
 @query("a10_language_vote", f"WITH {_TEXTS.cte}, src AS (SELECT * FROM texts), {_DETECT}")
 def a10(spark, sf):
-    return _detect(_TEXTS.frame(spark))
+    return _detect(_TEXTS.frame(spark, sf))
 
 
 @query("a11_script_share", f"WITH {_TEXTS.cte}, src AS (SELECT * FROM texts), {_BEST} SELECT id, script, round(share, 6)::DOUBLE AS share FROM s")
 def a11(spark, sf):
-    return L.with_script(_TEXTS.frame(spark), "t").where("script IS NOT NULL").select("id", "script.script", F.round("script.share", 6).alias("share"))
+    return L.with_script(_TEXTS.frame(spark, sf), "t").where("script IS NOT NULL").select("id", "script.script", F.round("script.share", 6).alias("share"))
 
 
 @query("f18_font_choice", f"WITH {_TEXTS.cte} SELECT id, CASE WHEN regexp_matches(t, '[\\x{{3040}}-\\x{{30FF}}]') THEN 'cjk-jp' WHEN regexp_matches(t, '[\\x{{AC00}}-\\x{{D7AF}}]') THEN 'cjk-kr' WHEN regexp_matches(t, '\\p{{Han}}') THEN 'cjk-sc' WHEN regexp_matches(t, '\\p{{Devanagari}}') THEN 'devanagari' WHEN regexp_matches(t, '\\p{{Arabic}}') THEN 'arabic' WHEN regexp_matches(t, '[\\x{{0370}}-\\x{{04FF}}]') THEN 'cyrillic-greek' ELSE 'latin' END AS font FROM texts WHERE t IS NOT NULL")
 def f18(spark, sf):
-    return _TEXTS.frame(spark).where("t IS NOT NULL").select("id", L.font_of(F.col("t")).alias("font"))
+    return _TEXTS.frame(spark, sf).where("t IS NOT NULL").select("id", L.font_of(F.col("t")).alias("font"))
 
 
-_NAMES = Rows("names", "id bigint,v string", [(1, "Anna 12"), (2, "ivan"), (3, "Mary Smith"), (4, ""), (5, "a@b.c")])
+_NAMES = Rows("names", "id bigint,v string", [(1, "Anna 12"), (2, "ivan"), (3, "Mary Smith"), (4, ""), (5, "a@b.c")]).over(id="c_custkey * 100 + id", v="CASE WHEN c_custkey % 2 = 1 THEN lower(c_mktsegment) || ' ' || v ELSE v END")
 
 
 @query("f15_transliterate")
 def f15(spark, sf):
     """Greedy, longest key first, in Arrow batches; the scan keeps state, so no expression fits."""
-    df = _NAMES.frame(spark)
+    df = _NAMES.frame(spark, sf)
 
     def udf(lang):
         return F.pandas_udf(lambda s: s.map(lambda x: to_script(x, lang)), "string")
@@ -63,10 +63,10 @@ def f15_digits(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", L.local_digits(key, "hi").alias("hi"), L.local_digits(key, "ar").alias("ar"))
 
 
-_VALUES = Rows("vals", "id bigint,v string", [(1, "please call before delivery"), (2, "Anna"), (3, "   "), (4, None), (5, "12/03/2020"), (6, "leave at the door, thanks a lot")])
+_VALUES = Rows("vals", "id bigint,v string", [(1, "please call before delivery"), (2, "Anna"), (3, "   "), (4, None), (5, "12/03/2020"), (6, "leave at the door, thanks a lot")]).over(id="c_custkey * 100 + id")
 
 
-@query("f16_fill_in_language", f"WITH {_VALUES.cte} SELECT id, CASE WHEN trim(coalesce(v, '')) = '' THEN NULL WHEN id IN (1, 6) THEN '<es>' || v ELSE v END AS value FROM vals")
+@query("f16_fill_in_language", f"WITH {_VALUES.cte} SELECT id, CASE WHEN trim(coalesce(v, '')) = '' THEN NULL WHEN id % 100 IN (1, 6) THEN '<es>' || v ELSE v END AS value FROM vals")
 def f16(spark, sf):
     """Blank gives null, prose goes to the injected translator (a stand-in here), the rest to transliteration (none for es)."""
 
@@ -75,7 +75,7 @@ def f16(spark, sf):
         return "<es>" + s
 
     v = F.col("v")
-    return _VALUES.frame(spark).select("id", F.when(F.trim(F.coalesce(v, F.lit(""))) == "", None).when(P.translatable(v), translate(v)).otherwise(v).alias("value"))
+    return _VALUES.frame(spark, sf).select("id", F.when(F.trim(F.coalesce(v, F.lit(""))) == "", None).when(P.translatable(v), translate(v)).otherwise(v).alias("value"))
 
 
 @query("a16_distinct_lines", "WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, pos::INT AS pos, reverse(line) AS shown FROM l")

@@ -25,18 +25,18 @@ def j5(spark, sf):
     return rec.reconcile(side(spark, sf, 0), side(spark, sf, 1), ["user_id", "key"])
 
 
-_L = Rows("l", "key string,value string,updated_at bigint", [("a", "a", 900), ("b", "a", 5), ("c", "x", 9), ("d", "x", 5), ("e", "only", 1), ("g", "s", 4), ("h", "", 2)])
-_R = Rows("r", "key string,value string,updated_at bigint", [("a", "b", 500), ("b", "b", 5), ("c", "x", 5), ("d", "x", 9), ("f", "only", 1), ("g", "s", 4), ("h", "v", 1)])
+_L = Rows("l", "key string,value string,updated_at bigint", [("a", "a", 900), ("b", "a", 5), ("c", "x", 9), ("d", "x", 5), ("e", "only", 1), ("g", "s", 4), ("h", "", 2)]).over(key="key || c_custkey", updated_at="updated_at + c_custkey % 3")
+_R = Rows("r", "key string,value string,updated_at bigint", [("a", "b", 500), ("b", "b", 5), ("c", "x", 5), ("d", "x", 9), ("f", "only", 1), ("g", "s", 4), ("h", "v", 1)]).over(key="key || c_custkey")
 
 
 @query("j5_reconcile_ties", f"WITH {_L.cte}, {_R.cte} {_LWW.format(keys='key')}")
 def j5_ties(spark, sf):
-    return rec.reconcile(_L.frame(spark), _R.frame(spark), ["key"])
+    return rec.reconcile(_L.frame(spark, sf), _R.frame(spark, sf), ["key"])
 
 
 @query("j6_migration_plan", f"WITH {_L.cte}, {_R.cte} SELECT key, value, updated_at FROM l WHERE value <> '' AND key NOT IN (SELECT key FROM r WHERE value <> '')")
 def j6(spark, sf):
-    return rec.migration_plan(_L.frame(spark), _R.frame(spark), ["key"])
+    return rec.migration_plan(_L.frame(spark, sf), _R.frame(spark, sf), ["key"])
 
 
 @query("u2_key_union", f"WITH {_SIDE_SQL} SELECT user_id, key FROM l UNION SELECT user_id, key FROM r")
@@ -44,8 +44,8 @@ def u2(spark, sf):
     return side(spark, sf, 0).select("user_id", "key").union(side(spark, sf, 1).select("user_id", "key")).distinct()
 
 
-_PEOPLE = Rows("people", "id bigint,name string,dob string", [(1, "John  Doe", "1/15/1985"), (2, "john doe", None), (3, "JOHN-DOE", "02/20/1990"), (4, "Ann Lee", "1990-02-03"), (5, "Ann Lee", "2/3/1990"), (6, "", None), (7, "Zoe Q", "x")])
-_PROFILES = Rows("profiles", "id bigint,ord bigint,name string,dob string", [(10, 1, "John Doe", "02/20/1990"), (11, 2, "John Doe", "01/15/1985"), (12, 3, "Ann Lee", "02/03/1990"), (13, 4, "Zoe Q", "1/1/2000"), (14, 5, "", None)])
+_PEOPLE = Rows("people", "id bigint,name string,dob string", [(1, "John  Doe", "1/15/1985"), (2, "john doe", None), (3, "JOHN-DOE", "02/20/1990"), (4, "Ann Lee", "1990-02-03"), (5, "Ann Lee", "2/3/1990"), (6, "", None), (7, "Zoe Q", "x")]).over(id="c_custkey * 100 + id", name="name || ' ' || c_custkey")
+_PROFILES = Rows("profiles", "id bigint,ord bigint,name string,dob string", [(10, 1, "John Doe", "02/20/1990"), (11, 2, "John Doe", "01/15/1985"), (12, 3, "Ann Lee", "02/03/1990"), (13, 4, "Zoe Q", "1/1/2000"), (14, 5, "", None)]).over(id="c_custkey * 100 + id", name="name || ' ' || c_custkey")
 _NORM = """SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS n,
   CASE WHEN regexp_matches(dob, '^\\d{1,2}/\\d{1,2}/\\d{4}$') THEN lpad(split_part(dob, '/', 1), 2, '0') || lpad(split_part(dob, '/', 2), 2, '0') || split_part(dob, '/', 3)
        WHEN regexp_matches(dob, '^\\d{4}-\\d{1,2}-\\d{1,2}$') THEN lpad(split_part(dob, '-', 2), 2, '0') || lpad(split_part(dob, '-', 3), 2, '0') || split_part(dob, '-', 1) END AS d FROM """
@@ -53,12 +53,12 @@ _NORM = """SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) A
 
 @query("j16_match_identity", f"WITH {_PEOPLE.cte}, {_PROFILES.cte}, a AS ({_NORM} people), b AS ({_NORM} profiles) SELECT a.id AS person, arg_min(b.id, b.ord) AS profile FROM a JOIN b USING (n) WHERE n <> '' AND (a.d IS NULL OR b.d IS NULL OR a.d = b.d) GROUP BY a.id")
 def j16(spark, sf):
-    return rec.match_identity(_PEOPLE.frame(spark), _PROFILES.frame(spark))
+    return rec.match_identity(_PEOPLE.frame(spark, sf), _PROFILES.frame(spark, sf))
 
 
 @query("d2_birth_date_key", f"WITH {_PEOPLE.cte}, a AS ({_NORM} people) SELECT id, d AS dob_key FROM a")
 def d2(spark, sf):
-    return _PEOPLE.frame(spark).select("id", rec.normal_birth_date(F.col("dob")).alias("dob_key"))
+    return _PEOPLE.frame(spark, sf).select("id", rec.normal_birth_date(F.col("dob")).alias("dob_key"))
 
 
 @query("a12_choose_profile", "WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT c_nationkey AS nation, arg_max(c_custkey, n * 1000000 - c_custkey) AS profile FROM customer JOIN c ON c_custkey = o_custkey GROUP BY 1")
@@ -74,7 +74,7 @@ _BACKUP = Rows("backup", "idx bigint,id string,name string", [(0, "b0", "Custome
 @query("s16_backup_import", f"WITH {_BACKUP.cte}, k AS (SELECT lower(c_name) AS k, min(CAST(c_custkey AS VARCHAR)) AS known_id FROM customer GROUP BY 1) SELECT idx, name, coalesce(known_id, nullif(id, ''), 'import-' || idx || '-' || name) AS id, known_id IS NOT NULL AS merged FROM backup LEFT JOIN k ON lower(name) = k.k")
 def s16(spark, sf):
     existing = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
-    return rec.plan_import(_BACKUP.frame(spark), existing)
+    return rec.plan_import(_BACKUP.frame(spark, sf), existing)
 
 
 @query("u5_map_overlay", """WITH b AS (SELECT c_custkey, unnest(['name', 'segment', 'nation']) AS key, unnest([c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR)]) AS value FROM customer),
@@ -103,14 +103,14 @@ def j25(spark, sf):
     return docs.join(labelled, "id", "left_anti").withColumn("missing", F.lit("no label")).unionByName(items.join(docs, "id", "left_anti").withColumn("missing", F.lit("no document")))
 
 
-_TYPED = Rows("typed", "pos bigint,key string,value string", [(1, "city", "Rome"), (2, "city", "Oslo"), (3, "name", "Ann"), (4, "name", "Bea"), (5, "123_", "x"), (6, "photo", "data:image/png"), (7, "phone", "  "), (8, "phone", " 555 "), (9, "", "y")])
-_VAULT = Rows("vault", "key string,value string", [("name", "Ann"), ("city", "Paris"), ("zip", "1")])
+_TYPED = Rows("typed", "pos bigint,key string,value string", [(1, "city", "Rome"), (2, "city", "Oslo"), (3, "name", "Ann"), (4, "name", "Bea"), (5, "123_", "x"), (6, "photo", "data:image/png"), (7, "phone", "  "), (8, "phone", " 555 "), (9, "", "y")]).over(key="key || c_custkey", pos="c_custkey * 100 + pos")
+_VAULT = Rows("vault", "key string,value string", [("name", "Ann"), ("city", "Paris"), ("zip", "1")]).over(key="key || c_custkey")
 
 
 @query("p10_new_information", f"""WITH {_TYPED.cte}, {_VAULT.cte}, c AS (SELECT pos, key, trim(typed.value) AS value, vault.value AS prior, row_number() OVER (PARTITION BY key ORDER BY pos) AS k FROM typed LEFT JOIN vault USING (key)
  WHERE trim(typed.value) <> '' AND typed.value NOT LIKE 'data:%' AND key <> '' AND NOT regexp_matches(key, '^[0-9_]+$') AND trim(typed.value) IS DISTINCT FROM vault.value) SELECT pos, key, value, prior FROM c WHERE k = 1""")
 def p10(spark, sf):
-    return rec.new_information(_TYPED.frame(spark), _VAULT.frame(spark))
+    return rec.new_information(_TYPED.frame(spark, sf), _VAULT.frame(spark, sf))
 
 
 @query("c1_sha256", "SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -126,7 +126,7 @@ def n1(spark, sf):
     return rows.select("c_custkey", "json", F.from_json("json", "map<string,string>")["segment"].alias("segment"))
 
 
-_RECORDS = Rows("records", "owner bigint,id bigint,label string,main boolean", [(1, 1, "visa", False), (1, 2, "Amex", True), (1, 3, "amex", False), (1, 4, "Bank", False), (1, 5, "älpha", False), (2, 6, "Zürich", False), (2, 7, "zurich", True), (2, 8, "Élan", False), (2, 9, "east", False), (2, 10, "elan vital", False)])
+_RECORDS = Rows("records", "owner bigint,id bigint,label string,main boolean", [(1, 1, "visa", False), (1, 2, "Amex", True), (1, 3, "amex", False), (1, 4, "Bank", False), (1, 5, "älpha", False), (2, 6, "Zürich", False), (2, 7, "zurich", True), (2, 8, "Élan", False), (2, 9, "east", False), (2, 10, "elan vital", False)]).over(owner="c_custkey * 100 + owner", id="c_custkey * 100 + id")
 
 
 @query("o3_records_order", f"WITH {_RECORDS.cte} SELECT id, row_number() OVER (PARTITION BY owner ORDER BY main DESC, lower(strip_accents(label)), lower(label), id) AS place FROM records")
@@ -135,4 +135,4 @@ def o3(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("owner").orderBy(F.desc("main"), F.collate("label", "UNICODE_CI"), "id")
-    return _RECORDS.frame(spark).select("id", F.row_number().over(w).cast("long").alias("place"))
+    return _RECORDS.frame(spark, sf).select("id", F.row_number().over(w).cast("long").alias("place"))

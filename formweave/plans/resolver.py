@@ -171,4 +171,4 @@ FROM values_
 @query("e2_resolve_forms", _SQL)
 def resolve_forms(spark, sf):
     """Every line of every order as a field, resolved from its customer's stored values in the dealt order of ways."""
-    return R.resolve_forms(fields(spark, sf), vault(spark, sf), PHRASES.frame(spark), F.lit(_TODAY).cast("date"), education=education(spark, sf), kinds=KINDS.frame(spark))
+    return R.resolve_forms(fields(spark, sf), vault(spark, sf), PHRASES.frame(spark, sf), F.lit(_TODAY).cast("date"), education=education(spark, sf), kinds=KINDS.frame(spark, sf))

@@ -9,27 +9,27 @@ from formweave.plans.registry import query
 from formweave.streaming import events as S
 from formweave.streaming import machines as M
 
-_PARTIES = Rows("parties", "txn_id string,party string", [("t1", "a"), ("t1", "b"), ("t2", "a"), ("t3", "a"), ("t3", "b"), ("t4", "a")])
+_PARTIES = Rows("parties", "txn_id string,party string", [("t1", "a"), ("t1", "b"), ("t2", "a"), ("t3", "a"), ("t3", "b"), ("t4", "a")]).over(txn_id="txn_id || '-' || c_custkey")
 _EVENTS = Rows(
     "ev", "txn_id string,seq bigint,action string,party string",
     [("t1", 1, "start", None), ("t1", 2, "consent", "a"), ("t1", 3, "assemble", None), ("t1", 4, "consent", "b"), ("t1", 5, "assemble", None), ("t1", 6, "circulate", None), ("t1", 7, "sign", "a"),
      ("t2", 1, "start", None), ("t2", 2, "consent", "a"), ("t2", 3, "assemble", None), ("t2", 4, "circulate", None), ("t2", 5, "sign", "a"), ("t2", 6, "withdraw", None),
      ("t3", 1, "start", None), ("t3", 2, "consent", "a"), ("t3", 3, "consent", "b"), ("t3", 4, "assemble", None), ("t3", 5, "circulate", None), ("t3", 6, "sign", "a"), ("t3", 7, "request_changes", None), ("t4", 1, "withdraw", None), ("t4", 2, "start", None)],
-)
-_STATES_SQL = "SELECT * FROM (VALUES ('t1', 'PartiallySigned', 1::BIGINT, 1::BIGINT), ('t2', 'FullyExecuted', 1, 1), ('t3', 'ChangesRequested', 0, 0), ('t4', 'Withdrawn', 0, 1)) v(txn_id, state, n_signed, n_errors)"
+).over(txn_id="txn_id || '-' || c_custkey")
+_STATES_SQL = "SELECT txn_id || '-' || c_custkey AS txn_id, state, n_signed, n_errors FROM customer CROSS JOIN (VALUES ('t1', 'PartiallySigned', 1::BIGINT, 1::BIGINT), ('t2', 'FullyExecuted', 1, 1), ('t3', 'ChangesRequested', 0, 0), ('t4', 'Withdrawn', 0, 1)) v(txn_id, state, n_signed, n_errors)"
 
 
 @query("st1_transactions", _STATES_SQL)
 def st1(spark, sf):
-    return M.fold_transactions(_EVENTS.frame(spark), _PARTIES.frame(spark))
+    return M.fold_transactions(_EVENTS.frame(spark, sf), _PARTIES.frame(spark, sf))
 
 
-_HOOKS = Rows("hooks", "seq bigint,event_id string,event_name string", [(1, "e1", "order_created"), (2, "e1", "order_created"), (3, "e2", "ping"), (4, "e2", "order_refunded"), (5, "", "order_created"), (6, "", "order_created"), (7, "e2", "order_refunded"), (8, None, "order_created")])
+_HOOKS = Rows("hooks", "seq bigint,event_id string,event_name string", [(1, "e1", "order_created"), (2, "e1", "order_created"), (3, "e2", "ping"), (4, "e2", "order_refunded"), (5, "", "order_created"), (6, "", "order_created"), (7, "e2", "order_refunded"), (8, None, "order_created")]).over(seq="c_custkey * 100 + seq", event_id="CASE WHEN event_id = '' THEN '' ELSE event_id || '-' || c_custkey END")
 
 
 @query("st2_consume_once", f"WITH {_HOOKS.cte}, k AS (SELECT *, CASE WHEN event_name IN ('order_created', 'subscription_created') THEN 'issue' WHEN event_name IN ('order_refunded', 'subscription_expired') THEN 'revoke' ELSE 'ignore' END AS kind FROM hooks) SELECT seq, event_id, CASE WHEN kind <> 'ignore' AND coalesce(event_id, '') <> '' AND EXISTS (SELECT 1 FROM k o WHERE o.event_id = k.event_id AND o.seq < k.seq AND o.kind <> 'ignore') THEN 'duplicate' ELSE kind END AS outcome FROM k")
 def st2(spark, sf):
-    return M.consume_once(_HOOKS.frame(spark))
+    return M.consume_once(_HOOKS.frame(spark, sf))
 
 
 @query("st3_heartbeat", "WITH l AS (SELECT user_id, max(date_diff('second', TIMESTAMP '1970-01-01', ts)) AS t FROM events GROUP BY 1), n AS (SELECT max(t) AS now FROM l) SELECT user_id, now - t <= 3600 AS fresh FROM l CROSS JOIN n")
@@ -45,12 +45,12 @@ _STEPS = Rows(
     "steps", "run_id string,step bigint,filled bigint,saved bigint,auth boolean,n_required_empty bigint,submit boolean,advance boolean,moved boolean",
     [("a", 1, 3, 1, False, 0, False, True, True), ("a", 2, 2, 0, False, 1, True, False, True), ("a", 3, 9, 9, False, 0, False, True, True), ("b", 1, 1, 1, True, 2, True, True, True), ("c", 1, 1, 0, False, 0, False, True, True), ("c", 2, 1, 0, False, 0, True, False, True),
      ("d", 1, 4, 0, False, 0, False, False, True), ("e", 1, 4, 0, False, 0, False, True, False), ("f", 1, 5, 5, False, 0, False, True, True)],
-)
+).over(run_id="run_id || '-' || c_custkey", filled="filled + c_nationkey")
 
 
-@query("st4_step_loop", "SELECT * FROM (VALUES ('a', 'needs-you', 2::BIGINT, 5::BIGINT, 1::BIGINT), ('b', 'sign-in', 1, 1, 1), ('c', 'at-submit', 2, 2, 0), ('d', 'no-next', 1, 4, 0), ('e', 'stuck', 1, 4, 0), ('f', 'max-steps', 1, 5, 5)) v(run_id, stop, step, filled, saved)")
+@query("st4_step_loop", "SELECT run_id || '-' || c_custkey AS run_id, stop, step, filled + step * c_nationkey AS filled, saved FROM customer CROSS JOIN (VALUES ('a', 'needs-you', 2::BIGINT, 5::BIGINT, 1::BIGINT), ('b', 'sign-in', 1, 1, 1), ('c', 'at-submit', 2, 2, 0), ('d', 'no-next', 1, 4, 0), ('e', 'stuck', 1, 4, 0), ('f', 'max-steps', 1, 5, 5)) v(run_id, stop, step, filled, saved)")
 def st4(spark, sf):
-    return M.stop_reasons(_STEPS.frame(spark))
+    return M.stop_reasons(_STEPS.frame(spark, sf))
 
 
 @query("st5_stream_counters", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -66,12 +66,12 @@ def st5_windows(spark, sf):
     return out.groupBy(F.to_date(F.col("w.start")).alias("day"), "event_type").agg(F.max("n").alias("n"))
 
 
-_TXN = Rows("txn", "txn_id string,party string,consented boolean,signed boolean", [("t1", "a", True, True), ("t1", "b", True, False), ("t2", "a", True, True), ("t3", "a", False, False)])
+_TXN = Rows("txn", "txn_id string,party string,consented boolean,signed boolean", [("t1", "a", True, True), ("t1", "b", True, False), ("t2", "a", True, True), ("t3", "a", False, False)]).over(txn_id="txn_id || '-' || c_custkey", signed="CASE WHEN c_custkey % 2 = 1 THEN NOT signed ELSE signed END")
 
 
 @query("a4_all_parties", f"WITH {_TXN.cte} SELECT txn_id, bool_and(consented) AS all_consented, bool_and(signed) AS all_signed FROM txn GROUP BY 1")
 def a4(spark, sf):
-    return _TXN.frame(spark).groupBy("txn_id").agg(F.bool_and("consented").alias("all_consented"), F.bool_and("signed").alias("all_signed"))
+    return _TXN.frame(spark, sf).groupBy("txn_id").agg(F.bool_and("consented").alias("all_consented"), F.bool_and("signed").alias("all_signed"))
 
 
 @query("a21_counter", "SELECT event_type, count(*) + 100 AS n FROM events GROUP BY 1")
