@@ -5,7 +5,7 @@ into tiers by impact, from a histogram of its impacts: the levels of highest imp
 that hold TIERS[1] next, then the rest. For each term and tier the highest impact below it is kept, the residual bound. The index is
 written by tier, so that lower tiers are read only for items that need them.
 
-An item reads the first tier of its terms. The ten best texts so far are scored in full, and the tenth gives a threshold.
+An item reads the first tier of its terms. The best texts so far are scored in full, and the tenth gives a threshold.
 No text that was not met can score more than the sum of the residual bounds; where that is below the threshold, the item's
 result is proven. The other items fall through: of their terms, those whose bounds add up to less than the threshold can't
 bring in a text on their own and are read no further; the others are read one tier deeper. At the last tier nothing is
@@ -41,6 +41,8 @@ TIERS = (64, 4096)
 #: Width of a level of the histogram of impacts, which go up to 1,000,000.
 LEVEL = 1024
 TOP = 10
+#: Texts of the best sums so far that are scored in full for a threshold; more give a higher one, and so fewer postings to read.
+AHEAD = 50
 BROADCAST_ROWS = 1_000_000
 
 
@@ -103,14 +105,17 @@ def build_index(df: DataFrame, id_col: str, text_col: str, terms: DataFrame) ->
     for t in range(1, len(TIERS) + 1):
         tier = tier + (level < F.col(f"start{t}")).cast("int")
     postings = written(dealt.select("tid", "key", (F.col("u") * F.col("w")).alias("v"), tier.alias("tier")), "postings", "tier")
+    for done in (counts, weights, levels, dictionary):
+        forget(done)
     members = docs.where("id IS NOT NULL").select(F.xxhash64("text").alias("key"), "id", F.monotonically_increasing_id().alias("n"))
     return TieredIndex(postings, numbered.join(known, "tid").drop(*(f"start{t}" for t in range(1, len(TIERS) + 1))), members)
 
 
 def _scored(pairs: DataFrame, wanted: DataFrame, postings: DataFrame) -> DataFrame:
-    """(item, key, score) of `pairs` (item, key): the whole sum over the item's terms, from all tiers."""
-    looked = pairs.select("item", "key").join(small(wanted.select("item", "tid")), "item")
-    return looked.join(postings.select("tid", "key", "v"), ["key", "tid"]).groupBy("item", "key").agg(F.sum("v").alias("score"))
+    """(item, key, score) of `pairs` (item, key): the whole sum over the item's terms, from all tiers. Pairs meet the postings of
+    their text, so that no row for each of an item's terms is shuffled."""
+    held = pairs.select("item", "key").join(postings.select("tid", "key", "v"), "key")
+    return held.join(small(wanted.select("item", "tid")), ["item", "tid"]).groupBy("item", "key").agg(F.sum("v").alias("score"))
 
 
 def _first(df: DataFrame, by: str, n: int, order: list[Column]) -> DataFrame:
@@ -118,21 +123,23 @@ def _first(df: DataFrame, by: str, n: int, order: list[Column]) -> DataFrame:
 
 
 def _best(index: TieredIndex, wanted: DataFrame) -> DataFrame:
-    """(item, key, score) of texts, among which are the ten of the highest scores of each item with all that equal the
-    tenth; `wanted` is (item, tid, bound1 ...)."""
+    """(item, key, score) of each item's ten texts of the highest scores above 0, and all that equal the tenth, as a written
+    table; `wanted` is (item, tid, bound1 ...)."""
     last = len(TIERS) + 1
     # `bound`: the most that a posting not read yet brings; `reads`: whether the next tier is read
     now = written(wanted.withColumns({"bound": F.col("bound1"), "reads": F.lit(True)}), "state")
-    read, threshold = None, None
+    read, threshold, made = None, None, [now]
     for t in range(1, last + 1):
         tier = index.postings.where(F.col("tier") == t).select("tid", "key", "v")
         more = now.where("reads").select("item", "tid").join(tier, "tid")
         more = written(more.select("item", "tid", "key", "v"), f"read{t}")
+        made.append(more)
         read = more if read is None else read.unionByName(more)
         open_items = now.where("reads").select("item").distinct()
         met = read.join(small(written(open_items, "open")), "item").groupBy("item", "key").agg(F.sum("v").alias("met"))
-        ahead = _first(met, "item", TOP, [F.desc("met"), F.col("key")])
-        tenth = _scored(ahead, wanted, index.postings).groupBy("item").agg(F.when(F.count(F.lit(1)) >= TOP, F.min("score")).otherwise(0).alias("t"))
+        ahead = _first(met, "item", AHEAD, [F.desc("met"), F.col("key")])
+        tenth = _first(_scored(ahead, wanted, index.postings), "item", TOP, [F.desc("score"), F.col("key")])
+        tenth = tenth.groupBy("item").agg(F.when(F.count(F.lit(1)) >= TOP, F.min("score")).otherwise(0).alias("t"))
         if threshold is not None:
             tenth = threshold.unionByName(tenth).groupBy("item").agg(F.max("t").alias("t"))
         threshold = written(tenth, "threshold")
@@ -151,16 +158,20 @@ def _best(index: TieredIndex, wanted: DataFrame) -> DataFrame:
     limits = written(threshold.join(total, "item"), "limits")
     seen = read.join(small(written(bounds, "bounds")), ["item", "tid"]).groupBy("item", "key").agg(F.sum(F.col("v") - F.col("bound")).alias("over"))
     reach = seen.join(small(limits), "item").where(F.col("over") + F.col("all") >= F.col("t")).select("item", "key")
-    return _scored(written(reach, "reach"), wanted, index.postings)
+    made.append(written(reach, "reach"))
+    best = _scored(made[-1], wanted, index.postings).where("score > 0")
+    # ten texts of the highest scores, and those that equal the tenth, whose ids may be less
+    by = Window.partitionBy("item").orderBy(F.desc("score"))
+    best = written(best.withColumn("place", F.rank().over(by)).where(F.col("place") <= TOP).drop("place"), "best")
+    for table_ in made:
+        forget(table_)
+    return best
 
 
 def search(index: TieredIndex, items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """(item, rank, id, score): each item's ten documents of the highest scores above 0, equal ones by id."""
     wanted = item_terms(items, item_col, text_col).join(index.terms, "term").drop("term")
-    best = _best(index, written(wanted, "wanted")).where("score > 0")
-    # ten texts of the highest scores, and those that equal the tenth, whose ids may be less
-    by = Window.partitionBy("item").orderBy(F.desc("score"))
-    best = written(best.withColumn("place", F.rank().over(by)).where(F.col("place") <= TOP).drop("place"), "best")
+    best = _best(index, written(wanted, "wanted"))
     members = _first(index.members.join(best.select("key").distinct(), "key", "left_semi"), "key", TOP, [F.col("id"), F.col("n")])
     found = best.join(members.drop("place"), "key")
     found = _first(found, "item", TOP, [F.desc("score"), F.col("id"), F.col("n")])
