@@ -2,19 +2,24 @@
 
 import io
 import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from formweave.plans.fixtures import Rows, table
 from formweave.plans.registry import query
+from formweave.sources import forms as H
 from formweave.sources import office as O
+from formweave.sources.messages import FramedSource, framed_messages
+from formweave.sources.shared import new_folder
 
 
-def _zip(**parts: str) -> bytes:
+def _zip(parts: dict[str, str]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for name, text in parts.items():
-            z.writestr(name.replace("__", "/").replace("_DOT_", "."), text)
+            z.writestr(name, text)
     return out.getvalue()
 
 
@@ -22,85 +27,146 @@ _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
 
-def sample_docx() -> bytes:
-    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
-    rows = "".join(f"<w:tr>{''.join(map(cell, r))}</w:tr>" for r in (("Name", ""), ("City", "Rome"), ("Zip", "", "Phone", "")))
-    return _zip(word__document_DOT_xml=f"<w:document {_W}><w:body><w:p><w:r><w:t>Title</w:t></w:r></w:p><w:tbl>{rows}</w:tbl></w:body></w:document>")
+def make_docx(title: str, rows: list[list[str]]) -> bytes:
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{escape(t)}</w:t></w:r></w:p></w:tc>"
+    body = "".join(f"<w:tr>{''.join(map(cell, r))}</w:tr>" for r in rows)
+    return _zip({"word/document.xml": f"<w:document {_W}><w:body><w:p><w:r><w:t>{escape(title)}</w:t></w:r></w:p><w:tbl>{body}</w:tbl></w:body></w:document>"})
 
 
-def sample_xlsx() -> bytes:
-    sheet = f'<worksheet {_S}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="A2" t="inlineStr"><is><t>City</t></is></c><c r="B2"><v>7</v></c></row></sheetData></worksheet>'
+def make_xlsx(sheet: str, shared: list[str], cells: list[tuple[str, str, str]]) -> bytes:
+    """Cells (place, kind, value): s of shared strings by number, i inline, n a number; the sheet's part has a name of its own."""
+    kinds = {"s": lambda r, v: f'<c r="{r}" t="s"><v>{v}</v></c>', "i": lambda r, v: f'<c r="{r}" t="inlineStr"><is><t>{escape(v)}</t></is></c>', "n": lambda r, v: f'<c r="{r}"><v>{v}</v></c>'}
+    body = "".join(kinds[k](r, v) for r, k, v in cells)
     return _zip(
-        xl__workbook_DOT_xml=f'<workbook {_S}><sheets><sheet name="Form" sheetId="1" r:id="r9"/></sheets></workbook>',
-        xl___rels__workbook_DOT_xml_DOT_rels='<Relationships><Relationship Id="r9" Target="worksheets/s.xml"/></Relationships>',
-        xl__sharedStrings_DOT_xml=f"<sst {_S}><si><t>Name</t></si></sst>",
-        xl__worksheets__s_DOT_xml=sheet,
+        {
+            "xl/workbook.xml": f'<workbook {_S}><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="r9"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="styles.xml"/><Relationship Id="r9" Target="worksheets/s7.xml"/></Relationships>',
+            "xl/sharedStrings.xml": f"<sst {_S}>{''.join(f'<si><t>{escape(t)}</t></si>' for t in shared)}</sst>",
+            "xl/worksheets/s7.xml": f"<worksheet {_S}><sheetData><row>{body}</row></sheetData></worksheet>",
+        }
     )
 
 
-def docx_cells(spark):
-    files = spark.createDataFrame([("a.docx", bytearray(sample_docx()))], "doc string, content binary")
-    return O.explode_with(files, "doc", "content", O.docx_cells, "tbl int, row int, col int, text string")
+def _packed(df, make):
+    """(path, content) as the binaryFile source gives them: a file for each row, made in tasks."""
 
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([make(r) for r in b.itertuples(index=False)], columns=["path", "content"])
 
-def xlsx_cells(spark):
-    files = spark.createDataFrame([("b.xlsx", bytearray(sample_xlsx()))], "book string, content binary")
-    return O.explode_with(files, "book", "content", O.xlsx_cells, "sheet string, row int, col int, text string")
+    return df.mapInPandas(run, "path string, content binary")
 
 
-@query("s10_docx_cells", "SELECT 'a.docx' AS doc, * FROM (VALUES (-1, 0, 0, 'Title'), (0, 0, 0, 'Name'), (0, 0, 1, ''), (0, 1, 0, 'City'), (0, 1, 1, 'Rome'), (0, 2, 0, 'Zip'), (0, 2, 1, ''), (0, 2, 2, 'Phone'), (0, 2, 3, '')) v(tbl, row, col, text)")
+def books(spark, sf):
+    """A spreadsheet for each part: labels with a value right of them, or without one."""
+
+    def make(p):
+        cells = [("A1", "s", "0"), ("B1", "s", "1"), ("A2", "i", "Size"), ("A3", "s", "2"), ("AA3", "n", str(p.p_partkey))]
+        return f"{p.p_partkey}.xlsx", make_xlsx(p.p_brand, ["Name", p.p_name, p.p_type], cells + ([("B2", "n", str(p.p_size))] if p.p_size % 2 else []))
+
+    return _packed(table(spark, sf, "part"), make)
+
+
+def letters(spark, sf):
+    """A text document for each customer: a title and a table with empty cells to fill."""
+
+    def make(c):
+        return f"{c.c_custkey}.docx", make_docx(c.c_name, [["Name", ""], ["Segment", c.c_mktsegment], ["Zip", "", "Phone", "" if c.c_nationkey % 2 else "555"]])
+
+    return _packed(table(spark, sf, "customer"), make)
+
+
+_LETTERS_SQL = """w AS (SELECT c_custkey || '.docx' AS doc, unnest([{'tbl': -1, 'row': 0, 'col': 0, 'text': c_name}, {'tbl': 0, 'row': 0, 'col': 0, 'text': 'Name'}, {'tbl': 0, 'row': 0, 'col': 1, 'text': ''},
+{'tbl': 0, 'row': 1, 'col': 0, 'text': 'Segment'}, {'tbl': 0, 'row': 1, 'col': 1, 'text': c_mktsegment}, {'tbl': 0, 'row': 2, 'col': 0, 'text': 'Zip'}, {'tbl': 0, 'row': 2, 'col': 1, 'text': ''}, {'tbl': 0, 'row': 2, 'col': 2, 'text': 'Phone'},
+{'tbl': 0, 'row': 2, 'col': 3, 'text': CASE WHEN c_nationkey % 2 = 0 THEN '555' ELSE '' END}], recursive := true) FROM customer)"""
+_BOOKS_SQL = """x AS (SELECT p_partkey || '.xlsx' AS doc, p_brand AS sheet, unnest([{'row': 1, 'col': 0, 'text': 'Name'}, {'row': 1, 'col': 1, 'text': p_name}, {'row': 2, 'col': 0, 'text': 'Size'}, {'row': 2, 'col': 1, 'text': CASE WHEN p_size % 2 = 1 THEN p_size::VARCHAR END},
+{'row': 3, 'col': 0, 'text': p_type}, {'row': 3, 'col': 26, 'text': p_partkey::VARCHAR}], recursive := true) FROM part), y AS (SELECT * FROM x WHERE text <> '')"""
+
+
+@query("s10_docx_cells", f"WITH {_LETTERS_SQL} SELECT doc, tbl, \"row\", col, text FROM w")
 def s10(spark, sf):
-    return docx_cells(spark)
+    return O.document_cells(letters(spark, sf))
 
 
-@query("j24_docx_next_empty", "SELECT 'a.docx' AS doc, * FROM (VALUES (0, 0, 'Name', 1), (0, 2, 'Zip', 1), (0, 2, 'Phone', 3)) v(tbl, row, label, col)")
+@query("j24_docx_next_empty", f"WITH {_LETTERS_SQL}, n AS (SELECT *, lead(text) OVER r AS nt, lead(col) OVER r AS nc FROM w WINDOW r AS (PARTITION BY doc, tbl, \"row\" ORDER BY col)) SELECT doc, tbl, \"row\", text AS label, nc AS col FROM n WHERE trim(text) <> '' AND nt = ''")
 def j24(spark, sf):
-    return O.next_empty_cell(docx_cells(spark))
+    return O.next_empty_cell(O.document_cells(letters(spark, sf)))
 
 
-@query("s11_xlsx_cells", "SELECT 'b.xlsx' AS book, 'Form' AS sheet, * FROM (VALUES (1, 0, 'Name'), (2, 0, 'City'), (2, 1, '7')) v(row, col, text)")
+@query("s11_xlsx_cells", f"WITH {_BOOKS_SQL} SELECT doc, sheet, \"row\", col, text FROM y")
 def s11(spark, sf):
-    return xlsx_cells(spark)
+    return O.workbook_cells(books(spark, sf))
 
 
-@query("j23_xlsx_neighbour", "SELECT 'b.xlsx' AS book, 'Form' AS sheet, * FROM (VALUES ('name', 1, 1), ('city', 3, 0)) v(label, row, col)")
+@query("j23_xlsx_neighbour", f"WITH {_BOOKS_SQL} SELECT a.doc, a.sheet, lower(a.text) AS label, CASE WHEN b.doc IS NULL THEN a.\"row\" ELSE a.\"row\" + 1 END AS \"row\", CASE WHEN b.doc IS NULL THEN a.col + 1 ELSE a.col END AS col FROM y a LEFT JOIN y b ON b.doc = a.doc AND b.\"row\" = a.\"row\" AND b.col = a.col + 1 WHERE lower(a.text) IN ('name', 'size')")
 def j23(spark, sf):
-    labels = spark.createDataFrame([("name",), ("city",)], "label string")
-    return O.neighbour_cell(xlsx_cells(spark), labels)
+    """Where the values of two labels go, in every book."""
+    labels = spark.createDataFrame([("name",), ("size",)], "label string")
+    return O.neighbour_cell(O.workbook_cells(books(spark, sf)), labels)
+
+
+#: A form for each customer: captions for and around controls, named elements, lists, sets, a chooser, and a search box of the page.
+_FORM = (
+    "'<nav><input aria-label=\"Search\" value=\"shoes\"></nav><form><label for=\"a\">First name *</label><input id=\"a\" name=\"fn\" value=\"' || c_name || '\"><label>City <input name=\"city\"></label>'",
+    "'<input type=\"hidden\" name=\"x\" value=\"1\"><b id=\"q1\">Current <i>employer</i></b><input required aria-labelledby=\"q1\" id=\"input-24\" value=\"' || CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END || '\">'",
+    "'<input type=\"email\" placeholder=\"E-mail\" aria-required=\"true\"><select aria-label=\"Country\"><option value=\"\">Select...<option value=\"N' || c_nationkey || '\"' || CASE WHEN c_nationkey % 2 = 0 THEN ' selected' ELSE '' END || '>Nation</select>'",
+    "'<fieldset><legend>Are you over 18?</legend><label><input type=radio name=age value=1' || CASE WHEN c_custkey % 3 = 0 THEN ' checked' ELSE '' END || '> Yes</label><label><input type=radio name=age value=0' || CASE WHEN c_custkey % 3 = 1 THEN ' checked' ELSE '' END || '> No</label></fieldset>'",
+    "'<div role=\"group\" aria-label=\"Languages\"><label><input type=checkbox name=\"lang[]\" checked>English</label><label><input type=checkbox name=\"lang[]\"' || CASE WHEN c_custkey % 2 = 0 THEN ' checked' ELSE '' END || '>German</label></div>'",
+    "'<label for=\"t\">Phone</label><input type=\"tel\" id=\"t\" value=\"+9' || (c_nationkey % 10) || '\"><b id=\"st\">State</b><div role=\"combobox\" aria-labelledby=\"st\"><span class=\"x-single-value\">Goa</span><input></div><input type=\"password\" name=\"pw\" value=\"secret\"></form>'",
+)
+
+
+def form_pages(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.expr(" || ".join(_FORM)).alias("html"))
 
 
-_HTML = '<form><label for="a">First name</label><input id="a" name="fn" value="Ann" required><label>City <input name="city"></label><input type="hidden" name="x" value="1"><input type="email" placeholder="E-mail" name="em" value="a@b.c"><select name="c" aria-label="Country"></select></form>'
+_ROWS = """SELECT c_custkey, unnest([{'pos': 0, 'kind': 'text', 'label': 'Search', 'question': '', 'value': 'shoes', 'chosen': true, 'required': false, 'chrome': true}, {'pos': 1, 'kind': 'text', 'label': 'First name *', 'question': '', 'value': c_name, 'chosen': true, 'required': true, 'chrome': false},
+{'pos': 2, 'kind': 'text', 'label': 'City', 'question': '', 'value': '', 'chosen': false, 'required': false, 'chrome': false}, {'pos': 3, 'kind': 'text', 'label': 'Current employer', 'question': '', 'value': CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END, 'chosen': c_custkey % 2 = 0, 'required': true, 'chrome': false},
+{'pos': 4, 'kind': 'email', 'label': 'E-mail', 'question': '', 'value': '', 'chosen': false, 'required': true, 'chrome': false}, {'pos': 5, 'kind': 'select', 'label': 'Country', 'question': '', 'value': CASE WHEN c_nationkey % 2 = 0 THEN 'N' || c_nationkey ELSE '' END, 'chosen': c_nationkey % 2 = 0, 'required': false, 'chrome': false},
+{'pos': 6, 'kind': 'radio', 'label': 'Yes', 'question': 'Are you over 18?', 'value': 'Yes', 'chosen': c_custkey % 3 = 0, 'required': false, 'chrome': false}, {'pos': 7, 'kind': 'radio', 'label': 'No', 'question': 'Are you over 18?', 'value': 'No', 'chosen': c_custkey % 3 = 1, 'required': false, 'chrome': false},
+{'pos': 8, 'kind': 'checkbox', 'label': 'English', 'question': 'Languages', 'value': 'English', 'chosen': true, 'required': false, 'chrome': false}, {'pos': 9, 'kind': 'checkbox', 'label': 'German', 'question': 'Languages', 'value': 'German', 'chosen': c_custkey % 2 = 0, 'required': false, 'chrome': false},
+{'pos': 10, 'kind': 'tel', 'label': 'Phone', 'question': '', 'value': '+9' || (c_nationkey % 10), 'chosen': false, 'required': false, 'chrome': false}, {'pos': 11, 'kind': 'chooser', 'label': 'State', 'question': '', 'value': 'Goa', 'chosen': true, 'required': false, 'chrome': false},
+{'pos': 12, 'kind': 'password', 'label': 'pw', 'question': '', 'value': 'secret', 'chosen': true, 'required': false, 'chrome': false}], recursive := true) FROM customer"""
 
 
-@query("s13_html_fields", "SELECT 1::BIGINT AS page_id, * FROM (VALUES (0, 'fn', 'input', 'Ann', 'First name', true), (1, 'city', 'input', '', 'City', false), (2, 'em', 'email', 'a@b.c', 'E-mail', false), (3, 'c', 'select', '', 'Country', false)) v(pos, name, kind, value, label, required)")
+@query("s13_html_fields", _ROWS)
 def s13(spark, sf):
-    return O.explode_with(spark.createDataFrame([(1, _HTML)], "page_id long, html string"), "page_id", "html", O.html_fields, "pos int, name string, kind string, value string, label string, required boolean")
+    return H.form_controls(form_pages(spark, sf), "c_custkey", "html").drop("name")
 
 
-@query("x17_typed_values", "SELECT 1::BIGINT AS page_id, * FROM (VALUES ('first_name', 'Ann'), ('e_mail', 'a@b.c')) v(key, value)")
+@query("x17_typed_values", f"WITH r AS ({_ROWS}), g AS (SELECT *, CASE WHEN kind IN ('radio', 'checkbox') THEN question ELSE label END AS asked FROM r WHERE NOT chrome AND kind <> 'password' AND (chosen OR kind = 'tel')) SELECT c_custkey, trim(asked, ' *') AS label, string_agg(value, ', ' ORDER BY pos) AS value FROM g GROUP BY c_custkey, asked")
 def x17(spark, sf):
-    from formweave.functions.text import key_of_label
+    found = H.typed_values(H.form_controls(form_pages(spark, sf), "c_custkey", "html"), "c_custkey")
+    return found.select("c_custkey", F.rtrim(F.col("label"), F.lit(" *")).alias("label"), "value")
 
-    return s13(spark, sf).where("trim(value) <> ''").select("page_id", key_of_label(F.col("label")).alias("key"), "value")
 
-
-@query("x18_a9_fill_assessment", "SELECT 1::BIGINT AS page_id, 4::BIGINT AS total, 2::BIGINT AS filled, 1::BIGINT AS required, 1::BIGINT AS required_filled, 2::BIGINT AS missed")
+@query("x18_a9_fill_assessment", f"WITH r AS ({_ROWS}), g AS (SELECT c_custkey, bool_or(chosen) AS f, bool_or(CASE kind WHEN 'radio' THEN true WHEN 'checkbox' THEN false ELSE required END) AS r FROM r GROUP BY c_custkey, CASE WHEN question <> '' THEN question ELSE pos::VARCHAR END) SELECT c_custkey, count(*) AS total, count(*) FILTER (WHERE f) AS filled, count(*) FILTER (WHERE r) AS required, count(*) FILTER (WHERE r AND f) AS required_filled, count(*) FILTER (WHERE r AND NOT f) AS missed FROM g GROUP BY c_custkey")
 def x18(spark, sf):
-    """One assessment a field name (radios and boxes once a group), then sums."""
-    groups = s13(spark, sf).groupBy("page_id", "name").agg(F.bool_or(F.trim("value") != "").alias("f"), F.bool_or("required").alias("r"))
-    return groups.groupBy("page_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("f").alias("filled"), F.count_if("r").alias("required"), F.count_if(F.col("r") & F.col("f")).alias("required_filled"), F.count_if(~F.col("f")).alias("missed"))
+    """Controls once a set; `missed` are the required ones that are empty."""
+    return H.assess(H.form_controls(form_pages(spark, sf), "c_custkey", "html"), "c_custkey")
 
 
-@query("s14_frames", "SELECT c_custkey, generate_series AS pos, CASE generate_series WHEN 0 THEN c_name ELSE c_mktsegment END AS payload FROM customer, generate_series(0, 1)")
+@query("s14_frames", "SELECT c_custkey, c_name || '|' || c_mktsegment AS payload FROM customer")
 def s14(spark, sf):
-    import pandas as pd
-
+    """Messages of whole `customer` written to framed files and read back, with the key that each begins with."""
+    spark.dataSource.register(FramedSource)
+    folder = new_folder(spark, "frames")
+    payload = F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment").cast("binary")
+    table(spark, sf, "customer").select(payload.alias("payload")).write.format("framed").mode("append").save(folder)
+    text = F.col("payload").cast("string")
+    found = spark.read.format("framed").load(folder)
+    return found.select(F.substring_index(text, "|", 1).cast("long").alias("c_custkey"), F.expr("substring(cast(payload AS string), instr(cast(payload AS string), '|') + 1)").alias("payload"))
+
+
+@query("s14_frames_of_files", "SELECT c_custkey::VARCHAR AS doc, generate_series AS pos, CASE generate_series WHEN 0 THEN c_name ELSE c_mktsegment END AS payload FROM customer, generate_series(0, 1)")
+def s14_files(spark, sf):
+    """Two messages in the content of a file for each customer."""
     @F.pandas_udf("binary")
     def packed(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([O.frame(x.encode()) + O.frame(y.encode()) for x, y in zip(a, b, strict=True)])
 
-    raw = table(spark, sf, "customer").select("c_custkey", packed("c_name", "c_mktsegment").alias("raw"))
-    return O.explode_with(raw, "c_custkey", "raw", lambda v: [(k, m.decode()) for k, m in enumerate(O.frames(bytes(v)))], "pos long, payload string")
+    files = table(spark, sf, "customer").select(F.col("c_custkey").alias("path"), packed("c_name", "c_mktsegment").alias("content"))
+    return framed_messages(files).withColumn("payload", F.col("payload").cast("string"))
 
 
 @query("s9_catalog_endpoints", "SELECT '/v1/catalog/' || p_partkey AS route, p_name AS body FROM part UNION ALL SELECT '/v1/catalog', count(*)::VARCHAR FROM part UNION ALL SELECT '/health', 'ok'")
@@ -146,8 +212,11 @@ def j22(spark, sf):
     return located(spark, sf).select("form_id", "ord", "id")
 
 
-@query("a5_accuracy", f"""{_JOINED}, s AS (SELECT form_id, count(*) FILTER (WHERE expect IS NOT NULL AND lower(value) = lower(expect)) AS tp, count(*) FILTER (WHERE expect IS NOT NULL AND value IS NOT NULL AND lower(value) <> lower(expect)) AS wrong, count(*) FILTER (WHERE expect IS NOT NULL AND value IS NULL) AS miss, count(*) FILTER (WHERE expect IS NULL AND value IS NULL) AS kept, count(*) FILTER (WHERE expect IS NULL) AS blanks FROM m GROUP BY 1)
-SELECT form_id, tp, wrong, miss, round(tp / nullif(tp + wrong, 0), 6) AS precision_, round(tp / nullif(tp + wrong + miss, 0), 6) AS recall, round(kept / nullif(blanks, 0), 6) AS blank_ok FROM s""")
+_SCORES_SQL = f"""{_JOINED}, s AS (SELECT form_id, count(*) FILTER (WHERE expect IS NOT NULL AND lower(value) = lower(expect)) AS tp, count(*) FILTER (WHERE expect IS NOT NULL AND value IS NOT NULL AND lower(value) <> lower(expect)) AS wrong, count(*) FILTER (WHERE expect IS NOT NULL AND value IS NULL) AS miss, count(*) FILTER (WHERE expect IS NULL AND value IS NULL) AS kept, count(*) FILTER (WHERE expect IS NULL) AS blanks FROM m GROUP BY 1)
+SELECT form_id, tp, wrong, miss, round(tp / nullif(tp + wrong, 0), 6) AS precision_, round(tp / nullif(tp + wrong + miss, 0), 6) AS recall, round(kept / nullif(blanks, 0), 6) AS blank_ok FROM s"""
+
+
+@query("a5_accuracy", _SCORES_SQL)
 def a5(spark, sf):
     """True, wrong and missed fills, and blanks kept; a rate without a denominator is null."""
     want, got = F.col("expect").isNotNull(), F.col("value").isNotNull()
@@ -168,9 +237,10 @@ def a6(spark, sf):
     return _FIELDS.frame(spark, sf).agg(F.countDistinct("value").alias("n"))
 
 
-@query("a7_macro_average", "SELECT round(avg(x), 6) AS macro FROM (VALUES (0.5), (NULL), (1.0)) v(x)")
+@query("a7_macro_average", f"SELECT round(avg(precision_), 6) AS precision_, round(avg(recall), 6) AS recall, count(recall) AS forms FROM ({_SCORES_SQL})")
 def a7(spark, sf):
-    return spark.createDataFrame([(0.5,), (None,), (1.0,)], "x double").agg(F.round(F.avg("x"), 6).alias("macro"))
+    """Means over the forms that have a rate."""
+    return a5(spark, sf).agg(F.round(F.avg("precision_"), 6).alias("precision_"), F.round(F.avg("recall"), 6).alias("recall"), F.count("recall").alias("forms"))
 
 
 @query("a8_form_kinds", "SELECT o_custkey, count(*) AS n, CASE WHEN count(*) FILTER (WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%') / count(*) > 0.3 THEN 'tooltip' ELSE 'plain' END AS kind FROM orders GROUP BY 1")

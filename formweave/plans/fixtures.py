@@ -33,9 +33,12 @@ class Rows:
         self.source, self.woven = source, woven
         return self
 
+    def specimens(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, ", ".join(f"{n} {t}" for n, t in self.columns))
+
     def frame(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
         if not self.source:
-            return spark.createDataFrame(self.rows, ", ".join(f"{n} {t}" for n, t in self.columns))
+            return self.specimens(spark)
         each = (F.struct(*(F.lit(v).cast(t).alias(f"_{n}") for v, (n, t) in zip(r, self.columns, strict=True))) for r in self.rows)
         rows = table(spark, sf_dir, self.source).withColumn("_row", F.explode(F.array(*each))).select("*", "_row.*")
         return rows.selectExpr(*(f"{self._expression(n)} AS {n}" for n, _ in self.columns))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from formweave.functions import language as L
 from formweave.functions import predicates as P
-from formweave.functions.translit import to_script
+from formweave.functions import translit as T
 from formweave.plans.fixtures import Rows, table
 from formweave.plans.registry import query
 
@@ -46,17 +46,40 @@ def f18(spark, sf):
 _NAMES = Rows("names", "id bigint,v string", [(1, "Anna 12"), (2, "ivan"), (3, "Mary Smith"), (4, ""), (5, "a@b.c")]).over(id="c_custkey * 100 + id", v="CASE WHEN c_custkey % 2 = 1 THEN lower(c_mktsegment) || ' ' || v ELSE v END")
 
 
-@query("f15_transliterate")
-def f15(spark, sf):
+def _map_sql(values: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in values.items()) + "}"
+
+
+_keys = lambda *tables: "(?is)" + "|".join(sorted((k for t in tables for k in t), key=lambda k: -len(k))) + "|."
+_by_key = lambda table, digits: f"array_to_string(list_transform(regexp_extract_all(v, '{_keys(table)}'), lambda x: coalesce({_map_sql(table)}[lower(x)], translate(x, '0123456789', '{digits}'))), '')"
+_CONSONANT = f"{_map_sql(T.HINDI_CONSONANTS)}[lower(x)]"
+_HINDI_SQL = f"""array_to_string(list_transform(h, lambda x, i: CASE WHEN {_CONSONANT} IS NOT NULL THEN CASE WHEN c[i - 1] THEN '{T.VIRAMA}' ELSE '' END || {_CONSONANT}
+ WHEN {_map_sql({k: a for k, (a, _) in T.HINDI_VOWELS.items()})}[lower(x)] IS NOT NULL THEN CASE WHEN c[i - 1] THEN {_map_sql({k: m for k, (_, m) in T.HINDI_VOWELS.items()})}[lower(x)] ELSE {_map_sql({k: a for k, (a, _) in T.HINDI_VOWELS.items()})}[lower(x)] END
+ ELSE translate(x, '0123456789', '०१२३४५६७८९') END), '')"""
+_SCRIPTS_SQL = f"""k AS (SELECT *, regexp_extract_all(v, '{_keys(T.HINDI_CONSONANTS, T.HINDI_VOWELS)}') AS h FROM src), f AS (SELECT *, list_transform(h, lambda x: {_CONSONANT} IS NOT NULL) AS c FROM k)
+SELECT id, {_by_key(T.RUSSIAN, '0123456789')} AS ru, {_HINDI_SQL} AS hi, {_by_key(T.ARABIC, '٠١٢٣٤٥٦٧٨٩')} AS ar FROM f"""
+
+
+def _scripts(df):
     """Greedy, longest key first, in Arrow batches; the scan keeps state, so no expression fits."""
-    df = _NAMES.frame(spark, sf)
 
     def udf(lang):
-        return F.pandas_udf(lambda s: s.map(lambda x: to_script(x, lang)), "string")
+        return F.pandas_udf(lambda s: s.map(lambda x: T.to_script(x, lang)), "string")
 
     return df.select("id", udf("ru")("v").alias("ru"), udf("hi")("v").alias("hi"), udf("ar")("v").alias("ar"))
 
 
+@query("f15_transliterate", f"WITH {_NAMES.cte}, src AS (SELECT * FROM names), {_SCRIPTS_SQL}")
+def f15(spark, sf):
+    return _scripts(_NAMES.frame(spark, sf))
+
+
+@query("f15_transliterated_items", f"WITH src AS (SELECT item_id AS id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS v FROM benchmark), {_SCRIPTS_SQL}")
+def f15_items(spark, sf):
+    """Whole texts of `benchmark`, their ASCII letters."""
+    return _scripts(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("v")))
+
+
 @query("f15_local_digits", "SELECT o_orderkey, translate(CAST(o_orderkey AS VARCHAR), '0123456789', '०१२३४५६७८९') AS hi, translate(CAST(o_orderkey AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') AS ar FROM orders")
 def f15_digits(spark, sf):
     key = F.col("o_orderkey").cast("string")

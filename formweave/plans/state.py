@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from formweave.plans.fixtures import Rows, table
 from formweave.plans.registry import query
+from formweave.sources.shared import new_folder
+from formweave.sources.store import Store, sync_available
 from formweave.streaming import events as S
 from formweave.streaming import machines as M
+from formweave.streaming import timers as T
 
 _PARTIES = Rows("parties", "txn_id string,party string", [("t1", "a"), ("t1", "b"), ("t2", "a"), ("t3", "a"), ("t3", "b"), ("t4", "a")]).over(txn_id="txn_id || '-' || c_custkey")
 _EVENTS = Rows(
@@ -92,3 +95,33 @@ def st6(spark, sf):
     y = upsert(b, plan.where("direction = 'to_remote'").drop("direction"), keys, "updated_at")
     both = x.withColumnRenamed("value", "v").join(y.withColumnRenamed("value", "w"), keys, "full_outer")
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("v").eqNullSafe(F.col("w"))).alias("differing"))
+
+
+_GAP = 6 * 3600
+_SESSIONS_SQL = f"""e AS (SELECT user_id, date_trunc('millisecond', ts) AS beat FROM events), g AS (SELECT *, CASE WHEN epoch_ms(beat) - epoch_ms(lag(beat) OVER w) <= {_GAP * 1000} THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY beat)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY beat ROWS UNBOUNDED PRECEDING) AS session FROM g), s AS (SELECT user_id, session, min(beat) AS began, max(beat) AS ended, count(*) AS n FROM n GROUP BY 1, 2)"""
+
+
+@query("st3_sessions", f"WITH {_SESSIONS_SQL} SELECT user_id, epoch_ms(began) AS began, epoch_ms(ended) AS ended, n FROM s")
+def st3_sessions(spark, sf):
+    return T.all_sessions(table(spark, sf, "events"), _GAP).select("user_id", F.unix_millis("began").alias("began"), F.unix_millis("ended").alias("ended"), "n")
+
+
+@query("st3_session_stream", f"WITH {_SESSIONS_SQL}, m AS (SELECT max(beat) AS now FROM e), l AS (SELECT user_id, max(session) AS last FROM s GROUP BY 1) SELECT user_id, epoch_ms(began) AS began, epoch_ms(ended) AS ended, n FROM s JOIN l USING (user_id) CROSS JOIN m WHERE session < last OR epoch_ms(ended) + {_GAP * 1000} <= epoch_ms(now) - 3600000")
+def st3_stream(spark, sf):
+    """Sessions as timers end them: of each user's last one, those that the watermark, an hour behind, has passed."""
+    stream = S.event_stream(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema)
+    out = T.run_available(T.expiring_sessions(stream, _GAP, "1 hour"), new_folder(spark, "sessions"), new_folder(spark, "sessions-log"))
+    return out.select("user_id", F.unix_millis("began").alias("began"), F.unix_millis("ended").alias("ended"), "n")
+
+
+@query("st6_stream_sync", "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
+def st6_stream(spark, sf):
+    """The newest value of each user and type: events stream into a store, then half of them once more under another name."""
+    events = table(spark, sf, "events")
+    rows = lambda df: df.select("user_id", "event_type", "value", F.struct("ts", "event_id").alias("at"))
+    store = Store.open(spark, new_folder(spark, "store"), rows(events).schema, ["user_id", "event_type"], "at")
+    stream = S.event_stream(spark, f"{sf}/events.parquet*", events.schema)
+    sync_available(rows(stream), store, "left", new_folder(spark, "left-log"))
+    found = sync_available(rows(stream.where("event_id % 2 = 0")), store, "right", new_folder(spark, "right-log"))
+    return found.select("user_id", "event_type", "value")

@@ -1,4 +1,4 @@
-"""Sources of forms: OOXML files, HTML forms, framed messages. Parsing runs in Arrow batches; rows leave, not objects."""
+"""Sources of forms: OOXML files, framed messages. Parsing runs in Arrow batches; rows leave, not objects."""
 
 from __future__ import annotations
 
@@ -7,12 +7,16 @@ import struct
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from formweave.operators.matching import rules
+from formweave.sources.shared import written
+
 MOST_MESSAGE = 64 << 20
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -25,7 +29,8 @@ def _text(node: ET.Element, tag: str) -> str:
 
 def docx_cells(raw: bytes) -> list[tuple[int, int, int, str]]:
     """(table, row, column, text) of all table cells; paragraphs outside tables are table -1, one a row."""
-    body = ET.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml")).find(f"{_W}body")
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        body = _member(z, "word/document.xml").find(f"{_W}body")
     out, tables, line = [], 0, 0
     for node in body:
         if node.tag == f"{_W}tbl":
@@ -37,58 +42,76 @@ def docx_cells(raw: bytes) -> list[tuple[int, int, int, str]]:
     return out
 
 
-def xlsx_cells(raw: bytes) -> list[tuple[str, int, int, str]]:
-    """(sheet, row, column, text) of all filled cells, by sheet -> relation -> part; shared strings are looked up."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        names = set(z.namelist())
-        shared = [_text(si, f"{_S}t") for si in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
-        for sheet in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
-            part = targets[sheet.get(_R)].lstrip("/")
-            for cell in ET.fromstring(z.read(part if part.startswith("xl/") else f"xl/{part}")).iter(f"{_S}c"):
-                letters = cell.get("r").rstrip("0123456789")
-                column = 0
-                for ch in letters:
-                    column = column * 26 + ord(ch) - 64
-                value = cell.findtext(f"{_S}v")
-                text = _text(cell, f"{_S}t") if cell.get("t") == "inlineStr" else shared[int(value)] if cell.get("t") == "s" and value else value
-                if text:
-                    out.append((sheet.get("name"), int(cell.get("r")[len(letters) :]), column - 1, text))
-    return out
+#: Bytes of a package's member, unpacked, at most: a larger one raises ValueError.
+MOST_MEMBER = 256 << 20
+_PACKAGE_ROWS = "doc string, name string, rid string, part string, at long, row int, col int, kind string, text string, tag string"
 
 
-class _Form(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.rows, self.labels, self.at, self.said = [], {}, None, ""
+def _member(z: zipfile.ZipFile, name: str) -> ET.Element:
+    if z.getinfo(name).file_size > MOST_MEMBER:
+        raise ValueError(f"{name} is too long")
+    return ET.fromstring(z.read(name))
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        if tag == "label":
-            self.at, self.said = a.get("for") or "", ""
-        elif tag in ("input", "select", "textarea") and a.get("type") not in ("hidden", "submit", "button"):
-            self.rows.append([a.get("id") or "", a.get("name") or "", a.get("type") or tag, a.get("value") or "", a.get("aria-label") or a.get("placeholder") or "", self.at == "", "required" in a])
 
-    def handle_data(self, data: str) -> None:
-        if self.at is not None:
-            self.said += data
+def column_of(letters: str) -> int:
+    n = 0
+    for ch in letters:
+        n = n * 26 + ord(ch) - 64
+    return n - 1
+
+
+def workbook_rows(raw: bytes) -> Iterator[dict]:
+    """The rows of a book's members by tag: sheet (name, rid), relation (rid, part), shared (at, text), cell (part, row, col,
+    kind, text); members are parsed one by one."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        for member in z.namelist():
+            if member == "xl/workbook.xml":
+                yield from ({"tag": "sheet", "name": x.get("name"), "rid": x.get(_R)} for x in _member(z, member).iter(f"{_S}sheet"))
+            elif member == "xl/_rels/workbook.xml.rels":
+                for x in _member(z, member):
+                    target = x.get("Target").lstrip("/")
+                    yield {"tag": "relation", "rid": x.get("Id"), "part": target if target.startswith("xl/") else f"xl/{target}"}
+            elif member == "xl/sharedStrings.xml":
+                yield from ({"tag": "shared", "at": k, "text": _text(x, f"{_S}t")} for k, x in enumerate(_member(z, member)))
+            elif member.startswith("xl/worksheets/") and member.endswith(".xml"):
+                for cell in _member(z, member).iter(f"{_S}c"):
+                    letters, kind, value = cell.get("r").rstrip("0123456789"), cell.get("t") or "n", cell.findtext(f"{_S}v")
+                    place = {"row": int(cell.get("r")[len(letters) :]), "col": column_of(letters)}
+                    if kind == "inlineStr":
+                        yield {"tag": "cell", "part": member, "kind": kind, "text": _text(cell, f"{_S}t"), **place}
+                    elif value is not None:
+                        yield {"tag": "cell", "part": member, "kind": kind, "at": int(value) if kind == "s" else None, "text": value, **place}
+
+
+def workbook_cells(files: DataFrame, doc: str = "path", content: str = "content") -> DataFrame:
+    """(doc, sheet, row, col, text) of all filled cells of spreadsheets, such as spark.read.format("binaryFile") gives.
+
+    One pass unpacks the books into rows by tag, in a written table; then a sheet's name meets its relation, that its part
+    and so the cells, and shared strings are looked up by a join, so no book's strings are held beside its cells."""
+    names = [c.split()[0] for c in _PACKAGE_ROWS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]]) for n, c in zip(names, _PACKAGE_ROWS.split(", "), strict=True)])
+        for b in batches:
+            for k, raw in zip(b.column("doc").to_pylist(), b.column("content"), strict=True):
+                rows = workbook_rows(raw.as_py())
+                while some := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_pylist([{"doc": k, **r} for r in some], schema)
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "label" and self.at is not None:
-            if self.at:
-                self.labels[self.at] = self.said.strip()
-            elif self.rows and self.rows[-1][5]:
-                self.rows[-1][4] = self.said.strip()
-            self.at = None
+    found = files.select(F.col(doc).cast("string").alias("doc"), F.col(content).alias("content")).mapInArrow(run, _PACKAGE_ROWS)
+    rows = written(found, "workbooks", "tag")
+    of = lambda tag, *columns: rows.where(F.col("tag") == tag).select("doc", *columns)
+    sheets = of("sheet", F.col("name").alias("sheet"), "rid").join(of("relation", "rid", "part"), ["doc", "rid"])
+    cells = of("cell", "part", "row", "col", "kind", "at", F.col("text").alias("raw")).join(sheets.drop("rid"), ["doc", "part"])
+    said = cells.join(of("shared", "at", F.col("text").alias("shared")), ["doc", "at"], "left")
+    text = F.when(F.col("kind") == "s", F.col("shared")).otherwise(F.col("raw"))
+    return said.select("doc", "sheet", "row", "col", text.alias("text")).where("text <> ''")
 
 
-def html_fields(html: str | None) -> list[tuple[int, str, str, str, str, bool]]:
-    """(pos, name, kind, value, label, required) of a page's fields: its label, else aria-label or placeholder."""
-    form = _Form()
-    form.feed(html or "")
-    form.close()
-    return [(k, name or ident, kind, value, form.labels.get(ident) or hint, req) for k, (ident, name, kind, value, hint, _, req) in enumerate(form.rows)]
+def document_cells(files: DataFrame, doc: str = "path", content: str = "content") -> DataFrame:
+    """(doc, tbl, row, col, text) of text documents: see `docx_cells`."""
+    src = files.select(F.col(doc).cast("string").alias("doc"), F.col(content).alias("content"))
+    return explode_with(src, "doc", "content", docx_cells, "tbl int, row int, col int, text string")
 
 
 def frames(raw: bytes) -> list[bytes]:
@@ -131,8 +154,10 @@ def next_empty_cell(cells: DataFrame) -> DataFrame:
 
 
 def neighbour_cell(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """(book, sheet, label, row, col): the place right of a label's cell if it is free, else the one below."""
-    at = cells.join(F.broadcast(labels), F.lower("text") == F.col("label"))
-    taken = cells.select("book", "sheet", F.col("row").alias("r"), F.col("col").alias("c"), F.lit(True).alias("full"))
-    right = at.join(taken, [at.book == taken.book, at.sheet == taken.sheet, at.row == taken.r, at.col + 1 == taken.c], "left")
-    return right.select(at.book, at.sheet, "label", F.when(F.col("full"), F.col("row") + 1).otherwise(F.col("row")).alias("row"), F.when(F.col("full"), F.col("col")).otherwise(F.col("col") + 1).alias("col"))
+    """(doc, sheet, label, row, col): the place right of a label's cell if it is free, else the one below. `labels` is a rule
+    table; only the cells beside labels are looked at."""
+    at = cells.join(rules(labels), F.lower("text") == F.col("label"))
+    right = cells.select("doc", "sheet", "row", (F.col("col") - 1).alias("col"), F.lit(True).alias("full"))
+    met = at.join(right, ["doc", "sheet", "row", "col"], "left")
+    full = F.col("full").isNotNull()
+    return met.select("doc", "sheet", "label", (F.col("row") + full.cast("int")).alias("row"), (F.col("col") + (~full).cast("int")).alias("col"))
