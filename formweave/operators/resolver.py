@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from formweave.functions import predicates as P
 from formweave.functions.text import initial, key_of_label, words_of_label
 from formweave.operators.matching import best_concept
+from formweave.sources.shared import written
 
 #: Fixed word lists: what makes a name an alternate one, an address a qualified one, a name one in a script.
 ALTERNATE = ("preferred", "former", "previous", "prior", "maiden", "other", "alternate", "alternative", "nickname", "nick", "alias", "aka")
@@ -222,8 +223,8 @@ def resolve_forms(fields: DataFrame, vault: DataFrame, phrases: DataFrame, today
     """(owner, form, pos, value, source) of every field; `source` names the way that gave the value, or that kept it empty.
     `education` (owner, level, rank, kind, value) with `kinds` (ord, concept, phrase) of its parts."""
     rules = rules or Rules()
-    keys = stored(vault)
-    f = picks(routes(fields), phrases)
+    keys = written(stored(vault), "keys")
+    f = written(picks(routes(fields), phrases), "picked")  # read for claims, prompts and parts of education as well
     claims = f.where(F.col("concept").isNotNull() & ~F.col("concept").isin(*rules.composites)).groupBy(F.col("owner").alias("_o"), F.col("form").alias("_f")).agg(F.collect_set("concept").alias("claimed"))
     f = f.join(claims, F.col("owner").eqNullSafe(F.col("_o")) & F.col("form").eqNullSafe(F.col("_f")), "left").drop("_o", "_f")
     f = f.withColumn("claimed", F.coalesce("claimed", F.array().cast("array<string>")))

@@ -102,17 +102,26 @@ def f24(spark, sf):
     return _WANT.frame(spark, sf).join(F.broadcast(_COUNTRY.frame(spark, sf)), F.col("own") == F.col("code"), "left").select("id", F.coalesce(held, "dial").alias("dial"))
 
 
-@query("f21_candidates", f"WITH {_COUNTRY.cte} SELECT name, unnest([name, code, dial]) AS candidate FROM countries")
+_NATIONS_SQL = "n AS (SELECT n_name || ' of ' || r_name AS name, 'N' || n_nationkey AS code, '+' || (n_nationkey + 30) AS dial FROM nation JOIN region ON r_regionkey = n_regionkey)"
+
+
+def nations(spark, sf):
+    """Nations with a short code and a dial code made from their keys."""
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.concat_ws(" of ", "n_name", "r_name").alias("name"), F.concat(F.lit("N"), "n_nationkey").alias("code"), F.concat(F.lit("+"), F.col("n_nationkey") + 30).alias("dial"))
+
+
+@query("f21_candidates", f"WITH {_NATIONS_SQL} SELECT name, unnest([name, code, dial]) AS candidate FROM n")
 def f21(spark, sf):
-    return _COUNTRY.frame(spark, sf).select("name", F.explode(F.array("name", "code", "dial")).alias("candidate"))
+    return nations(spark, sf).select("name", F.explode(F.array("name", "code", "dial")).alias("candidate"))
 
 
-@query("f22_abbreviate", f"WITH {_COUNTRY.cte}, l(n) AS (VALUES (2), (3), (7), (20)), m AS (SELECT name, n, c, row_number() OVER (PARTITION BY name, n ORDER BY length(c) DESC, c) AS k FROM countries CROSS JOIN l, unnest([name, code, dial]) u(c) WHERE length(c) <= n) SELECT name, n, c AS fits FROM m WHERE k = 1")
+@query("f22_abbreviate", f"WITH {_NATIONS_SQL}, l(n) AS (VALUES (2), (3), (7), (20)), m AS (SELECT name, l.n, c, row_number() OVER (PARTITION BY name, l.n ORDER BY length(c) DESC, c) AS k FROM n CROSS JOIN l, unnest([name, code, dial]) u(c) WHERE length(c) <= l.n) SELECT name, n, c AS fits FROM m WHERE k = 1")
 def f22(spark, sf):
     """The longest form that fits a box."""
-    forms = _COUNTRY.frame(spark, sf).select("name", F.explode(F.array("name", "code", "dial")).alias("c"))
-    sizes = spark.createDataFrame([(2,), (3,), (7,), (20,)], "n int")
-    return forms.join(F.broadcast(sizes), F.length("c") <= F.col("n")).groupBy("name", "n").agg(F.min_by("c", F.struct(-F.length("c"), F.col("c"))).alias("fits"))
+    forms = nations(spark, sf).select("name", F.explode(F.array("name", "code", "dial")).alias("c"))
+    fitting = forms.select("name", "c", F.explode(F.array(*map(F.lit, (2, 3, 7, 20)))).alias("n")).where(F.length("c") <= F.col("n"))
+    return fitting.groupBy("name", "n").agg(F.min_by("c", F.struct(-F.length("c"), F.col("c"))).alias("fits"))
 
 
 @query("f20_choice_decision", f"WITH {_OPTIONS.cte}, w AS (SELECT q, pos, regexp_replace(lower(option), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS b FROM options) SELECT q, bool_or(a <> '' AND (a = b OR (length(a) >= 3 AND starts_with(b, a)))) AS chosen FROM w GROUP BY q")

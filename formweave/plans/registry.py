@@ -20,6 +20,7 @@ MODULES = (
     "extraction",
     "language",
     "geometry",
+    "proximity",
     "state",
     "documents",
     "secondary",

@@ -114,8 +114,14 @@ _SCORED = lambda texts, rules: f"""SELECT text, arg_min(concept, (-score, ord))
     SELECT text, ord, concept, hits * hits / n * CASE WHEN hits = n THEN 1.6::DOUBLE ELSE 1 END AS score FROM (
         SELECT text, ord, concept, len(list_filter(string_split(phrase, ' '), lambda x: list_contains(string_split(text, ' '), x)))::DOUBLE AS hits, len(string_split(phrase, ' ')) AS n
         FROM {texts} CROSS JOIN {rules} WHERE text <> '') WHERE hits > 0) WHERE score >= 1.5 GROUP BY text"""
-_SQL = f"""
-WITH {PHRASES.cte}, {KINDS.cte},
+_RAW = f"""SELECT o_custkey AS owner, o_orderkey AS form, l_linenumber * 100000 + l_partkey AS pos, ({_LIST(_CAPTIONS)})[1 + (l_partkey * 7 + l_suppkey) % {len(_CAPTIONS)}] AS label,
+    ({_LIST(_NAMES)})[1 + l_suppkey % {len(_NAMES)}] AS name, l_partkey % 4 AS max_length FROM orders JOIN lineitem ON l_orderkey = o_orderkey"""
+
+
+def resolver_sql(raw: str) -> str:
+    """SQL of the resolver for the fields that `raw` selects: owner, form, pos, label, name, max_length; without WITH."""
+    return f"""
+{PHRASES.cte}, {KINDS.cte},
 vault AS (SELECT c_custkey AS owner, ord, key, value FROM ({' UNION ALL '.join(f"SELECT c_custkey, {o} AS ord, {_Q(k)} AS key, {v} AS value FROM customer WHERE c_custkey % {d} = 0" for o, k, v, d in _HELD)})),
 keys AS (SELECT owner, {_NORM('key')} AS key, min(ord) AS ord, arg_max(value, ord) AS value FROM vault GROUP BY ALL),
 own AS (SELECT owner, {_KEY('key')} AS own_key, arg_min(value, ord) AS own FROM vault GROUP BY ALL HAVING own <> ''),
@@ -126,8 +132,7 @@ qualified AS (SELECT owner, route, q, arg_min(value, ord) AS held FROM (
     UNION ALL SELECT owner, 'script', q, ord, value FROM words WHERE list_contains({_LIST(R.SCRIPTS)}, q) AND list_contains(w, 'name')
     UNION ALL SELECT owner, 'second_line', '', list_position({_LIST(R.SECOND_LINE_KEYS)}, key), value FROM keys WHERE list_contains({_LIST(R.SECOND_LINE_KEYS)}, key) AND value <> '') GROUP BY ALL),
 atoms AS (SELECT owner, map_from_entries(list((concept, value))) AS a FROM (SELECT owner, concept, arg_min(value, ord) AS value FROM keys JOIN (SELECT DISTINCT concept, phrase FROM phrases) ON key = phrase GROUP BY ALL) WHERE value <> '' GROUP BY owner),
-raw AS (SELECT o_custkey AS owner, o_orderkey AS form, l_linenumber * 100000 + l_partkey AS pos, ({_LIST(_CAPTIONS)})[1 + (l_partkey * 7 + l_suppkey) % {len(_CAPTIONS)}] AS label,
-    ({_LIST(_NAMES)})[1 + l_suppkey % {len(_NAMES)}] AS name, l_partkey % 4 AS max_length FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+raw AS ({raw}),
 said AS (SELECT *, {_NORM('label')} AS said, {_NORM('name')} AS named, string_split({_NORM('label')}, ' ') AS w FROM raw),
 forms AS (SELECT *, bool_or(list_contains(w, 'address') AND {_FIND(R.ADDRESSES)} IS NULL) OVER (PARTITION BY owner, form) AS asks_plain FROM said),
 routed AS (SELECT *, CASE
@@ -168,7 +173,7 @@ FROM values_
 """
 
 
-@query("e2_resolve_forms", _SQL)
+@query("e2_resolve_forms", "WITH " + resolver_sql(_RAW))
 def resolve_forms(spark, sf):
     """Every line of every order as a field, resolved from its customer's stored values in the dealt order of ways."""
     return R.resolve_forms(fields(spark, sf), vault(spark, sf), PHRASES.frame(spark, sf), F.lit(_TODAY).cast("date"), education=education(spark, sf), kinds=KINDS.frame(spark, sf))

@@ -94,12 +94,12 @@ def f12(spark, sf):
 
 
 @query("f13_catalog_search", """WITH s AS (SELECT p_partkey, p_name, len(list_filter(['brand#1', 'steel', 'ST', 'brand#1'], lambda w: contains(lower(p_name || ' ' || p_brand || ' ' || p_type), lower(w)))) AS score FROM part)
-SELECT p_partkey, p_name, score FROM s WHERE score > 0 ORDER BY score DESC, p_name, p_partkey LIMIT 100""")
+SELECT p_partkey, p_name, score FROM s WHERE score > 0 ORDER BY score DESC, p_name, p_partkey""")
 def f13(spark, sf):
     """Catalog search: the query's words as substrings of name and tags, best first."""
     text = F.concat_ws(" ", "p_name", "p_brand", "p_type")
     scored = table(spark, sf, "part").select("p_partkey", "p_name", X.search_score(F.lit("brand#1 steel ST  brand#1"), text).cast("long").alias("score"))
-    return scored.where("score > 0").orderBy(F.desc("score"), "p_name", "p_partkey").limit(100)
+    return scored.where("score > 0").orderBy(F.desc("score"), "p_name", "p_partkey")
 
 
 _CARDS = Rows("cards", "id bigint,number string,kind string", [(1, "4111 1111 1111 1111", "credit card"), (2, "5500-0000-0000-0004", "DEBIT"), (3, "340000000000009", "x"), (4, "6011000000000004", None), (5, "30000000000004", "prepaid"), (6, "3530111333300000", ""), (7, "6200000000000005", "cash"), (8, "6521111111111117", "y"), (9, "8111", "z"), (10, None, "q"), (11, "6221261111117766", "c"), (12, "2720990000000007", "d"), (13, "5081", "e")]).over(id="c_custkey * 100 + id", number="CASE WHEN c_custkey % 3 = 0 THEN number || (c_custkey % 10) ELSE number END")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from formweave.functions import tokens as T
 from formweave.functions.text import key_of_label, words_of_label
+from formweave.functions.cards import card_values
 from formweave.plans.fixtures import Rows, table
 from formweave.plans.registry import query
 
@@ -80,14 +81,15 @@ def r10(spark, sf):
     return labels.crossJoin(F.broadcast(text)).agg(F.count_if(F.contains("t", "label")).alias("hits"), F.count(F.lit(1)).alias("n"))
 
 
-_CATALOGUE = Rows("cat", "lang string,k string,v string", [("en", "a", "A"), ("en", "b", "B {n}"), ("en", "c", "C"), ("de", "a", "Ä"), ("de", "b", "B"), ("de", "d", "D"), ("fr", "a", ""), ("fr", "b", "b {n}"), ("fr", "c", "c")])
+_CATALOGUE = Rows("cat", "lang string,k string,v string", [("en", "a", "A"), ("en", "b", "B {n}"), ("en", "c", "C"), ("de", "a", "Ä"), ("de", "b", "B"), ("de", "d", "D"), ("fr", "a", ""), ("fr", "b", "b {n}"), ("fr", "c", "c")]).over(k="k || '.' || c_custkey", v="CASE WHEN c_custkey % 3 = 1 AND lang <> 'en' THEN v || '{n}' ELSE v END")
 
 
 @query("r11_catalogue_check", f"WITH {_CATALOGUE.cte}, b AS (SELECT k, v FROM cat WHERE lang = 'en'), l AS (SELECT DISTINCT lang FROM cat WHERE lang <> 'en'), e AS (SELECT lang, b.k, b.v AS base FROM l CROSS JOIN b), j AS (SELECT coalesce(e.lang, o.lang) AS lang, coalesce(e.k, o.k) AS k, base, o.v FROM e FULL JOIN (SELECT * FROM cat WHERE lang <> 'en') o ON o.lang = e.lang AND o.k = e.k) SELECT lang, k, CASE WHEN v IS NULL THEN 'missing' WHEN base IS NULL THEN 'extra' WHEN v = '' THEN 'empty' ELSE 'placeholder' END AS problem FROM j WHERE v IS NULL OR base IS NULL OR v = '' OR contains(base, '{{n}}') <> contains(v, '{{n}}')")
 def r11(spark, sf):
     cat = _CATALOGUE.frame(spark, sf)
     base, other = cat.where("lang = 'en'").select("k", F.col("v").alias("base")), cat.where("lang <> 'en'")
-    want = other.select("lang").distinct().crossJoin(F.broadcast(base))
+    langs = other.agg(F.collect_set("lang").alias("langs"))  # a few; every key is wanted in each
+    want = base.crossJoin(F.broadcast(langs)).select("k", "base", F.explode("langs").alias("lang"))
     j = want.join(other, ["lang", "k"], "full_outer")
     holder = F.contains("base", F.lit("{n}")) != F.contains("v", F.lit("{n}"))
     problem = F.when(F.col("v").isNull(), "missing").when(F.col("base").isNull(), "extra").when(F.col("v") == "", "empty").when(holder, "placeholder")
@@ -119,10 +121,12 @@ def r15(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("device")).join(seen, "device", "left_anti")
 
 
-@query("r16_rule_parity", "SELECT 'only_a' AS side, x AS concept FROM (SELECT unnest(['given', 'family', 'full']) AS x EXCEPT SELECT unnest(['given', 'full', 'phone'])) UNION ALL SELECT 'only_b', x FROM (SELECT unnest(['given', 'full', 'phone']) AS x EXCEPT SELECT unnest(['given', 'family', 'full']))")
+@query("r16_rule_parity", "WITH a AS (SELECT DISTINCT p_name || ' ' || p_type AS c FROM part WHERE p_size <= 25), b AS (SELECT DISTINCT p_name || ' ' || p_type AS c FROM part WHERE p_size > 10) SELECT 'only_a' AS side, c AS concept FROM (SELECT c FROM a EXCEPT SELECT c FROM b) UNION ALL SELECT 'only_b', c FROM (SELECT c FROM b EXCEPT SELECT c FROM a)")
 def r16(spark, sf):
-    a, b = (spark.createDataFrame([(x,) for x in v], "concept string") for v in (("given", "family", "full"), ("given", "full", "phone")))
-    return a.subtract(b).select(F.lit("only_a").alias("side"), "concept").unionByName(b.subtract(a).select(F.lit("only_b").alias("side"), "concept"))
+    """Concepts of one rule table that the other lacks, both ways; parts of small and large sizes stand for the tables."""
+    concepts = lambda cond: table(spark, sf, "part").where(cond).select(F.concat_ws(" ", "p_name", "p_type").alias("concept")).distinct()
+    a, b = concepts("p_size <= 25").withColumn("a", F.lit(True)), concepts("p_size > 10").withColumn("b", F.lit(True))
+    return a.join(b, "concept", "full_outer").where("a IS NULL OR b IS NULL").select(F.when(F.col("b").isNull(), "only_a").otherwise("only_b").alias("side"), "concept")
 
 
 _ROT = Rows("rot", "id bigint,rot double,x double,y double,w double,h double", [(1, 0.0, 1.0, 2.0, 10.0, 5.0), (2, 91.0, 1.0, 2.0, 10.0, 5.0), (3, 180.0, 1.0, 2.0, 10.0, 5.0), (4, -90.0, 1.0, 2.0, 10.0, 5.0), (5, 450.0, 1.0, 2.0, 10.0, 5.0)]).over(id="c_custkey * 100 + id", x="x + c_custkey % 7")
@@ -200,30 +204,26 @@ def f8(spark, sf):
     return table(spark, sf, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.get(parts, F.lit(0)).alias("given"), F.get(parts, F.lit(1)).alias("family"), F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")), "n_name").alias("nationality"))
 
 
-@query("x9_id_heuristics", "SELECT * FROM (VALUES (1::BIGINT, '12 OAK STREET', 'SPRINGFIELD', 'IL', '62701', '01/15/1985', '12/31/2030'), (2, NULL, NULL, NULL, NULL, NULL, NULL)) v(doc_id, street, city, state, zip, born, expires)")
+#: A card for each customer: field numbers or none, one line of names or two, dates of three classes.
+_CARD_TEXT = """CASE WHEN c_custkey % 3 = 0 THEN 'DRIVER LICENSE' || chr(10) || '1 SMITH' || chr(10) || '2 ANNA MARIA' WHEN c_custkey % 3 = 1 THEN 'SMITH' || chr(10) || 'ANNA MARIA' ELSE 'ANNA MARIA SMITH' END || chr(10)
+ || '8 ' || (10 + c_custkey) || ' ' || c_mktsegment || ' ROAD' || chr(10) || 'SPRINGFIELD, IL ' || (60000 + c_nationkey) || chr(10) || 'DOB 01/15/' || (1940 + c_custkey % 50)
+ || CASE WHEN c_custkey % 2 = 0 THEN ' ISS 02/03/2019' ELSE ' 02/03/2019' END || ' 04/05/' || (2030 + c_nationkey % 5)"""
+
+
+@query("x9_id_heuristics", """SELECT c_custkey AS doc_id, 'SMITH' AS family, 'ANNA' AS given, 'MARIA' AS middle, (10 + c_custkey) || ' ' || c_mktsegment || ' ROAD' AS street, 'SPRINGFIELD' AS city, 'IL' AS state,
+ (60000 + c_nationkey)::VARCHAR AS zip, '01/15/' || (1940 + c_custkey % 50) AS born, '04/05/' || (2030 + c_nationkey % 5) AS expires, '02/03/2019' AS issued FROM customer""")
 def x9(spark, sf):
-    """Unlabelled identity cards: street, city, state, ZIP by shape; the oldest date is birth, the latest expiry."""
-    docs = spark.createDataFrame([(1, "JANE DOE\n12 OAK STREET\nSPRINGFIELD, IL 62701\n01/15/1985 06/01/2022 12/31/2030"), (2, "nothing")], "doc_id long, text string")
-    t, place = F.col("text"), r"(?m)^([A-Z .]+), ([A-Z]{2}) ([0-9]{5})"
-    dates = F.regexp_extract_all(t, F.lit(r"([0-9]{2}/[0-9]{2}/[0-9]{4})"), F.lit(1))
-    ranked = F.array_sort(F.transform(dates, lambda d: F.struct(F.right(d, F.lit(4)).alias("y"), d.alias("d"))))
-    some = lambda c: F.nullif(c, F.lit(""))
-    return docs.select("doc_id", some(F.regexp_extract(t, r"(?m)^([0-9]+ [A-Z ]+(?:STREET|ST|AVE|RD))$", 1)).alias("street"), *(some(F.regexp_extract(t, place, k)).alias(n) for k, n in ((1, "city"), (2, "state"), (3, "zip"))), F.get(ranked, F.lit(0)).d.alias("born"), F.when(F.size(ranked) > 0, F.element_at(ranked, F.lit(-1)).d).alias("expires"))
-
-
-@query("x19_proximity_plan", "WITH c AS (SELECT * FROM (VALUES (1::BIGINT, 'Given Name', false), (2, 'Employer Name', true), (3, 'Date of Birth', false), (4, 'Other names', true)) v(id, caption, skip)) SELECT id, skip, CASE id WHEN 1 THEN 'Asha' WHEN 3 THEN '01/02/1990' END AS value FROM c")
-def x19(spark, sf):
-    """Captions to values: boxes of others and other names are skipped, the rest resolve by concept."""
-    from formweave.functions.predicates import other_entity, other_name
-    from formweave.operators.matching import resolve
-    from formweave.plans.matching import _VAULT
-    from formweave.plans.scalars import _PHRASES
-
-    c = spark.createDataFrame([(1, "Given Name"), (2, "Employer Name"), (3, "Date of Birth"), (4, "Other names")], "id long, label string")
-    skip = other_entity(F.col("label")) | other_name(F.col("label"))
-    vault = _VAULT.frame(spark, sf).where("key IN ('given', 'birth')")
-    got = resolve(c, _PHRASES.frame(spark, sf), vault, skip)
-    return c.join(got, "id").select("id", skip.alias("skip"), "value")
+    docs = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(_CARD_TEXT.replace("chr(10)", "'\\n'")).alias("text"))
+    return card_values(docs, 2026)
+
+
+@query("x9_cards_in_documents", r"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b'), lambda x: {'x': x, 'y': regexp_extract(x, '\d{2,4}$')}) AS l, regexp_extract(text, '\b(?:[A-Z]{2})?(\d{5})(?:-\d{4})?\b', 1) AS zip FROM documents),
+y AS (SELECT doc_id, zip, list_transform(l, lambda v: {'y': CASE WHEN length(v.y) > 2 THEN v.y::INT WHEN v.y::INT > 26 THEN 1900 + v.y::INT ELSE 2000 + v.y::INT END, 'x': v.x}) AS l FROM d),
+u AS (SELECT doc_id, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM y), b AS (SELECT doc_id, arg_min(v.x, (v.y, i)) AS born FROM u WHERE v.y BETWEEN 1900 AND 2012 GROUP BY 1)
+SELECT doc_id, nullif(zip, '') AS zip, born FROM y LEFT JOIN b USING (doc_id)""")
+def x9_documents(spark, sf):
+    """Over whole `documents`: what of a text would pass for a code or a birth."""
+    return card_values(table(spark, sf, "documents").select("doc_id", "text"), 2026).select("doc_id", "zip", "born")
 
 
 @query("r5_fill_vault", "SELECT c_custkey, 'nation=' || c_nationkey || ';segment=' || CASE WHEN c_custkey % 2 = 0 THEN 'card' ELSE c_mktsegment END AS vault FROM customer")
