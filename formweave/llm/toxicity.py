@@ -7,7 +7,10 @@ document's largest and mean distances, in a logistic calibration fitted on label
 give its score; a score of THRESHOLD or more predicts toxic.
 
 Fitting uses at most MAX_TOXIC + MAX_ORDINARY labelled documents of at most MAX_BYTES each, those of the least hash of
-their ids; scoring reads every whole text, in one pass without a shuffle. The model (some 25 kB) goes with the tasks.
+their ids. Labelled texts that begin alike (ALIKE_BYTES) are taken for versions of one: they make one training text, in which
+each further version adds the words that it has beyond the others, they are toxic if one of them is labelled so, and
+they stand on one side of dictionaries and calibration; none is dropped. The trained body of ordinary text is made of BODY_SAMPLE
+bytes of each ordinary training text. Scoring reads every whole text, in one pass without a shuffle. The model (some 25 kB) goes with the tasks.
 
 Defined results: null and empty texts score as one empty window; without labels of both kinds every score is the share
 of toxic labels (0 without any); repeated rows repeat; other columns are ignored; an empty table gives none.
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from formweave.llm.common import slices, table
 
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 4000, 12_000, 50_000
+#: Bytes of a beginning that versions of a text share; bytes of an ordinary training text, from either end, in the dictionaries.
+ALIKE_BYTES, BODY_SAMPLE = 60, 4000
 WINDOW, STEP = 32, 16
 BODY_BYTES, TAIL_BYTES = 8192, 3796
 THRESHOLD = 0.3
@@ -79,12 +84,29 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def merged(versions: list[bytes]) -> bytes:
+    """One text of several versions: the first, and of each other the words that none before has."""
+    seen, out = set(_WORD.findall(versions[0])), [versions[0]]
+    for t in versions[1:]:
+        more = [w for w in dict.fromkeys(_WORD.findall(t)) if w not in seen]
+        seen.update(more)
+        out.append(b" ".join(more))
+    return b" ".join(out)
+
+
 def fit(rows: list[tuple[bytes, int]], toxic_share: float) -> Model:
-    """`rows` are (text, 0 or 1) in an order that says nothing; every third calibrates, the rest make the dictionaries."""
+    """`rows` are (text, 0 or 1) in an order that says nothing; every third group of versions calibrates, the rest make the
+    dictionaries."""
     model = Model(share=toxic_share)
-    seen: set[bytes] = set()
-    fresh = [(t.lower(), y) for t, y in rows if not (t[:60] in seen or seen.add(t[:60]))]
-    held, making = fresh[::3], [x for i, x in enumerate(fresh) if i % 3]
+    groups: dict[bytes, tuple[dict[bytes, None], list[int]]] = {}
+    for text, y in rows:
+        texts, ys = groups.setdefault(text[:ALIKE_BYTES].lower(), ({}, []))
+        texts[text.lower()] = None
+        ys.append(y)
+    fresh = [(list(texts), max(ys)) for texts, ys in groups.values()]
+    held = [(t, y) for texts, y in fresh[::3] for t in texts]
+    part = np.array([1 / len(texts) for texts, _ in fresh[::3] for _ in texts])  # a group weighs as much as a single text
+    making = [(merged(texts), y) for i, (texts, y) in enumerate(fresh) if i % 3]
     bad, good = ([t for t, y in making if y == k] for k in (1, 0))
     if not bad or not good or len({y for _, y in held}) < 2:
         return model
@@ -98,14 +120,14 @@ def fit(rows: list[tuple[bytes, int]], toxic_share: float) -> Model:
         if n >= least and n - (n + m) * p >= 6 * np.sqrt((n + m) * p * (1 - p)) and n / len(bad) > 8 * m / len(good):
             told.add(w)
     picked = [b" " + b" ".join(ws) + b" " for t in bad if (ws := [w for w in _WORD.findall(t) if w in told])] or bad
-    body = _trained(BODY_BYTES, [t[:4000] for t in good])
+    body = _trained(BODY_BYTES, [t[:BODY_SAMPLE] for t in good])
     model.toxic = _trained(TAIL_BYTES + 300, picked)[-TAIL_BYTES:] + body
-    model.ordinary = _trained(TAIL_BYTES + 300, [t[-4000:] for t in good])[-TAIL_BYTES:] + body
+    model.ordinary = _trained(TAIL_BYTES + 300, [t[-BODY_SAMPLE:] for t in good])[-TAIL_BYTES:] + body
     by_toxic, by_ordinary = model.compressors()
     x, y = np.array([features(t, by_toxic, by_ordinary) for t, _ in held]), np.array([y for _, y in held], float)
     model.centre, model.scale = x.mean(0).tolist(), (x.std(0) + 1e-9).tolist()
     x = np.c_[(x - model.centre) / model.scale, np.ones(len(x))]
-    weight = np.where(y == 1, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean()))
+    weight = part * np.where(y == 1, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean()))
     w, ridge = np.zeros(x.shape[1]), np.diag([1.0] * (x.shape[1] - 1) + [1e-6])
     for _ in range(40):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
