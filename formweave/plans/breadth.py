@@ -32,5 +32,5 @@ def sessions(spark, sf):
 @query("b5_revenue_by_region", "SELECT r_name, count(*) AS n, sum(CAST(round(o_totalprice) AS BIGINT))::BIGINT AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def revenue(spark, sf):
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    o = o.join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    o = o.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return o.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("o_totalprice")).cast("long")).alias("total"))

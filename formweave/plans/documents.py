@@ -265,7 +265,8 @@ def a19(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("o_orderstatus"))), ",").alias("chosen"))
 
 
-@query("a20_multi_values", "SELECT c_nationkey, string_agg(c_mktsegment, '; ' ORDER BY c_custkey) AS answer FROM customer GROUP BY 1")
+@query("a20_multi_values", "SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, '; ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS answer FROM lineitem GROUP BY 1")
 def a20(spark, sf):
-    parts = F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment")))
-    return table(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(parts, lambda p: p.c_mktsegment), "; ").alias("answer"))
+    """The flags of an order's lines, of which there are few, as one answer."""
+    parts = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("flags"))))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(parts, lambda p: p.flags), "; ").alias("answer"))

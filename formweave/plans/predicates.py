@@ -137,5 +137,5 @@ def p27(spark, sf):
 def p28(spark, sf):
     """A blank value is filled from a dimension; a stored one stays."""
     held = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("")
-    rows = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.select("c_custkey", F.coalesce(F.nullif(held, F.lit("")), "n_name").alias("value"))

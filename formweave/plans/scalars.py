@@ -60,7 +60,7 @@ def f6(spark, sf):
 @query("f7_composite", "SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '' END, ''), c_mktsegment || ', ' || n_name) AS address FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def f7(spark, sf):
     """A stored composite, else its members joined."""
-    rows = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     stored = F.nullif(F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(""), F.lit(""))
     return rows.select("c_custkey", F.coalesce(stored, F.concat_ws(", ", "c_mktsegment", "n_name")).alias("address"))
 

@@ -46,7 +46,7 @@ def r3(spark, sf):
 
 @query("r4_billing_defaults", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, n_name) AS billing FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def r4(spark, sf):
-    n = F.broadcast(table(spark, sf, "nation"))
+    n = table(spark, sf, "nation")
     return table(spark, sf, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")), "n_name").alias("billing"))
 
 
@@ -74,11 +74,14 @@ def r8(spark, sf):
     return f.groupBy("name", "b").agg(F.min("line").alias("line")).select("line", "name")
 
 
-@query("r10_label_recovery", f"WITH {_OCR.cte}, t AS (SELECT string_agg(lower(s), ' ' ORDER BY line) AS t FROM ocr), l(label) AS (VALUES ('name'), ('phone number'), ('fax')) SELECT count(*) FILTER (WHERE contains(t, label)) AS hits, count(*) AS n FROM l CROSS JOIN t")
+@query("r10_label_recovery", f"WITH {_OCR.cte}, t AS (SELECT line // 100 AS page, string_agg(lower(s), ' ' ORDER BY line) AS t FROM ocr GROUP BY 1), l(label) AS (VALUES ('name'), ('phone number'), ('fax')) SELECT page, count(*) FILTER (WHERE contains(t, label)) AS hits, count(*) AS n FROM t CROSS JOIN l GROUP BY page")
 def r10(spark, sf):
-    text = _OCR.frame(spark, sf).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.lower("s").alias("s")))), lambda x: x.s), " ").alias("t"))
-    labels = spark.createDataFrame([("name",), ("phone number",), ("fax",)], "label string")
-    return labels.crossJoin(F.broadcast(text)).agg(F.count_if(F.contains("t", "label")).alias("hits"), F.count(F.lit(1)).alias("n"))
+    """How many of the labels a page's recognised text still holds; the lines of a page are few."""
+    lines = F.array_sort(F.collect_list(F.struct("line", F.lower("s").alias("s"))))
+    text = _OCR.frame(spark, sf).groupBy(F.expr("line DIV 100").alias("page")).agg(F.array_join(F.transform(lines, lambda x: x.s), " ").alias("t"))
+    labels = ("name", "phone number", "fax")
+    hits = sum((F.contains("t", F.lit(x)).cast("long") for x in labels), F.lit(0).cast("long"))
+    return text.select("page", hits.alias("hits"), F.lit(len(labels)).cast("long").alias("n"))
 
 
 _CATALOGUE = Rows("cat", "lang string,k string,v string", [("en", "a", "A"), ("en", "b", "B {n}"), ("en", "c", "C"), ("de", "a", "Ä"), ("de", "b", "B"), ("de", "d", "D"), ("fr", "a", ""), ("fr", "b", "b {n}"), ("fr", "c", "c")]).over(k="k || '.' || c_custkey", v="CASE WHEN c_custkey % 3 = 1 AND lang <> 'en' THEN v || '{n}' ELSE v END")
@@ -199,7 +202,7 @@ def f32(spark, sf):
 @query("f8_atom_fallbacks", "SELECT c_custkey, split_part(c_name, '#', 1) AS given, split_part(c_name, '#', 2) AS family, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, n_name) AS nationality FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def f8(spark, sf):
     """Given and family name from a full name, nationality from the country."""
-    n = F.broadcast(table(spark, sf, "nation"))
+    n = table(spark, sf, "nation")
     parts = F.split("c_name", "#")
     return table(spark, sf, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.get(parts, F.lit(0)).alias("given"), F.get(parts, F.lit(1)).alias("family"), F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")), "n_name").alias("nationality"))
 

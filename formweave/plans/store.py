@@ -155,7 +155,7 @@ def j1(spark, sf):
 @query("j2_fill_plan", f"""WITH {_POINTS_SQL} SELECT profile_id, s.selector, value FROM p JOIN (VALUES ('#n', 'name'), ('#s', 'segment'), ('#x', 'fax')) s(selector, ontology_key) ON key = ontology_key""")
 def j2(spark, sf):
     dom = spark.createDataFrame([("#n", "name"), ("#s", "segment"), ("#x", "fax")], "selector string, key string")
-    return points(spark, sf).join(F.broadcast(dom), "key").select("profile_id", "selector", "value")
+    return points(spark, sf).join(dom, "key").select("profile_id", "selector", "value")
 
 
 @query("s5_autofill_history", """WITH r AS (SELECT event_id % 3 AS browser, event_type AS name, props AS value, ts, user_id, event_id, row_number() OVER (PARTITION BY event_id % 3 ORDER BY ts DESC, user_id DESC, event_id) AS k FROM events)
