@@ -37,19 +37,23 @@ def step(state: dict, action: str, party: str | None) -> tuple[dict, bool]:
 
 
 def fold_transactions(events: DataFrame, parties: DataFrame) -> DataFrame:
-    """(txn_id, state, n_signed, n_errors) after all events in the order of seq. One transaction is one group: its
-    events are few, and no state is kept beyond it."""
+    """(txn_id, state, n_signed, n_errors) after all events in the order of seq. A transaction's events are few: they
+    are gathered in its row, and rows are folded in Arrow batches."""
     members = parties.groupBy("txn_id").agg(F.array_sort(F.collect_set("party")).alias("parties"))
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows["parties"].iloc[0]
-        state, errors = {"state": "Draft", "parties": frozenset(first if first is not None else ()), "consented": frozenset(), "signed": frozenset()}, 0
-        for action, party in rows.sort_values("seq")[["action", "party"]].itertuples(index=False):
-            state, ok = step(state, action, party)
-            errors += not ok
-        return pd.DataFrame([(key[0], state["state"], len(state["signed"]), errors)], columns=["txn_id", "state", "n_signed", "n_errors"])
-
-    return events.join(members, "txn_id", "left").groupBy("txn_id").applyInPandas(fold, "txn_id string, state string, n_signed long, n_errors long")
+    logs = events.groupBy("txn_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "party"))).alias("log"))
+
+    @F.pandas_udf("state string, n_signed long, n_errors long")
+    def fold(log: pd.Series, parties: pd.Series) -> pd.DataFrame:
+        out = []
+        for steps, of in zip(log, parties, strict=True):
+            state, errors = {"state": "Draft", "parties": frozenset(of if of is not None else ()), "consented": frozenset(), "signed": frozenset()}, 0
+            for x in steps:
+                state, ok = step(state, x["action"], x["party"])
+                errors += not ok
+            out.append((state["state"], len(state["signed"]), errors))
+        return pd.DataFrame(out, columns=["state", "n_signed", "n_errors"])
+
+    return logs.join(members, "txn_id", "left").select("txn_id", fold("log", "parties").alias("f")).select("txn_id", "f.*")
 
 
 def stream_transactions(events: DataFrame, party_count: int) -> DataFrame:
