@@ -3,7 +3,8 @@
 Every Python worker holds one in-memory DuckDB with the merge table (left id, right id -> merged id). The pre-tokens
 that a slice of texts brings for the first time become rows (word, token list); a recursive query unnests them to
 token-position rows, joins the merge table, contracts each word's leftmost minimum-rank pair and goes on until no word
-has a pair. Decoding joins the ids with the vocabulary and puts the bytes together by an ordered aggregation.
+has a pair. Decoding joins the ids with the vocabulary and puts the bytes together by an ordered aggregation. What is
+encoded stays in Arrow columns, from which pieces and texts are put together by their places.
 
 Defined results: a null or empty text has no ids (n_tokens 0, hashes of nothing); repeated rows give repeated rows;
 texts of any length are encoded whole; columns other than the id and the text are ignored; an empty table gives none.
@@ -15,20 +16,24 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from formweave.llm.common import SLICE_BYTES, slices, table
+from formweave.llm.common import slices, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens of more bytes are merged with a heap: one contraction an iteration would take a query as long as the word.
 LONG_WORD = 64
-#: New words in one recursive query, and pieces that a worker keeps encoded.
-QUERY_WORDS, CACHE_PIECES = 20_000, 250_000
+#: Bytes of text, and new words, in one recursive query; of the latter also the sum of their squared lengths, as the query
+#: holds a word once for each of its contractions.
+SLICE_BYTES, QUERY_WORDS, QUERY_SQUARES = 4 << 20, 20_000, 8 << 20
+#: Words, and pieces, that a worker keeps encoded, and the bytes of the ids and texts of either.
+CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 300_000, 150_000, 32 << 20
 
 _ENCODE = """
 WITH RECURSIVE state(w, t, done) AS (
@@ -61,6 +66,52 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class Memo:
+    """What a worker keeps encoded: the place of each string in the columns n, ids and back."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.place: dict[str, int] = {}
+        self.n, self.ids, self.back = np.empty(0, np.int64), pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.again = np.empty(0, bool)
+
+    def trim(self) -> None:
+        """Where it is too much, keep what was met again since the last time; if that is much too, nothing."""
+        if len(self.place) <= self.most and self.ids.nbytes + self.back.nbytes <= CACHE_BYTES:
+            return
+        keep = np.flatnonzero(self.again)
+        keys, ids, back, n = list(compress(self.place, self.again)), self.ids.take(pa.array(keep)), self.back.take(pa.array(keep)), self.n[keep]
+        self.__init__(self.most)
+        if 2 * len(keys) <= self.most and 2 * (ids.nbytes + back.nbytes) <= CACHE_BYTES:
+            self.add(keys, n, ids, back)
+
+    def new(self, keys: list[str]) -> list[str]:
+        """Of distinct strings those that are to be encoded."""
+        at = np.fromiter((self.place.get(k, -1) for k in keys), np.int64, len(keys))
+        self.again[at[at >= 0]] = True
+        return list(compress(keys, at < 0))
+
+    def add(self, keys: list[str], n: np.ndarray, ids: pa.Array, back: pa.Array) -> None:
+        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
+        self.n, self.again = np.concatenate([self.n, n]), np.concatenate([self.again, np.zeros(len(n), bool)])
+        self.ids, self.back = pa.concat_arrays([self.ids, ids]), pa.concat_arrays([self.back, back])
+
+    def places(self, keys: Iterable[str], count: int) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, keys), np.int64, count)
+
+    def joined(self, places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(number of ids, ids, decoded bytes) of runs of so many places; what has no ids leaves no comma."""
+        n = self.n[places]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        if not n.all():
+            ends = np.concatenate([[0], np.cumsum(n > 0)])[ends]
+            places, n = places[n > 0], n[n > 0]
+        total = np.concatenate([[0], np.cumsum(n)])[ends]
+        offsets, at = pa.array(ends, pa.int32()), pa.array(places)
+        ids, back = (pc.binary_join(pa.ListArray.from_arrays(offsets, c.take(at)), pa.scalar(by, c.type)) for c, by in ((self.ids, ","), (self.back, b"")))
+        return np.diff(total), ids, back
+
+
 class Codec:
     """Encoder and decoder of one worker."""
 
@@ -84,7 +135,7 @@ class Codec:
         self._register("v", id=pa.array(self.bytes_of, pa.int32()), h=pa.array([t.hex() for t in self.bytes_of.values()]))
         self.con.execute("CREATE TABLE vocab AS SELECT id, h FROM v")
         self.con.unregister("m"), self.con.unregister("v")
-        self.pieces: dict[str, tuple[int, str, bytes]] = {}
+        self.words, self.pieces = Memo(CACHE_WORDS), Memo(CACHE_PIECES)
 
     def _register(self, name: str, **columns: pa.Array) -> None:
         self.con.register(name, pa.table(columns))
@@ -95,27 +146,29 @@ class Codec:
         self.con.unregister("src")
         return out
 
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, str, bytes]]:
-        """(number of ids, ids, decoded bytes) of distinct pre-tokens; one that is in the vocabulary is one token."""
-        out, hard, raws = {}, [], []
+    def encode_words(self, words: list[str]) -> None:
+        """Keep the words, new distinct pre-tokens, encoded; one that is in the vocabulary is one token."""
+        known, hard, raws = [], [], []
         for word in words:
             raw = word.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                out[word] = (1, str(rank), self.bytes_of[rank])
+                known.append((word, 1, str(rank), self.bytes_of[rank]))
             elif len(raw) > LONG_WORD:
                 ids = self._by_heap(raw)
-                out[word] = (len(ids), ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids]))
+                known.append((word, len(ids), ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids])))
             else:
                 hard.append(word)
                 raws.append(raw)
-        for k in range(0, len(hard), QUERY_WORDS):
-            part = raws[k : k + QUERY_WORDS]
-            ends = np.cumsum([0, *map(len, part)], dtype=np.int32)
-            ids = self.byte_ids[np.frombuffer(b"".join(part), np.uint8)]
-            found = self._query(_ENCODE, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)))
-            for w, *x in zip(*(found[c].to_pylist() for c in ("w", "n", "ids", "b")), strict=True):
-                out[hard[k + w]] = tuple(x)
-        return out
+        if known:
+            keys, n, ids, back = zip(*known, strict=True)
+            self.words.add(keys, np.array(n, np.int64), pa.array(ids, pa.large_string()), pa.array(back, pa.large_binary()))
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        for start, end in _query_slices(sizes):
+            ids = self.byte_ids[np.frombuffer(b"".join(raws[start:end]), np.uint8)]
+            ends = np.concatenate([[0], np.cumsum(sizes[start:end])]).astype(np.int32)
+            found = self._query(_ENCODE, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))).combine_chunks()
+            n, ids, back = (found[c].cast(kind).combine_chunks() for c, kind in (("n", pa.int64()), ("ids", pa.large_string()), ("b", pa.large_binary())))
+            self.words.add([hard[start + w] for w in found["w"].to_numpy().tolist()], n.to_numpy(), ids, back)
 
     def _by_heap(self, raw: bytes) -> list[int]:
         """The same contraction order, leftmost minimum rank first, in n log n for long words."""
@@ -152,43 +205,64 @@ class Codec:
                 out[k + w] = b
         return out
 
-    def split(self, text: str) -> list[str]:
-        """Pieces of a text that the pattern splits independently of each other: before every single space, as no match
-        crosses one. A text in which a space stands beside other white space stays one piece."""
-        if not text:
-            return []
-        if _BESIDE_SPACE.search(text):
-            return [text]
-        head, *rest = text.split(" ")
-        return ([head] if head else []) + [" " + x for x in rest]
-
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        if not (new := [p for p in pieces if p not in self.pieces]):
-            return
+    def _split(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct pieces of texts, which the pattern splits independently of each other; all pieces by their place in
+        that list, and their number in each text. A piece begins with every space that stands between characters other
+        than white space, as no match crosses it. Texts with other spaces are split by a look at both sides."""
+        apart = pc.invert(pc.match_substring_regex(texts, _BESIDE_SPACE)).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts.filter(pa.array(apart)), " ")
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[apart] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        codes = lists.flatten().dictionary_encode()
+        # a text's first piece has no space before it
+        keys = codes.indices.to_numpy().astype(np.int64) * 2
+        keys[np.cumsum(sizes[apart]) - sizes[apart]] += 1
+        place = np.full(2 * len(codes.dictionary), -1, np.int64)
+        place[keys] = 0
+        met = np.flatnonzero(place == 0)
+        strings = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
+        distinct = {strings[k >> 1] if k & 1 else " " + strings[k >> 1]: i for i, k in enumerate(met.tolist())}
+        place[met] = np.arange(len(met))
+        parts = [_BETWEEN_SIGNS.split(t) for t in texts.filter(pa.array(~apart)).to_pylist()]
+        others = [distinct.setdefault(p, len(distinct)) for p in chain.from_iterable(parts)]
+        sizes[~apart] = list(map(len, parts))
+        pieces = np.empty(len(keys) + len(others), np.int64)
+        where = np.repeat(apart, sizes)
+        pieces[where], pieces[~where] = place[keys], others
+        return list(distinct), pieces, sizes
+
+    def learn(self, new: list[str]) -> None:
         parts = list(map(self.pattern.findall, new))
-        words = self.encode_words(list(set(chain.from_iterable(parts))))
-        for piece, ws in zip(new, parts, strict=True):
-            if len(ws) == 1:
-                self.pieces[piece] = words[ws[0]]
-            else:
-                n, ids, back = zip(*[words[w] for w in ws], strict=True)
-                self.pieces[piece] = (sum(n), ",".join(ids), b"".join(back))
-
-    def texts(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, bytes]]]:
-        """For each text its pieces' (number of ids, ids, decoded bytes)."""
-        split = [self.split(t or "") for t in texts]
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        self.learn(set(chain.from_iterable(split)))
-        get = self.pieces.__getitem__
-        for ps in split:
-            yield list(map(get, ps))
-
-
-#: A space before or after other white space, or at the end of a text: there the lookahead of the pattern matters.
-_BESIDE_SPACE = re.compile(r" (?=\s|$)|\s(?= )(?<! )|\s\Z")
+        words = list(chain.from_iterable(parts))
+        self.words.trim()
+        if fresh := self.words.new(list(dict.fromkeys(words))):
+            self.encode_words(fresh)
+        places = self.words.places(words, len(words))
+        self.pieces.add(new, *self.words.joined(places, np.fromiter(map(len, parts), np.int64, len(parts))))
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(number of ids, ids, decoded bytes) of each text, the ids joined by commas."""
+        distinct, pieces, sizes = self._split(pc.fill_null(texts.cast(pa.large_string()), ""))
+        self.pieces.trim()
+        if new := self.pieces.new(distinct):
+            self.learn(new)
+        return self.pieces.joined(self.pieces.places(distinct, len(distinct))[pieces], sizes)
+
+
+def _query_slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of words of these lengths that one query takes."""
+    squares, start = np.concatenate([[0], np.cumsum(sizes**2)]), 0
+    while start < len(sizes):
+        end = min(start + QUERY_WORDS, max(start + 1, int(np.searchsorted(squares, squares[start] + QUERY_SQUARES, "right")) - 1))
+        yield start, min(end, len(sizes))
+        start = end
+
+
+#: White space in Python and in `regex`; a space before or after other white space, or white space at the end of a text: there
+#: the lookahead of the pattern matters.
+_WHITE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\pZ]"
+_BESIDE_SPACE = rf" {_WHITE}|{_WHITE} |{_WHITE}\z"
+_BETWEEN_SIGNS = re.compile(r"(?<=\S)(?= \S)")
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -211,7 +285,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for piece in slices(batches, "text", SLICE_BYTES):
-            ids = [[int(i) for x in ps for i in x[1].split(",")] for ps in c.texts(piece.column("text").to_pylist())]
+            ids = [list(map(int, x.split(","))) if x else [] for x in c.texts(piece.column("text"))[1].to_pylist()]
             yield pa.record_batch([piece.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
@@ -241,12 +315,8 @@ def digests(df: DataFrame, id_col: str, text_col: str, path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for piece in slices(batches, "text", SLICE_BYTES):
-            counts, ids, back = [], [], []
-            for ps in c.texts(piece.column("text").to_pylist()):
-                n, i, b = zip(*ps, strict=True) if ps else ((), (), ())
-                counts.append(sum(n))
-                ids.append(hashlib.sha256(",".join(i).encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join(b)).hexdigest())
+            counts, *parts = c.texts(piece.column("text"))
+            ids, back = ([hashlib.sha256(x).hexdigest() for x in part.cast(pa.large_binary()).to_pylist()] for part in parts)
             yield pa.record_batch([piece.column("id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text"))

@@ -55,6 +55,35 @@ def test_bpe_round_trip(spark, tiktoken_encoding):
     assert all(r.bytes == (ODD[r.doc_id] or "").encode() for r in bpe.decode(encoded, "doc_id", "ids").collect())
 
 
+def test_bpe_encodes_a_word_once(documents, tiktoken_encoding, monkeypatch):
+    """A word that comes in other pieces of a later slice is not encoded again, and long words share fewer queries."""
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    codec, asked = bpe.Codec(P.path(bpe.VOCABULARY), P.PATTERN), []
+    query = codec._query
+    monkeypatch.setattr(codec, "_query", lambda sql, lists: asked.append(lists) or query(sql, lists))
+
+    def encoded(texts):
+        n, ids, back = codec.texts(pa.array(texts, pa.string()))
+        assert ids.to_pylist() == [",".join(map(str, tiktoken_encoding.encode_ordinary(t or ""))) for t in texts]
+        assert [len(i.split(",")) if i else 0 for i in ids.to_pylist()] == n.tolist()
+        assert back.to_pylist() == [(t or "").encode() for t in texts]
+
+    encoded(["xqzjk wvvqx", None, " xqzjk", "a  b"])
+    assert sum(map(len, asked)) == 3
+    encoded(["o wvvqx, wvvqx.", " xqzjk!  xqzjk", "xqzjk-"])
+    assert sum(map(len, asked)) == 3
+    monkeypatch.setattr(bpe, "QUERY_SQUARES", 1000)
+    asked.clear()
+    encoded([" ".join("qx" * 10 + chr(97 + i) for i in range(20))])
+    assert max(map(len, asked)) == 2 and sum(map(len, asked)) == 20
+    for most in (0, 50, 1000):
+        codec.words, codec.pieces = bpe.Memo(most), bpe.Memo(most)
+        for k in range(0, 60, 20):
+            encoded([t for _, t in documents[k : k + 20]] + ODD[:5])
+
+
 def test_token_counts(spark, sf, documents):
     import public_tokenizers as P
     from tokenizers import Tokenizer
