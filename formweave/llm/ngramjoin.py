@@ -39,6 +39,8 @@ HEAVY, HEAVY_SLICE, HEAVY_LEAST = 1 << 18, 20_000, 4
 MOST_MATCHES = 256
 #: Classes in a posting list whose members are paired directly; those of longer lists meet on their differences from its centre.
 SHORT_LIST = 16
+#: Bytes of text whose words are held at once.
+WORK_BYTES = 2 << 20
 #: Bits of the map that says which texts a join needs: 8 MB when broadcast.
 FILTER_BITS = 1 << 26
 #: Estimated costs of reading a posting, and of verifying a candidate: at least, and a shingle.
@@ -53,10 +55,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array | list[bytes | None], k: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text. Words are runs between ASCII white space, A-Z lower-cased."""
+    """The sorted distinct shingle hashes of each text. Words are runs between ASCII white space, A-Z lower-cased. What is
+    made on the way, some ten times the text, is that of WORK_BYTES of text at once, or of one longer text."""
+    rows = pa.record_batch([pa.array(texts, pa.binary())], ["text"])
+    return [s for piece in slices([rows], "text", WORK_BYTES) for s in _shingle_sets(piece.column("text"), k)]
+
+
+def _shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     import xxhash
 
-    lowered = pc.ascii_lower(pc.fill_null(pa.array(texts, pa.binary()), b"").view(pa.string()))
+    lowered = pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string()))
     lists = pc.ascii_split_whitespace(lowered)
     ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     words = lists.flatten()
@@ -189,25 +197,6 @@ def _fits(a: str, b: str, percent: int) -> str:
     return " AND ".join([sizes, *early])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes those whose sets are similar enough, by exact sizes."""
-
-    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        known: dict[int, bytes] = {}
-        for side in "ab":
-            known.update(zip(piece.column(side).to_pylist(), piece.column(f"text_{side}").to_pylist(), strict=True))
-        sets = dict(zip(known, shingle_sets(list(known.values()), k), strict=True))
-        keep = []
-        for a, b in zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), strict=True):
-            x, y = sets[a], sets[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        return piece.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = (texts.select(F.col("sig").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-    return arrow_map(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), work, "a long, b long", "text_b")
-
-
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """`pairs` (a, b, ...) with the texts of both."""
     left, right = (texts.select(F.col("sig").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")

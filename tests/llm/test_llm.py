@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from formweave.llm import bpe, decontam, htmltext, linededup, ngramjoin, quality, sharding, tokencount, toxicity, warc
-from formweave.llm.common import table
+from formweave.llm.common import BATCH_ROWS, table, written
 from formweave.llm.components import connected_components, merge_components
 
 ODD = [None, "", " ", "  a", "a  b \n c", "a \n", "x " * 300, "\x1c a\x1cb  c", "é́  x y", "a" * 3000 + " " + "é" * 200, "it's  don't 'll", " \n\n", "<|endoftext|> hi<|startoftext|>", "日本語 テキスト 12 ½²", "\r\n a", "\u0085x", "👍🏽 ok  👍", " 's", "a b c d e f g h i j k l m n"]
@@ -55,6 +55,21 @@ def test_bpe_round_trip(spark, tiktoken_encoding):
     assert all(r.bytes == (ODD[r.doc_id] or "").encode() for r in bpe.decode(encoded, "doc_id", "ids").collect())
 
 
+def test_shingling_holds_little(spark, monkeypatch):
+    """Words are held for a bounded part of the texts at once, and written tables send short batches, with the same sets."""
+    texts = [b"a b c d e", None, b"", b"x" * 300, b"q r s t q r s t", b"m n"] * 20
+    whole, seen = ngramjoin.shingle_sets(texts), []
+    work = ngramjoin._shingle_sets
+    monkeypatch.setattr(ngramjoin, "WORK_BYTES", 100)
+    monkeypatch.setattr(ngramjoin, "_shingle_sets", lambda t, k: seen.append(sum(len(x or b"") for x in t.to_pylist())) or work(t, k))
+    assert all((a == b).all() for a, b in zip(ngramjoin.shingle_sets(texts), whole, strict=True)) and max(seen) == 300 and len(seen) >= 20
+
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = spark.range(2 * BATCH_ROWS, numPartitions=1).mapInArrow(lambda batches: (b.from_pydict({"id": [len(b)]}) for b in batches), "id long")
+    assert max(r.id for r in written(sizes, "sizes").collect()) == BATCH_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == own
+
+
 def test_bpe_encodes_a_word_once(documents, tiktoken_encoding, monkeypatch):
     """A word that comes in other pieces of a later slice is not encoded again, and long words share fewer queries."""
     import public_tokenizers as P
