@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formweave.llm.common import arrow_map, forget, slices, table, written
+from formweave.llm.common import arrow_map, forget, sifted, slices, table, written
 from formweave.llm.components import connected_components
 
 WORDS, PERCENT = 4, 85
@@ -41,8 +41,6 @@ MOST_MATCHES = 256
 SHORT_LIST = 16
 #: Bytes of text whose words are held at once.
 WORK_BYTES = 2 << 20
-#: Bits of the map that says which texts a join needs: 8 MB when broadcast.
-FILTER_BITS = 1 << 26
 #: Estimated costs of reading a posting, and of verifying a candidate: at least, and a shingle.
 READ_COST, VERIFY_COST, VERIFY_SHINGLE = 1.0, 20.0, 0.05
 _MIX1, _MIX2, _BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -255,7 +253,7 @@ def _differences(members: DataFrame, k: int, percent: int, heavy) -> DataFrame:
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    return written(connected_components(edges), "components").select("node", F.col("component").alias("c"))
+    return written(connected_components(edges), "components", rows=2 * edges.count()).select("node", F.col("component").alias("c"))
 
 
 def _in_component(rows: DataFrame, components: DataFrame, node: str, c: str) -> DataFrame:
@@ -320,15 +318,10 @@ def link_classes(src: DataFrame, classes: DataFrame, k: int, percent: int, heavy
 
 
 def _texts(src: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sig, text) of the classes of `pairs` (a, b), as a written table. A bitmap of FILTER_BITS bits at most, which is
-    broadcast, keeps most other texts from the shuffle; where it is full it only keeps out fewer."""
+    """(sig, text) of the classes of `pairs` (a, b), as a written table; most other texts are kept from the shuffle."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    chosen = written(classes.join(wanted, "sig"), "chosen")
-    bit = F.pmod("mark", F.lit(FILTER_BITS))
-    bitmap = chosen.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    named = src.withColumns({"bucket": F.bitmap_bucket_number(bit), "bit": F.bitmap_bit_position(bit)})
-    is_set = F.expr("(CAST(conv(hex(substring(bits, CAST(bit DIV 8 AS INT) + 1, 1)), 16, 10) AS INT) >> CAST(bit % 8 AS INT)) & 1 = 1")
-    maybe = named.join(F.broadcast(bitmap), "bucket").where(is_set).select("id", "mark", "text")
+    chosen = written(classes.join(wanted, "sig"), "chosen", rows=2 * pairs.count())
+    maybe = sifted(src, "mark", chosen).select("id", "mark", "text")
     return written(maybe.join(chosen, ["id", "mark"]).dropDuplicates(["sig"]).select("sig", "text"), "texts")
 
 

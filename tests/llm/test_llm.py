@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from formweave.llm import bpe, decontam, htmltext, linededup, ngramjoin, quality, sharding, tokencount, toxicity, warc
+from formweave.llm import bpe, common, components, decontam, htmltext, linededup, ngramjoin, quality, sharding, tokencount, toxicity, warc
 from formweave.llm.common import BATCH_ROWS, table, written
 from formweave.llm.components import connected_components, merge_components
 
@@ -191,6 +191,30 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7}
 
 
+def test_rounds_of_components_take_the_files_that_their_edges_need(spark, monkeypatch):
+    files, forget = [], components.forget
+    monkeypatch.setattr(components, "forget", lambda t: (files.append(len(t.inputFiles())), forget(t)))
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.node: r.component for r in connected_components(spark.range(200).selectExpr("id AS a", "id + 1 AS b")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == dict.fromkeys(range(201), 0) and set(files) == {1}
+    assert len(common.written(spark.range(0, 5 * common.FILE_ROWS, 1, 12), "many", rows=5 * common.FILE_ROWS).inputFiles()) == 5
+
+
+def test_sifted_keeps_what_is_wanted(spark, monkeypatch):
+    wanted = spark.createDataFrame([(-(2**63),), (-1,), (7,), (2**63 - 1,)], "k long")
+    rows = spark.createDataFrame([(-(2**63), "a"), (-1, "b"), (7, "c"), (7, "c"), (8, "d"), (2**63 - 1, "e"), (None, "f")], "key long, x string")
+    assert sorted(r.x for r in common.sifted(rows, "key", wanted.toDF("key")).collect()) == ["a", "b", "c", "c", "e"]
+    monkeypatch.setattr(common, "FILTER_BITS", 8)
+    assert {"a", "b", "c", "e"} <= {r.x for r in common.sifted(rows, "key", wanted.toDF("key")).collect()}
+
+
 def test_quality_edges(spark):
     good = "Plain words of a line here.\n" * 1 + " ".join(f"word{k}" for k in range(60)) + "."
     junk = "\n".join(" | ".join(f"a{k}{j}" for k in range(20)) for j in range(6))
