@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formweave.llm.common import forget, table, written
+from formweave.llm.common import forget, sifted, table, written
 from formweave.llm.components import connected_components, merge_components
 
 MIN_CHARS, SHINGLE, BOTTOM, SKETCH, SIMILAR = 6, 12, 4, 16, 0.8
@@ -62,8 +62,8 @@ def _hashes(line: str) -> Column:
     """The hash of each shingle: in UTF-32 every character has four bytes, so a position is found without a scan."""
 
     def cut(u: Column) -> Column:
-        last = F.greatest((F.length(u) / 4).cast("int") - SHINGLE, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(u, i * 4 + 1, F.lit(4 * SHINGLE))))
+        last = F.greatest(F.length(u) - 4 * SHINGLE, F.lit(0)) + 1
+        return F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda i: F.xxhash64(F.substring(u, i, F.lit(4 * SHINGLE))))
 
     return _let(F.encode(line, "UTF-32"), cut)
 
@@ -87,11 +87,19 @@ def _least(line: str, count: int = BOTTOM) -> Column:
     return _let(_hashes(line), of)
 
 
+def _signatures(lines: DataFrame) -> DataFrame:
+    """(line_id, m0, m1, ...): the BOTTOM least distinct hashes, null where a line has fewer; each is taken out before the next. The
+    steps stand outside functions of elements, which are interpreted."""
+    signed = lines.select("line_id", _hashes("line").alias("hashes"))
+    for k in range(BOTTOM):
+        signed = signed.withColumn(f"m{k}", F.array_min("hashes")).withColumn("hashes", F.array_remove("hashes", F.col(f"m{k}")))
+    return signed.drop("hashes").distinct()
+
+
 def _bands(lines: DataFrame) -> DataFrame:
     """(key, line_id): a line's band keys, of distinct lines."""
     least = [f"m{k}" for k in range(BOTTOM)]
-    bottom = lines.select("line_id", _least("line").alias("s"))
-    signatures = bottom.select("line_id", *(F.get("s", F.lit(k)).alias(m) for k, m in enumerate(least))).distinct()
+    signatures = _signatures(lines)
     pairs = [F.when(F.col(b).isNotNull(), F.xxhash64(a, b)) for i, a in enumerate(least) for b in least[i + 1 :]]
     alone = F.when(F.col(least[1]).isNull(), F.xxhash64(least[0], F.lit("alone")))
     return signatures.select("line_id", F.explode(F.array_compact(F.array(*pairs, alone))).alias("key"))
@@ -212,7 +220,7 @@ def line_components(lines: DataFrame) -> DataFrame:
     weights = bands.groupBy("line_id").agg(F.sum("n").alias("w"))
     bands = written(bands.drop("n").join(weights, "line_id"), "bands")
     wanted = bands.select("line_id").distinct()
-    chosen = lines.select("line_id", "line").join(wanted, "line_id", "left_semi")
+    chosen = sifted(lines.select("line_id", "line"), "line_id", wanted).join(wanted, "line_id")  # a semi-join would be moved before it
     texts = written(chosen.groupBy("line_id").agg(F.min("line").alias("line")).withColumn("sketch", _least("line", SKETCH)), "lines")
     found = connected_components(written(_similar(_candidates(bands), texts), "edges"))
     near, rows = _left_over(bands, texts, _named(found))

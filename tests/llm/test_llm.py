@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from formweave.llm import bpe, common, components, decontam, htmltext, linededup, ngramjoin, quality, sharding, tokencount, toxicity, warc
 from formweave.llm.common import BATCH_ROWS, table, written
@@ -312,6 +313,25 @@ def test_line_dedup_shingles_of_every_position(spark):
         assert r.m == sorted(r.s)[: linededup.BOTTOM]
 
 
+def test_line_dedup_hashes_are_the_least_distinct_ones(spark):
+    lines = ["short", "twelve chars", "=" * 90, "ab" * 70, "a line of some thirty characters", "\u4e2d\U00020000" * 30, " ".join(f"word{i}" for i in range(60))]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_id long, line string")
+    want = {r.line_id: sorted(set(r.h)) for r in df.select("line_id", linededup._hashes("line").alias("h")).collect()}
+    parts = df.selectExpr("line_id", "explode(sequence(1, greatest(char_length(line) - 11, 1))) AS i", "line").selectExpr("line_id", "xxhash64(encode(substring(line, i, 12), 'UTF-32')) AS h")
+    assert want == {r.line_id: sorted(r.h) for r in parts.groupBy("line_id").agg(F.collect_set("h").alias("h")).collect()}
+    assert {r.line_id: [m for m in r[1:] if m is not None] for r in linededup._signatures(df).collect()} == {k: v[: linededup.BOTTOM] for k, v in want.items()}
+    assert {r.line_id: r.sketch for r in df.select("line_id", linededup._least("line", linededup.SKETCH).alias("sketch")).collect()} == {k: v[: linededup.SKETCH] for k, v in want.items()}
+
+
+def test_line_dedup_reads_few_lines_again(spark, monkeypatch):
+    seen, sifted = [], linededup.sifted
+    monkeypatch.setattr(linededup, "sifted", lambda *a: seen.append((out := written(sifted(*a), "sifted")).count()) or out)
+    texts = [hashlib.sha256(b"%d" % i).hexdigest() for i in range(300)] + ["this line comes back with a few more words, changed a little " + x for x in ("here", "there")]
+    lines = linededup._lines(spark.createDataFrame([(i, i, x) for i, x in enumerate(texts)], "id long, mark long, text string"))
+    assert linededup.line_components(lines).count() == 2
+    assert len(seen) == 1 and 2 <= seen[0] < 100
+
+
 def test_line_dedup_in_bands_of_a_template(spark):
     """Lines that share most of a template are not similar, but each has a twin: every twin is found."""
     own = ["".join(hashlib.sha256(f"{k} {j}".encode()).hexdigest() for j in range(2))[:100] for k in range(400)]
