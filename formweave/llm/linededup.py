@@ -10,7 +10,8 @@ hashes agree in half are verified by the exact Jaccard similarity of their whole
 distributed union-find. Of bands that still hold several components, those of up to SHORT_BAND lines are then paired in
 full; the lines of longer ones meet on rare parts of their differences from the band's first line, which no similar pair
 escapes: first each with the plainest line of its list, then those of different components, so that pairs do not grow with
-the square of a band. Of every component the first occurrence stays, by id, then row, then
+the square of a band. Before that, lines of long bands whose sketches agree in half meet on the rarest hashes of these: lists of up
+to SHORT_LIST lines are paired in full, and only lines of longer lists are cut into differences. Of every component the first occurrence stays, by id, then row, then
 position; the others are removed.
 
 Lines count once however often they occur: repeated ones are combined before each shuffle. Lines are known by 64-bit
@@ -31,8 +32,11 @@ from formweave.llm.common import forget, sifted, table, written
 from formweave.llm.components import connected_components, merge_components
 
 MIN_CHARS, SHINGLE, BOTTOM, SKETCH, SIMILAR = 6, 12, 4, 16, 0.8
-#: Lines in a band that are paired in full; those of longer bands meet on their differences.
+LEAST = [f"m{k}" for k in range(BOTTOM)]
+#: Lines in a band that are paired in full; those of longer bands meet on hashes of their sketches.
 SHORT_BAND = 8
+#: Lines with a hash of their sketches in common that are paired in full; those of longer lists meet on their differences.
+SHORT_LIST = 32
 #: Scripts whose words or syllables take a character or two: Thai, Lao, Tibetan, Myanmar, Khmer, the East Asian ones.
 _DENSE = r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\ud7ff\uf900-\ufaff\uff66-\uffdc\x{20000}-\x{3ffff}]"
 #: The shingles as a pattern; the operator cuts them by position, which costs half as much.
@@ -73,35 +77,32 @@ def _shingles(line: str) -> Column:
 
 
 def _least(line: str, count: int = BOTTOM) -> Column:
-    """The least distinct hashes in order: those under a bound where enough are, else of all."""
-    few = 4 * count
+    """The least distinct hashes in order."""
+    return _lowest(_shingles(line), count)
 
-    def least(s: Column) -> Column:
-        return F.slice(F.sort_array(F.array_distinct(s)), 1, count)
 
-    def of(s: Column) -> Column:
-        bound = (F.lit(-(2.0**63)) + F.lit(2.0**64 * few) / F.size(s)).cast("long")
-        low = F.when(F.size(s) > 2 * few, least(F.filter(s, lambda x: x < bound)))
-        return _let(low, lambda f: F.when(F.size(f) == count, f).otherwise(least(s)))
+def _lowest(hashes: str | Column, count: int) -> Column:
+    return F.slice(F.sort_array(hashes), 1, count)
 
-    return _let(_hashes(line), of)
+
+def _signed(lines: DataFrame) -> DataFrame:
+    """`lines` with m0, m1, ... for the line: its BOTTOM least distinct hashes, null where it has fewer; each is taken out before the
+    next. The steps stand outside functions of elements, which are interpreted."""
+    signed = lines.withColumn("hashes", _hashes("line")).drop("line")
+    for m in LEAST:
+        signed = signed.withColumn(m, F.array_min("hashes")).withColumn("hashes", F.array_remove("hashes", F.col(m)))
+    return signed.drop("hashes")
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """(line_id, m0, m1, ...): the BOTTOM least distinct hashes, null where a line has fewer; each is taken out before the next. The
-    steps stand outside functions of elements, which are interpreted."""
-    signed = lines.select("line_id", _hashes("line").alias("hashes"))
-    for k in range(BOTTOM):
-        signed = signed.withColumn(f"m{k}", F.array_min("hashes")).withColumn("hashes", F.array_remove("hashes", F.col(f"m{k}")))
-    return signed.drop("hashes").distinct()
-
-
-def _bands(lines: DataFrame) -> DataFrame:
-    """(key, line_id): a line's band keys, of distinct lines."""
-    least = [f"m{k}" for k in range(BOTTOM)]
-    signatures = _signatures(lines)
-    pairs = [F.when(F.col(b).isNotNull(), F.xxhash64(a, b)) for i, a in enumerate(least) for b in least[i + 1 :]]
-    alone = F.when(F.col(least[1]).isNull(), F.xxhash64(least[0], F.lit("alone")))
+    """(line_id, m0, m1, ...) of distinct lines."""
+    return _signed(lines.select("line_id", "line")).distinct()
+
+
+def _bands(signatures: DataFrame) -> DataFrame:
+    """(key, line_id): a line's band keys, of the signatures of distinct lines."""
+    pairs = [F.when(F.col(b).isNotNull(), F.xxhash64(a, b)) for i, a in enumerate(LEAST) for b in LEAST[i + 1 :]]
+    alone = F.when(F.col(LEAST[1]).isNull(), F.xxhash64(LEAST[0], F.lit("alone")))
     return signatures.select("line_id", F.explode(F.array_compact(F.array(*pairs, alone))).alias("key"))
 
 
@@ -113,30 +114,53 @@ def _candidates(bands: DataFrame) -> DataFrame:
     return pairs.select(F.least("o", "line_id").alias("a"), F.greatest("o", "line_id").alias("b")).distinct()
 
 
-def _agree() -> Column:
-    """Whether half of the least hashes of two lines taken together are in both sketches."""
+def _alike() -> Column:
+    """Whether lines of n_a and n_b shingles can be similar, and half of the least hashes of both taken together are in both sketches."""
     a, b = F.col("sketch_a"), F.col("sketch_b")
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return 2 * F.size(F.array_intersect(F.array_intersect(a, b), union)) >= F.size(union)
+    both = F.array_intersect(a, b)
+    union = F.least(F.size(a) + F.size(b) - F.size(both), F.lit(SKETCH))
+    agree = 2 * F.size(F.array_intersect(both, _lowest(F.array_union(a, b), SKETCH))) >= union
+    return _fits() & agree
+
+
+def _fits() -> Column:
+    return F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b") - TINY
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar; the sets are made from the lines here, they are eight times as long."""
+    """The pairs whose full sets are similar; the sets are made from the lines here, they are eight times as long. The verdict is
+    exploded so that the optimizer can't move it, with the sets inlined in each place, into a filter."""
     a, b = (texts.select(*(F.col(c).alias(f"{c}_{s}") for c in texts.columns)).withColumnRenamed(f"line_id_{s}", s) for s in "ab")
-    similar = _let(
-        F.struct(_shingles("line_a").alias("sa"), _shingles("line_b").alias("sb")),
-        lambda x: _let(F.size(F.array_intersect(x.sa, x.sb)), lambda both: both >= SIMILAR * (F.size(x.sa) + F.size(x.sb) - both)),
-    )
-    return pairs.join(b, "b").join(a, "a").where(F.when(_agree(), similar)).select("a", "b")
+    sets = pairs.join(b, "b").join(a, "a").where(_alike()).select("a", "b", "n_a", "n_b", _shingles("line_a").alias("sa"), _shingles("line_b").alias("sb"))
+    sizes = sets.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    verdict = F.explode(F.array(F.col("both") >= SIMILAR * (F.col("n") - F.col("both"))))
+    return sizes.select("a", "b", verdict.alias("similar")).where("similar").select("a", "b")
+
+
+def _met(live: DataFrame, texts: DataFrame) -> DataFrame:
+    """(token, x, c, n, k) of lines (line_id, c): the hashes of its sketch on which a line meets those of other components,
+    k rows each.
+
+    Sketches that agree in half share half of either, so they share one of the rarest hashes of each, as many as half of it
+    and one more. Rare is what few lines have; what only lines of a single component have comes first and meets nothing."""
+    lines = live.select("line_id", "c").distinct().join(texts.select("line_id", "n", "sketch"), "line_id").withColumnRenamed("line_id", "x")
+    each = lines.select("x", "c", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("token"))
+    across = [F.count(F.lit(1)).alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")]
+    shared = each.groupBy("token").agg(*across).where("lo <> hi").select("token", "k")
+    ordered = each.join(shared, "token").groupBy("x", "c", "n", "size").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("s"))
+    own = F.col("size") - F.size("s")
+    first = F.slice("s", F.lit(1), F.greatest(F.floor(F.col("size") / 2).cast("int") + 1 - own, F.lit(0)))
+    rows = written(ordered.select("x", "c", "n", F.explode(first).alias("e")).select("x", "c", "n", F.col("e.token").alias("token")), "met")
+    return rows.join(rows.groupBy("token").agg(*across).where("lo <> hi").select("token", "k"), "token")
 
 
 def _differences(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(p, x, c, n, d, linked, tokens) of members (p, x, c): what only one of x and its centre p has, n shingles of x, d
     of the difference; `linked` where the two are similar."""
     x, p = (texts.select(F.col("line_id").alias(s), F.col("line").alias(f"line_{s}")) for s in "xp")
-    sets = F.struct(_shingles("line_x").alias("sx"), _shingles("line_p").alias("sp"))
-    apart = _let(sets, lambda s: F.struct(F.size(s.sx).alias("n"), F.size(s.sp).alias("np"), F.concat(F.array_except(s.sx, s.sp), F.array_except(s.sp, s.sx)).alias("tokens")))
-    found = members.join(x, "x").join(p, "p").select("p", "x", "c", apart.alias("s")).select("p", "x", "c", "s.n", "s.np", "s.tokens")
+    sets = members.join(x, "x").join(p, "p").select("p", "x", "c", _shingles("line_x").alias("sx"), _shingles("line_p").alias("sp"))
+    tokens = F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx"))
+    found = sets.select("p", "x", "c", F.size("sx").alias("n"), F.size("sp").alias("np"), tokens.alias("tokens"))
     d = F.size("tokens")
     return found.select("p", "x", "c", "n", d.alias("d"), (d <= APART * (F.col("n") + F.col("np")) + TINY).alias("linked"), "tokens")
 
@@ -197,35 +221,43 @@ def _differing(rows: DataFrame, components: DataFrame) -> DataFrame:
     return met(first.where("stray"), named).unionByName(met(first.where("NOT stray"), named.where("stray"))).distinct()
 
 
-def _left_over(bands: DataFrame, texts: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The similar pairs (a, b) of different components in short bands, with the centres of long ones and with the heads of
-    their lists; and the prefixes of the members of long bands."""
+def _left_over(bands: DataFrame, texts: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The similar pairs (a, b) of different components in short bands, in short lists of a hash of the sketches, with the centres of
+    long bands and with the heads of the lists of their differences; the prefixes of the members of long bands and lists;
+    and the texts of the lines in question."""
     named = bands.join(components, "line_id", "left").withColumn("c", F.coalesce("c", "line_id"))
     several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("line_id", F.struct("w", F.bitwise_not("line_id"))).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 3 AND lo <> hi").select("key", "n", "p")
     live = written(named.join(several, "key"), "bands")
+    texts = written(texts.join(live.select("line_id").distinct(), "line_id"), "lines")
     x, y = (live.where(F.col("n") <= SHORT_BAND).alias(s) for s in "xy")
     short = x.join(y, F.expr("x.key = y.key AND x.c <> y.c AND x.line_id < y.line_id")).select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b"))
-    members = live.where((F.col("n") > SHORT_BAND) & (F.col("p") != F.col("line_id"))).select("p", F.col("line_id").alias("x"), "c").distinct()
+    long = live.where(F.col("n") > SHORT_BAND)
+    met = written(_met(long, texts), "met")
+    u, v = (met.where(F.col("k") <= SHORT_LIST).select("token", *(F.col(c).alias(f"{c}_{s}") for c in "xcn")) for s in "ab")
+    listed = u.join(v, "token").where((F.col("c_a") != F.col("c_b")) & (F.col("x_a") < F.col("x_b")) & _fits()).select(F.col("x_a").alias("a"), F.col("x_b").alias("b"))
+    members = long.where("p <> line_id").select("p", F.col("line_id").alias("x"), "c").distinct().join(met.where(F.col("k") > SHORT_LIST).select("x").distinct(), "x")
     found = written(_differences(members, texts), "differences")
     linked = found.where("linked").select(*_pair("p", "x"))
     rows = written(_prefixes(found), "prefixes")
-    return _similar(short.unionByName(_starred(rows)).distinct(), texts).unionByName(linked), rows
+    pairs = short.unionByName(listed).unionByName(_starred(rows)).distinct()
+    return _similar(pairs, texts).unionByName(linked), rows, texts
 
 
-def line_components(lines: DataFrame) -> DataFrame:
-    """(line_id, component) of distinct lines that have a similar one."""
+def line_components(lines: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
+    """(line_id, component) of distinct lines that have a similar one; `signatures` of them, if they have been made."""
     w = Window.partitionBy("key")
-    bands = written(_bands(lines).withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1"), "bands")
+    bands = written(_bands(_signatures(lines) if signatures is None else signatures).withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1"), "bands")
     # the line whose bands hold the most is the first of its bands: what is similar in a group is mostly similar to it
     weights = bands.groupBy("line_id").agg(F.sum("n").alias("w"))
     bands = written(bands.drop("n").join(weights, "line_id"), "bands")
     wanted = bands.select("line_id").distinct()
     chosen = sifted(lines.select("line_id", "line"), "line_id", wanted).join(wanted, "line_id")  # a semi-join would be moved before it
-    texts = written(chosen.groupBy("line_id").agg(F.min("line").alias("line")).withColumn("sketch", _least("line", SKETCH)), "lines")
+    texts = chosen.groupBy("line_id").agg(F.min("line").alias("line")).withColumn("shingles", _shingles("line"))
+    texts = written(texts.select("line_id", "line", F.size("shingles").alias("n"), _lowest("shingles", SKETCH).alias("sketch")), "lines")
     found = connected_components(written(_similar(_candidates(bands), texts), "edges"))
-    near, rows = _left_over(bands, texts, _named(found))
+    near, rows, few = _left_over(bands, texts, _named(found))
     found = written(merge_components(found, written(near, "edges")), "components")
-    rest = written(_similar(_differing(rows, _named(found)), texts), "edges")
+    rest = written(_similar(_differing(rows, _named(found)), few), "edges")
     if not rest.isEmpty():
         found = merge_components(found, rest)
     for t in (bands, texts):
@@ -241,8 +273,9 @@ def removals(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, mark, gone): for every document that loses lines their positions; `mark` is the hash of its text."""
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     lines = _lines(src)
-    components = written(line_components(lines), "components")
-    occurrences = written(lines.select("id", "mark", "pos", "line_id").join(components, "line_id", "left").withColumn("c", F.coalesce("component", "line_id")).drop("component", "line_id"), "places")
+    signed = written(_signed(lines), "signed")
+    components = written(line_components(lines, signed.select("line_id", *LEAST).distinct()), "components")
+    occurrences = signed.select("id", "mark", "pos", "line_id").join(components, "line_id", "left").withColumn("c", F.coalesce("component", "line_id")).drop("component", "line_id")
     heads = occurrences.groupBy("c").agg(F.min(F.struct("id", "mark", "pos")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("c", "head")
     gone = occurrences.join(heads, "c").where(F.struct("id", "mark", "pos") != F.col("head"))
     return gone.groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))

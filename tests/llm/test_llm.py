@@ -353,6 +353,20 @@ def test_line_dedup_of_groups_away_from_the_centre(spark):
     assert removed_lines(spark, lines) == [g in groups[:k] for k, g in enumerate(groups)]
 
 
+def test_line_dedup_of_loosely_similar_lines(spark, monkeypatch):
+    """A family of lines that are half similar to its first is paired, not cut into differences; its pairs of twins are found."""
+    seen, differences = [], linededup._differences
+    monkeypatch.setattr(linededup, "_differences", lambda members, texts: seen.append(members.count()) or differences(members, texts))
+    pick = random.Random(3)
+    words = [f"word{j * j}" for j in range(60)]
+    own = [[w if pick.random() > 0.1 else f"o{k}x{j}" for j, w in enumerate(words)] for k in range(14)]
+    lines = [" ".join(words)] + [" ".join(x) for x in own] + [" ".join(x) + "!" for x in own]
+    groups = line_groups(lines)
+    assert len(set(groups)) > 8
+    assert removed_lines(spark, lines) == [g in groups[:k] for k, g in enumerate(groups)]
+    assert seen == [0]
+
+
 def test_merged_components(spark):
     found = spark.createDataFrame([(1, 1), (2, 1), (7, 7), (8, 7), (20, 20), (21, 20)], "node long, component long")
     merged = merge_components(found, spark.createDataFrame([(2, 8), (8, 30), (40, 41), (1, 2)], "a long, b long"))
