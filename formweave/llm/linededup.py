@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formweave.llm.common import forget, sifted, table, written
+from formweave.llm.common import among, forget, sifted, sifted_out, table, written
 from formweave.llm.components import connected_components, merge_components
 
 MIN_CHARS, SHINGLE, BOTTOM, SKETCH, SIMILAR = 6, 12, 4, 16, 0.8
@@ -128,10 +128,10 @@ def _fits() -> Column:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar; the sets are made from the lines here, they are eight times as long. The verdict is
-    exploded so that the optimizer can't move it, with the sets inlined in each place, into a filter."""
+    """The pairs whose full sets are similar; the hashes are made from the lines here, they are eight times as long, and the
+    intersection makes sets of them. The verdict is exploded so that the optimizer can't move it, with the sets inlined in each place, into a filter."""
     a, b = (texts.select(*(F.col(c).alias(f"{c}_{s}") for c in texts.columns)).withColumnRenamed(f"line_id_{s}", s) for s in "ab")
-    sets = pairs.join(b, "b").join(a, "a").where(_alike()).select("a", "b", "n_a", "n_b", _shingles("line_a").alias("sa"), _shingles("line_b").alias("sb"))
+    sets = pairs.join(b, "b").join(a, "a").where(_alike()).select("a", "b", "n_a", "n_b", _hashes("line_a").alias("sa"), _hashes("line_b").alias("sb"))
     sizes = sets.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     verdict = F.explode(F.array(F.col("both") >= SIMILAR * (F.col("n") - F.col("both"))))
     return sizes.select("a", "b", verdict.alias("similar")).where("similar").select("a", "b")
@@ -228,7 +228,7 @@ def _left_over(bands: DataFrame, texts: DataFrame, components: DataFrame) -> tup
     named = bands.join(components, "line_id", "left").withColumn("c", F.coalesce("c", "line_id"))
     several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("line_id", F.struct("w", F.bitwise_not("line_id"))).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 3 AND lo <> hi").select("key", "n", "p")
     live = written(named.join(several, "key"), "bands")
-    texts = written(texts.join(live.select("line_id").distinct(), "line_id"), "lines")
+    texts = written(among(texts, "line_id", live.select("line_id")), "lines")
     x, y = (live.where(F.col("n") <= SHORT_BAND).alias(s) for s in "xy")
     short = x.join(y, F.expr("x.key = y.key AND x.c <> y.c AND x.line_id < y.line_id")).select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b"))
     long = live.where(F.col("n") > SHORT_BAND)
@@ -275,15 +275,27 @@ def removals(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = _lines(src)
     signed = written(_signed(lines), "signed")
     components = written(line_components(lines, signed.select("line_id", *LEAST).distinct()), "components")
-    occurrences = signed.select("id", "mark", "pos", "line_id").join(components, "line_id", "left").withColumn("c", F.coalesce("component", "line_id")).drop("component", "line_id")
+    # a line that comes once and has no similar one stays, and need not meet any other
+    repeated = signed.groupBy("line_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line_id")
+    wanted = written(repeated.unionByName(components.select("line_id")), "wanted")
+    occurrences = among(signed.select("id", "mark", "pos", "line_id"), "line_id", wanted).join(components, "line_id", "left")
+    occurrences = written(occurrences.select("id", "mark", "pos", F.coalesce("component", "line_id").alias("c")), "occurrences")
+    for t in (signed, components, wanted):
+        forget(t)
     heads = occurrences.groupBy("c").agg(F.min(F.struct("id", "mark", "pos")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("c", "head")
     gone = occurrences.join(heads, "c").where(F.struct("id", "mark", "pos") != F.col("head"))
     return gone.groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))
 
 
 def _with_removals(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    gone = removals(df.select(id_col, text_col), id_col, text_col).select(F.col("id").alias("_fw_id"), F.col("mark").alias("_fw_mark"), F.col("gone").alias("_fw_gone"))
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_fw_id")) & (F.xxhash64(text_col) == F.col("_fw_mark")), "left").drop("_fw_id", "_fw_mark")
+    """`df` with _fw_gone, the positions of removed lines or null. Texts that lose nothing are not shuffled."""
+    gone = removals(df.select(id_col, text_col), id_col, text_col)
+    gone = written(gone.select(F.col("id").alias("_fw_id"), F.col("mark").alias("_fw_mark"), F.col("gone").alias("_fw_gone")), "gone")
+    marked, marks = df.withColumn("_fw_own", F.xxhash64(text_col)), gone.select(F.col("_fw_mark").alias("_fw_own"))
+    on = F.col(id_col).eqNullSafe(F.col("_fw_id")) & (F.col("_fw_own") == F.col("_fw_mark"))
+    losing = sifted(marked, "_fw_own", marks).join(gone, on, "left").drop("_fw_id", "_fw_mark")
+    whole = sifted_out(marked, "_fw_own", marks).withColumn("_fw_gone", F.lit(None).cast("array<int>"))
+    return losing.unionByName(whole).drop("_fw_own")
 
 
 def _cleaned(text_col: str) -> Column:

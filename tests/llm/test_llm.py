@@ -332,6 +332,37 @@ def test_line_dedup_reads_few_lines_again(spark, monkeypatch):
     assert len(seen) == 1 and 2 <= seen[0] < 100
 
 
+def test_line_dedup_shuffles_only_what_may_go(spark, monkeypatch):
+    """Lines that come once and have no similar one don't meet the others, nor are texts shuffled that lose nothing."""
+    seen = {}
+
+    def kept(df, label, **more):
+        out = written(df, label, **more)
+        seen[label] = out.count()
+        return out
+
+    def sifted(df, key, wanted):
+        out = common.sifted(df, key, wanted)
+        seen[key] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "written", kept)
+    monkeypatch.setattr(linededup, "sifted", sifted)
+    texts = [hashlib.sha256(b"%d" % i).hexdigest() for i in range(300)] + ["this line comes twice, word by word", "this line comes twice, word by word\nand another", None]
+    rows = spark.createDataFrame([(i, x, i + 0.5) for i, x in enumerate(texts)], "doc_id int, text string, _bucket double")
+    out = {r.doc_id: r for r in linededup.dedup_lines(rows, "doc_id", "text").collect()}
+    assert [out[i].text for i in range(303)] == texts[:301] + ["and another", None] and all(out[i]._bucket == i + 0.5 for i in out)
+    assert seen["occurrences"] == 2 and seen["gone"] == 1 and 1 <= seen["_fw_own"] < 10
+
+
+def test_sifted_parts_rows(spark):
+    rows = spark.createDataFrame([(-1, "a"), (7, "b"), (7, "c"), (8, "d"), (None, "e"), (2**62, "f")], "key long, x string")
+    wanted = spark.createDataFrame([(7,), (7,), (2**62,)], "key long")
+    assert sorted(r.x for r in common.sifted(rows, "key", wanted).collect()) == ["b", "c", "f"] == sorted(r.x for r in common.among(rows, "key", wanted).collect())
+    assert sorted(r.x for r in common.sifted_out(rows, "key", wanted).collect()) == ["a", "d", "e"]
+    assert common.sifted_out(rows, "key", wanted.limit(0)).count() == 6
+
+
 def test_line_dedup_in_bands_of_a_template(spark):
     """Lines that share most of a template are not similar, but each has a twin: every twin is found."""
     own = ["".join(hashlib.sha256(f"{k} {j}".encode()).hexdigest() for j in range(2))[:100] for k in range(400)]
