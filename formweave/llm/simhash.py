@@ -17,6 +17,9 @@ row a pair, and exact. Links are joined by a distributed union-find over fingerp
 Fingerprints that hold over 1 / HOT_PARTS of all rows (so fewer than HOT_PARTS of them) are joined back by broadcast, all
 others by a shuffle.
 
+Chains, probes and neighbours are exploded from classes, and Spark takes a table for no larger than what it was exploded from. So they ask
+for merge joins: else the probes of a few hundred thousand classes, 20 million rows, are sent to the driver as a broadcast.
+
 Defined results: null texts and texts without words have fingerprint zero and link like any other; fewer than three words are one
 shingle; rows of one id are each returned; a row with a null id links with nothing and its component is null; extra
 columns are ignored; an empty table gives none.
@@ -91,7 +94,7 @@ def _chain(fp: Column, i: int) -> Column:
 def _chains(classes: DataFrame) -> DataFrame:
     """(key, fp): the chains of each class."""
     keys = F.array(*(_chain(F.col("fp"), i) for i in range(len(SEGMENTS))))
-    return classes.select(F.explode(keys).alias("key"), "fp")
+    return classes.select(F.explode(keys).alias("key"), "fp").hint("merge")
 
 
 def _probes(classes: DataFrame) -> DataFrame:
@@ -101,7 +104,7 @@ def _probes(classes: DataFrame) -> DataFrame:
     for i in range(len(SEGMENTS)):
         chain, bits = _chain(F.col("fp"), i), SEGMENTS[(i + 1) % len(SEGMENTS)][1]
         keys += [chain, *(chain.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(bits))]
-    return classes.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return classes.select(F.explode(F.array(*keys)).alias("key"), "fp").hint("merge")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -111,7 +114,7 @@ def _distance(a: str, b: str) -> Column:
 def _neighbour_links(classes: DataFrame) -> DataFrame:
     """(a, b) of classes (fp): each with the least of those that share a fingerprint within one bit; all are within two."""
     bits = F.array(F.lit(0).cast("long"), *(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)))
-    near = classes.select(F.explode(F.transform(bits, lambda x: x.bitwiseXOR(F.col("fp")))).alias("key"), "fp")
+    near = classes.select(F.explode(F.transform(bits, lambda x: x.bitwiseXOR(F.col("fp")))).alias("key"), "fp").hint("merge")
     least = near.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key", "lo")
     return near.join(least, "key").where("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct()
 

@@ -3,7 +3,7 @@
 import random
 
 from formweave.llm import simhash
-from formweave.llm.common import table
+from formweave.llm.common import table, written
 from formweave.llm.components import connected_components
 
 ODD = [None, "", " \n", "one", "One", "one two", "A b c", "a B C d", "é日 ÀB c d " * 5, "w " * 40_000, "w " * 40_000, "x\x0by\x1cz \x85 q", "a b c"]
@@ -58,3 +58,16 @@ def test_links_of_clusters_equal_all_pairs(spark):
     assert groups(signed, rows) == want
     linked = {r.node: r.component for r in connected_components(links).collect()}
     assert linked == {n: want[n] for n in linked} and len(set(want.values())) == len(signed) - len(linked) + len(set(linked.values()))
+
+
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark takes probes, 66 a class, for as large as their classes: no join may send them to the driver."""
+    plans, classes = [], written(spark.range(2000).selectExpr("xxhash64(id) AS fp"), "classes")
+
+    def seen(df, label, **kw):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label, **kw)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    assert simhash.hamming_links(classes).count() == 0
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
