@@ -89,11 +89,12 @@ def consume_once(events: DataFrame) -> DataFrame:
 
 def stop_reasons(steps: DataFrame, most: int = 12) -> DataFrame:
     """(run_id, stop, step, filled, saved) of multi-step runs: the first step with a reason to stop, by priority
-    sign-in, needs-you, at-submit, no-next, stuck; max-steps without one."""
+    sign-in, needs-you, at-submit, no-next, stuck; max-steps without one. Neither steps nor runs are broadcast: where steps are
+    exploded, Spark takes both for no larger than their source."""
     reason = (
         F.when(F.col("auth"), "sign-in").when(F.col("n_required_empty") > 0, "needs-you").when(F.col("submit") & ~F.coalesce("advance", F.lit(False)), "at-submit").when(~F.coalesce("advance", F.lit(False)), "no-next").when(~F.col("moved"), "stuck")
     )
     rows = steps.where(F.col("step") <= most).withColumn("reason", reason)
     first = rows.groupBy("run_id").agg(F.min(F.when(F.col("reason").isNotNull(), F.col("step"))).alias("at"))
-    until = rows.join(first, "run_id").where("at IS NULL OR step <= at")
+    until = rows.hint("merge").join(first, "run_id").where("at IS NULL OR step <= at")
     return until.groupBy("run_id").agg(F.coalesce(F.max_by("reason", "step"), F.lit("max-steps")).alias("stop"), F.max("step").alias("step"), F.sum("filled").alias("filled"), F.sum("saved").alias("saved"))
