@@ -13,8 +13,9 @@ LEAST_SCORE = 1.5
 
 
 def rules(df: DataFrame) -> DataFrame:
-    """A rule table, as a broadcast if it is small enough by count."""
-    return F.broadcast(df) if df.limit(MOST_RULES + 1).count() <= MOST_RULES else df
+    """A rule table, as a broadcast if it is small enough by count. Otherwise no side of its joins is: what it meets may be
+    exploded, which Spark takes for no larger than its source."""
+    return F.broadcast(df) if df.limit(MOST_RULES + 1).count() <= MOST_RULES else df.hint("merge")
 
 
 def best_concept(labels: DataFrame, phrases: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -33,7 +34,7 @@ def best_concept(labels: DataFrame, phrases: DataFrame, least: float = LEAST_SCO
 def own_values(labels: DataFrame, vault: DataFrame) -> DataFrame:
     """(id, value): the vault's value of the label's own key in any script; the first of equal keys; blanks are none."""
     held = vault.where("trim(value) <> ''").groupBy(key_of_label(F.col("key")).alias("k")).agg(F.min_by("value", "ord").alias("value"))
-    return labels.select("id", key_of_label(F.col("label")).alias("k")).where("k <> ''").join(held, "k").select("id", "value")
+    return labels.select("id", key_of_label(F.col("label")).alias("k")).where("k <> ''").join(rules(held), "k").select("id", "value")
 
 
 def resolve(labels: DataFrame, phrases: DataFrame, vault: DataFrame, blocked: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from formweave.operators import matching
 from formweave.streaming import machines
 
 
@@ -15,6 +16,19 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def vault(spark, n):
+    return spark.createDataFrame([(i, f"key {i}", f"value {i}") for i in range(n)], "ord long, key string, value string")
+
+
+def test_own_values_broadcast_the_vault_not_the_labels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(matching, "MOST_RULES", 20)
+    labels = exploded(spark, tmp_path / "labels").select((F.col("k") * 100 + F.col("step")).alias("id"), F.concat(F.lit("Key "), "step").alias("label"))
+    few, many = (matching.own_values(labels, vault(spark, n)) for n in (20, 30))
+    assert "BuildRight" in plan(few) and "BuildLeft" not in plan(few) and "BroadcastHashJoin" not in plan(many)
+    assert few.count() == 200 * 19 and many.count() == 200 * 29
+    assert sorted(few.where("id < 100").collect()) == sorted((i, f"value {i}") for i in range(1, 20))
+
+
 def test_steps_are_not_broadcast(spark, tmp_path):
     steps = exploded(spark, tmp_path / "steps", 14).select("k", F.col("step").cast("long")).selectExpr("'r' || k AS run_id", "step", "1L AS filled", "0L AS saved", "false AS auth", "0L AS n_required_empty", "step = 5 AND k = 3 AS submit", "NOT (step = 5 AND k = 3) AS advance", "true AS moved")
     found = machines.stop_reasons(steps)
