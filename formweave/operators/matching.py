@@ -41,7 +41,8 @@ def resolve(labels: DataFrame, phrases: DataFrame, vault: DataFrame, blocked: Co
     """(id, value, source): own key first, then concept, except where `blocked` (a predicate of the label) forbids it."""
     own = own_values(labels, vault).withColumnRenamed("value", "own")
     concept = best_concept(labels.where(~blocked), phrases).select("id", "concept")
-    by_concept = concept.join(vault.where("trim(value) <> ''").select(F.col("key").alias("concept"), F.col("value").alias("found")), "concept").select("id", "found")
+    held = vault.where("trim(value) <> ''").select(F.col("key").alias("concept"), F.col("value").alias("found"))
+    by_concept = concept.join(rules(held), "concept").select("id", "found")
     out = labels.select("id").join(own, "id", "left").join(by_concept, "id", "left")
     return out.select("id", F.coalesce("own", "found").alias("value"), F.when(F.col("own").isNotNull(), "own").when(F.col("found").isNotNull(), "concept").alias("source"))
 

@@ -29,6 +29,14 @@ def test_own_values_broadcast_the_vault_not_the_labels(spark, tmp_path, monkeypa
     assert sorted(few.where("id < 100").collect()) == sorted((i, f"value {i}") for i in range(1, 20))
 
 
+def test_resolve_broadcasts_no_labels(spark, tmp_path):
+    labels = exploded(spark, tmp_path / "labels").select((F.col("k") * 100 + F.col("step")).alias("id"), F.concat(F.lit("Key "), "step").alias("label"))
+    phrases = spark.createDataFrame([(1, "key 7", "seven")], "ord long, concept string, phrase string")
+    found = matching.resolve(labels.where("id % 100 < 3").unionByName(labels.limit(1).selectExpr("-1L AS id", "'seven' AS label")), phrases, vault(spark, 20), F.lit(False))
+    assert "BuildLeft" not in plan(found)
+    assert {tuple(r) for r in found.where("id < 100").collect()} == {(-1, "value 7", "concept"), (1, "value 1", "own"), (2, "value 2", "own")}
+
+
 def test_steps_are_not_broadcast(spark, tmp_path):
     steps = exploded(spark, tmp_path / "steps", 14).select("k", F.col("step").cast("long")).selectExpr("'r' || k AS run_id", "step", "1L AS filled", "0L AS saved", "false AS auth", "0L AS n_required_empty", "step = 5 AND k = 3 AS submit", "NOT (step = 5 AND k = 3) AS advance", "true AS moved")
     found = machines.stop_reasons(steps)
