@@ -18,6 +18,9 @@ CARD_BRANDS = (
     ("unionpay", "^62"),
     ("rupay", "^(60|65|81|82|508)"),
 )
+#: Letters whose upper case is several, with the single letter that stands for it, where there is one.
+_LONG_CAPITALS = [chr(x) for x in range(0x80, 0x10000) if len(chr(x).upper()) > 1 and len(chr(x).title()) == 1]
+_SINGLE_CAPITALS = ("ß" + "".join(_LONG_CAPITALS), "ẞ" + "".join(x.title() for x in _LONG_CAPITALS))
 
 
 def first_rule(c: Column, rules: tuple[tuple[str, str], ...], otherwise: str | None = None) -> Column:
@@ -73,7 +76,10 @@ def unwrap_redirect(url: Column, param: str) -> Column:
 
 
 def initial(c: Column) -> Column:
-    return F.upper(F.regexp_extract(F.coalesce(c, F.lit("")), r"\p{L}", 0))
+    """The first letter in upper case, still one letter: those that Java writes as several (ß as SS) have their single capital (ẞ),
+    or stay. No letter gives an empty text, null gives null."""
+    letter = F.regexp_extract(c, r"\p{L}", 0)
+    return F.when(F.length(F.upper(letter)) > 1, F.translate(letter, *_SINGLE_CAPITALS)).otherwise(F.upper(letter))
 
 
 def digits(c: Column) -> Column:

@@ -95,3 +95,10 @@ def test_desktop_values(spark):
     got = {(r.doc_id, r.key): r.value for r in desktop_values(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k[1]: v for k, v in got.items() if k[0] == 1} == {"last_name": "ERIKSEN", "first_name": "Anna", "id_no": "12"}
     assert (got[2, "last_name"], got[2, "city"], got[2, "passport_no"]) == ("ERIKSSON", "Nice", "L898902C3") and max(k[0] for k in got) == 2
+
+
+def test_initials_stay_one_letter(spark):
+    """As in SQL: Java's capital of some letters is several."""
+    want = {"ßtraße": "ẞ", "1 é": "É", "ŉ": "ŉ", "ﬁ": "ﬁ", "ᾳ": "ᾼ", "ǆ": "Ǆ", "12": "", None: None}
+    rows = spark.createDataFrame([(x,) for x in want], "t string")
+    assert {r.t: r.i for r in rows.select("t", X.initial(F.col("t")).alias("i")).collect()} == want
