@@ -67,7 +67,9 @@ def card_values(docs: DataFrame, year: int) -> DataFrame:
             "middle": _none(F.array_join(F.when(noisy, F.slice(F.split(giv, r"\s+"), 2, 9)).otherwise(rest), " ")),
         }
     )
-    streets = F.filter(F.transform("lines", lambda x: F.regexp_extract(x, rf"(\d{{2,6}}\s+[A-Z][A-Za-z .]*?{_STREET})", 1)), lambda x: x != "")
+    streets = F.filter(F.transform("lines", lambda x: F.regexp_extract(x, rf"(\d{{2,}}\s+[A-Z][A-Za-z .]*?{_STREET})", 1)), lambda x: x != "")
+    d = d.withColumn("line", F.get(streets, F.lit(0)))
+    beside = F.coalesce(F.replace("text", "line", F.lit(" ")), F.col("text"))  # the number of the street found is no code
     city = r"([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,3}?)[,\s]+" + _STATE + r"(?=\d|\b)"
     places = F.transform("lines", lambda x: F.struct(F.regexp_extract(x, city, 1).alias("city"), F.regexp_extract(x, city, 2).alias("state")))
     fits = lambda x: (x.city != "") & ~x.city.rlike(_NOT_NAME) & ~x.city.rlike(_STREET) & (x.city.rlike(r"\s") | (F.length(x.city) >= 5))
@@ -84,6 +86,6 @@ def card_values(docs: DataFrame, year: int) -> DataFrame:
     past = newest(lambda x: (x.y <= year) & (x.y > year - 20) & ~x.x.eqNullSafe(F.col("born")) & ~x.x.eqNullSafe(F.col("expires")))
     d = d.withColumn("issued", F.coalesce(said("ISS"), past))
     return d.select(
-        "doc_id", "family", "given", "middle", F.regexp_replace(F.get(streets, F.lit(0)), r"\s+", " ").alias("street"), F.col("place.city").alias("city"), F.col("place.state").alias("state"),
-        _first(F.col("text"), r"\b(?:[A-Z]{2})?(\d{5})(?:-\d{4})?\b").alias("zip"), "born", "expires", "issued",
+        "doc_id", "family", "given", "middle", F.regexp_replace("line", r"\s+", " ").alias("street"), F.col("place.city").alias("city"), F.col("place.state").alias("state"),
+        _first(F.when(F.col("text").rlike("[0-9]{5}"), beside), r"\b(?:[A-Z]{2})?(\d{5})(?:-\d{4})?\b").alias("zip"), "born", "expires", "issued",
     )

@@ -23,3 +23,11 @@ def test_cards(spark):
     assert got[3] == (None,) * 10  # a line with a single letter is no candidate
     assert all(x is None for k in (5, 6, 7) for x in got[k])
     assert got[4][4] is None and got[4][0] is None
+
+
+def test_numbers_of_streets_are_no_codes(spark):
+    """Five digits before a street are not the code, and longer ones are not cut."""
+    card = "SMITH\nANNA MARIA\n8 {} OAK ROAD\nSPRINGFIELD, IL 60007\nDOB 01/15/1985"
+    docs = spark.createDataFrame([(n, card.format(n)) for n in (9, 99, 9_999, 10_000, 99_999, 100_000, 1_234_567)] + [(1, "12345 OAK ST"), (2, "only 12345")], "doc_id long, text string")
+    got = {r.doc_id: (r.street, r.zip) for r in card_values(docs, 2026).collect()}
+    assert got == {n: (f"{n} OAK ROAD" if n > 9 else None, "60007") for n in (9, 99, 9_999, 10_000, 99_999, 100_000, 1_234_567)} | {1: ("12345 OAK ST", None), 2: (None, "12345")}
