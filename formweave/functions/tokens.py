@@ -6,9 +6,11 @@ import hashlib
 import hmac
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formweave.operators.matching import rules
+
 MOST_ITERATIONS = 5_000_000
 TOLERANCE = 300
 
@@ -25,6 +27,14 @@ def pbkdf2(password: Column, salt: Column, iterations: int) -> Column:
     return derive(password, salt)
 
 
+def derived_keys(secrets: DataFrame, iterations: int) -> DataFrame:
+    """`secrets` (p, s, any others) with `key`: each distinct pair of password and salt is derived once. The pairs are few bytes and
+    much work, so they are dealt over all shuffle partitions."""
+    n = int(secrets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = secrets.select("p", "s").distinct().repartition(n, "p", "s")
+    return secrets.join(rules(pairs.withColumn("key", pbkdf2(F.col("p"), F.col("s"), iterations))), ["p", "s"])
+
+
 def signed(body: Column, secret: str) -> Column:
     @F.pandas_udf("string")
     def mac(b: pd.Series) -> pd.Series:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formweave.functions import text as X
+from formweave.functions import tokens
 from formweave.functions.translit import to_script
 from formweave.operators import reconcile as rec
 from formweave.operators import store
@@ -102,3 +103,20 @@ def test_initials_stay_one_letter(spark):
     want = {"ßtraße": "ẞ", "1 é": "É", "ŉ": "ŉ", "ﬁ": "ﬁ", "ᾳ": "ᾼ", "ǆ": "Ǆ", "12": "", None: None}
     rows = spark.createDataFrame([(x,) for x in want], "t string")
     assert {r.t: r.i for r in rows.select("t", X.initial(F.col("t")).alias("i")).collect()} == want
+
+
+def test_equal_secrets_are_derived_once(spark, monkeypatch):
+    """Repeated pairs of password and salt share one derivation; every row has its key."""
+    import hashlib
+
+    seen, derive = spark.sparkContext.accumulator(0), tokens.pbkdf2
+
+    def counted(p, s, n):
+        tick = F.udf(lambda x: (seen.add(1), x)[1], "string")
+        return derive(tick(p), s, n)
+
+    monkeypatch.setattr(tokens, "pbkdf2", counted)
+    rows = spark.range(600).selectExpr("id", "'p' || id % 3 AS p", "'s' || id % 2 AS s")
+    got = {r.id: r.key for r in tokens.derived_keys(rows, 2).collect()}
+    assert got == {i: hashlib.pbkdf2_hmac("sha256", f"p{i % 3}".encode(), f"s{i % 2}".encode(), 2, 32).hex() for i in range(600)}
+    assert seen.value == 6
