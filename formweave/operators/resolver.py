@@ -17,6 +17,9 @@ Fields and stored values meet on the owner and a word, a key or three letters of
 matched with concepts once each, however many fields have them. The concepts that a form's fields claim are a set of at
 most as many as there are concepts, gathered with partial aggregation; nothing else is collected by form.
 
+Stored values and claims ask for merge joins: a vault that was exploded counts as no larger than its source with Spark, which
+would send it to the driver as a broadcast.
+
 Input: fields (owner, form, pos, label, name, max_length), vault (owner, ord, key, value), phrases (ord, concept, phrase).
 Empty values count as absent. Null labels and names have no words. Fields without an owner in the vault stay empty, but
 for dates of application.
@@ -94,7 +97,7 @@ def routes(fields: DataFrame) -> DataFrame:
     noun = F.array_contains("words", "address")
     plain = noun & _first_of(F.col("words"), ADDRESSES).isNull()
     asked = f.groupBy("owner", "form").agg(F.bool_or(plain).alias("asks_plain"))
-    f = f.join(asked.withColumnsRenamed({"owner": "_o", "form": "_f"}), F.col("owner").eqNullSafe(F.col("_o")) & F.col("form").eqNullSafe(F.col("_f"))).drop("_o", "_f")
+    f = f.join(asked.withColumnsRenamed({"owner": "_o", "form": "_f"}).hint("merge"), F.col("owner").eqNullSafe(F.col("_o")) & F.col("form").eqNullSafe(F.col("_f"))).drop("_o", "_f")
     alternate = F.when(F.arrays_overlap("words", F.array(*map(F.lit, ALTERNATE_NOUNS))), _first_of(F.col("words"), ALTERNATE))
     script = F.when(F.array_contains("words", "name"), _first_of(F.col("words"), SCRIPTS))
     address = F.when(noun & F.col("asks_plain"), _first_of(F.col("words"), ADDRESSES))
@@ -144,7 +147,7 @@ def prompted(asked: DataFrame, keys: DataFrame) -> DataFrame:
     parts = parts.where((F.size("parts") >= 2) | F.exists("parts", lambda w: F.length(w) >= 6))
     longest = F.array_max(F.transform("parts", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     parts = parts.withColumn("gram", F.substring(longest.w, 1, 3))
-    met = prompts.join(parts, ["owner", "gram"])
+    met = prompts.join(parts.hint("merge"), ["owner", "gram"])
     met = met.where(F.forall("parts", lambda w: (F.length(w) > 1) & F.array_contains("words", w) | F.contains("joined", w)))
     return met.groupBy("owner", "said").agg(F.max_by("value", F.struct(F.size("parts"), -F.col("ord"))).alias("held"))
 
@@ -158,7 +161,7 @@ def concepts_of(texts: DataFrame, phrases: DataFrame) -> DataFrame:
 def picks(routed: DataFrame, phrases: DataFrame) -> DataFrame:
     """`routed` with `concept`: by the label, else by the field's name; null on every route."""
     free = routed.where("route IS NULL")
-    found = concepts_of(free.select(F.explode(F.array("said", "named")).alias("text")), phrases)
+    found = written(concepts_of(free.select(F.explode(F.array("said", "named")).alias("text")), phrases), "concepts")  # distinct labels: of known size
     by_label, by_name = (found.select(F.col("text").alias(c), F.col("concept").alias(f"by_{c}")) for c in ("said", "named"))
     met = routed.join(by_label, "said", "left").join(by_name, "named", "left")
     return met.withColumn("concept", F.when(F.col("route").isNull(), F.coalesce("by_said", "by_named"))).drop("by_said", "by_named")
@@ -224,23 +227,24 @@ def resolve_forms(fields: DataFrame, vault: DataFrame, phrases: DataFrame, today
     `education` (owner, level, rank, kind, value) with `kinds` (ord, concept, phrase) of its parts."""
     rules = rules or Rules()
     keys = written(stored(vault), "keys")
-    f = written(picks(routes(fields), phrases), "picked")  # read for claims, prompts and parts of education as well
+    f = written(picks(written(routes(fields), "routed"), phrases), "picked")  # read for claims, prompts and parts of education as well
+    picked = f
     claims = f.where(F.col("concept").isNotNull() & ~F.col("concept").isin(*rules.composites)).groupBy(F.col("owner").alias("_o"), F.col("form").alias("_f")).agg(F.collect_set("concept").alias("claimed"))
-    f = f.join(claims, F.col("owner").eqNullSafe(F.col("_o")) & F.col("form").eqNullSafe(F.col("_f")), "left").drop("_o", "_f")
+    f = f.join(claims.hint("merge"), F.col("owner").eqNullSafe(F.col("_o")) & F.col("form").eqNullSafe(F.col("_f")), "left").drop("_o", "_f")
     f = f.withColumn("claimed", F.coalesce("claimed", F.array().cast("array<string>")))
-    f = f.join(_qualified(keys), ["owner", "route", "q"], "left")
+    f = f.join(_qualified(keys).hint("merge"), ["owner", "route", "q"], "left")
     answers = prompted(f.where("route = 'prompt'"), keys).withColumnRenamed("held", "answer").withColumn("route", F.lit("prompt"))
-    f = f.join(answers, ["owner", "route", "said"], "left")
+    f = f.join(answers.hint("merge"), ["owner", "route", "said"], "left")
     own = vault.groupBy("owner", key_of_label(F.col("key")).alias("own_key")).agg(F.min_by("value", "ord").alias("own")).where("own_key <> '' AND own <> ''")
     for c in ("label", "name"):
-        f = f.withColumn("own_key", F.when(F.col("route").isNull() | (F.col("route") == "script"), key_of_label(F.col(c)))).join(own.withColumnRenamed("own", f"own_{c}"), ["owner", "own_key"], "left").drop("own_key")
-    f = f.join(atoms(keys, phrases), "owner", "left").withColumn("atoms", F.coalesce("atoms", F.expr("map()").cast("map<string,string>")))
+        f = f.withColumn("own_key", F.when(F.col("route").isNull() | (F.col("route") == "script"), key_of_label(F.col(c)))).join(own.withColumnRenamed("own", f"own_{c}").hint("merge"), ["owner", "own_key"], "left").drop("own_key")
+    f = f.join(atoms(keys, phrases).hint("merge"), "owner", "left").withColumn("atoms", F.coalesce("atoms", F.expr("map()").cast("map<string,string>")))
     taught, is_taught = F.lit(None).cast("string"), F.lit(False)
     if education is not None and kinds is not None:
-        f = f.join(concepts_of(f.where("route IS NULL").select(F.col("said").alias("text")), kinds).withColumnsRenamed({"text": "said", "concept": "kind"}), "said", "left")
+        f = f.join(written(concepts_of(picked.where("route IS NULL").select(F.col("said").alias("text")), kinds), "kinds").withColumnsRenamed({"text": "said", "concept": "kind"}), "said", "left")
         once = education.groupBy("owner", "level", "kind").agg(F.min("value").alias("value"), F.max("rank").alias("rank"))
         held = once.groupBy("owner").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "level", "kind"), F.col("value")))).alias("taught"), F.max_by("level", "rank").alias("highest"))
-        f = f.join(held, "owner", "left")
+        f = f.join(held.hint("merge"), "owner", "left")
         level = _level(F.concat_ws(" ", "said", "named"), rules)
         has = F.exists(F.map_keys("taught"), lambda k: F.startswith(k, F.concat(level, F.lit(" "))))
         level = F.when(has, level).otherwise(F.col("highest"))

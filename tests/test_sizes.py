@@ -43,3 +43,15 @@ def test_steps_are_not_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" not in plan(found)
     got = {r.run_id: (r.stop, r.step, r.filled) for r in found.collect()}
     assert got == {f"r{k}": ("at-submit", 5, 5) if k == 3 else ("max-steps", 12, 12) for k in range(200)}
+
+
+def test_resolver_broadcasts_no_vault(spark, tmp_path):
+    from formweave.operators import resolver
+
+    rows = exploded(spark, tmp_path / "vault").withColumnRenamed("k", "owner")
+    vault = rows.selectExpr("owner", "cast(step AS bigint) AS ord", "concat('Key ', step) AS key", "concat('v', step) AS value")
+    fields = rows.where("step <= 2").selectExpr("owner", "owner AS form", "step AS pos", "concat('Key ', step) AS label", "cast(NULL AS string) AS name", "cast(NULL AS int) AS max_length")
+    phrases = spark.createDataFrame([(1, "city", "city")], "ord long, concept string, phrase string")
+    found = resolver.resolve_forms(fields, vault, phrases, F.lit("2024-06-30").cast("date"))
+    assert "BroadcastHashJoin [owner" not in plan(found) and "SortMergeJoin [owner" in plan(found)
+    assert {tuple(r) for r in found.where("owner = 7").collect()} == {(7, 7, 1, "v1", "own"), (7, 7, 2, "v2", "own")} and found.count() == 400
