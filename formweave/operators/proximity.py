@@ -73,14 +73,14 @@ def plan(fields: DataFrame, texts: DataFrame, vault: DataFrame, phrases: DataFra
     own = found.where("form LIKE '#%' AND value IS NOT NULL")
     names = own.groupBy("owner").agg(F.collect_set(F.when(F.col("form") != "#street address", words_of_label(F.col("value")))).alias("names"), F.max(F.when(F.col("form") == "#street address", F.col("value"))).alias("street"))
     values = found.where("form NOT LIKE '#%'").withColumnRenamed("form", "box").drop("owner")
-    f = f.withColumn("box", F.concat_ws("/", "form", "id")).join(values, "box", "left").join(names, "owner", "left")
+    f = f.withColumn("box", F.concat_ws("/", "form", "id")).join(values.hint("merge"), "box", "left").join(names.hint("merge"), "owner", "left")
     is_name = F.coalesce(F.array_contains("names", words_of_label(F.col("value"))), F.lit(False))
     misplaced = is_name & (_word(F.col("caption"), ADDRESS) | _word(F.col("tooltip"), ADDRESS))
     is_street = _word(F.col("caption"), STREET_LINE) & ~_word(F.col("caption"), COURTESY)
     street = F.when(is_street & ~F.coalesce(F.array_contains("names", words_of_label(F.col("street"))), F.lit(False)), F.col("street"))
     f = f.withColumn("skip", F.col("skip") | (misplaced & street.isNull())).withColumn("value", F.when(misplaced, street).otherwise(F.col("value")))
     turned = day_first_boxes(fields, texts).withColumn("day_first", F.lit(True))
-    f = f.join(turned, ["form", "id"], "left")
+    f = f.join(turned.hint("merge"), ["form", "id"], "left")
     scores = F.transform("options", lambda o, i: F.struct(option_score(o, F.col("value")).alias("score"), (-i).alias("i"), o.alias("o")))
     best = F.array_max(F.filter(scores, lambda s: s.score >= LEAST_OPTION))
     value = F.when(F.col("skip"), None).when(F.col("options").isNull() & F.col("day_first"), day_first(F.col("value"))).when(F.col("options").isNull() | best.isNotNull(), F.col("value"))
