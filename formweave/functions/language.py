@@ -44,15 +44,16 @@ def script_counts(c: Column) -> Column:
 
 def with_script(df: DataFrame, text_col: str) -> DataFrame:
     """`df` with the struct `script` (script, lang, share) of each text: the main script, if it has more than 12 % of the
-    letters; else null. What is before the first of the scripts goes in one pass; counts are columns of their own, so that
-    each regex runs once a text."""
+    letters; else null. What is before the first of the scripts goes in one pass, and a text with nothing else is not counted. Counts
+    come out of an explode of one row, through which a filter on `script` isn't pushed: it would run each regex again."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     first = min(a for _, a, _, _ in SCRIPTS)
     beyond = df.withColumn("_beyond", F.regexp_replace(t, f"[\\x{{0}}-\\x{{{first - 1:X}}}]+", ""))
-    counted = beyond.withColumns({"_top": script_counts(F.col("_beyond")), "_letters": F.greatest(F.regexp_count(t, F.lit(r"\p{L}")), F.lit(1))})
-    share = F.col("_top.n") / F.col("_letters")
-    found = F.when((F.col("_top.n") > 0) & (share > SCRIPT_SHARE), F.struct("_top.script", "_top.lang", share.alias("share")))
-    return counted.withColumn("script", found).drop("_beyond", "_top", "_letters")
+    counts = F.struct(script_counts(F.col("_beyond")).alias("top"), F.greatest(F.regexp_count(t, F.lit(r"\p{L}")), F.lit(1)).alias("letters"))
+    counted = beyond.withColumn("_counts", F.explode(F.array(F.when(F.col("_beyond") != "", counts))))
+    share = F.col("_counts.top.n") / F.col("_counts.letters")
+    found = F.when((F.col("_counts.top.n") > 0) & (share > SCRIPT_SHARE), F.struct("_counts.top.script", "_counts.top.lang", share.alias("share")))
+    return counted.withColumn("script", found).drop("_beyond", "_counts")
 
 
 def latin_votes(c: Column) -> dict[str, Column]:

@@ -55,3 +55,14 @@ def test_resolver_broadcasts_no_vault(spark, tmp_path):
     found = resolver.resolve_forms(fields, vault, phrases, F.lit("2024-06-30").cast("date"))
     assert "BroadcastHashJoin [owner" not in plan(found) and "SortMergeJoin [owner" in plan(found)
     assert {tuple(r) for r in found.where("owner = 7").collect()} == {(7, 7, 1, "v1", "own"), (7, 7, 2, "v2", "own")} and found.count() == 400
+
+
+def test_scripts_are_counted_once(spark, tmp_path):
+    """A filter on the script must not run the counts again."""
+    from formweave.functions import language
+
+    spark.createDataFrame([("पूरा नाम 123",), ("name имя",), ("name",), ("",), (None,)], "t string").write.parquet(str(tmp_path / "texts"))
+    found = language.with_script(spark.read.parquet(str(tmp_path / "texts")), "t").where("script IS NOT NULL")
+    once = found._jdf.queryExecution().optimizedPlan().toString()
+    assert once.count("\\p{L}") == 1 and found.columns == ["t", "script"]
+    assert {(r.t, r.script.script, r.script.lang, round(r.script.share, 3)) for r in found.collect()} == {("पूरा नाम 123", "Devanagari", "hi", 1.75), ("name имя", "Cyrillic", "ru", 0.429)}
